@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimlens.operators.common import estimated_bytes as _estimated_bytes
 from claimlens.sources.files import explode_ranked
 
 
@@ -72,13 +73,17 @@ def passage_anchor(text_col) -> "F.Column":
 
 
 def document_shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc id, hash of every run of ANCHOR_TOKENS consecutive tokens)."""
-    toks = _tokens(F.col(text_col))
-    n = F.size(toks) - ANCHOR_TOKENS
-    hashes = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(-1))),
-                         lambda i: F.xxhash64(F.array_join(F.slice(toks, i + 1, ANCHOR_TOKENS), " ")))
-    return (docs.where(F.size(toks) >= ANCHOR_TOKENS)
-            .select(id_col, F.explode(F.array_distinct(hashes)).alias("shingle")))
+    """(doc id, hash of every run of ANCHOR_TOKENS consecutive tokens).
+
+    The token array is materialised as a column first so the lambda reads it
+    instead of re-splitting the text for every position."""
+    toks = docs.select(id_col, _tokens(F.col(text_col)).alias("_toks")) \
+        .where(F.size("_toks") >= ANCHOR_TOKENS)
+    t = F.col("_toks")
+    n = F.size(t) - ANCHOR_TOKENS
+    hashes = F.transform(F.sequence(F.lit(0), n),
+                         lambda i: F.xxhash64(F.array_join(F.slice(t, i + 1, ANCHOR_TOKENS), " ")))
+    return toks.select(id_col, F.explode(F.array_distinct(hashes)).alias("shingle"))
 
 
 def match_passages(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id",
@@ -107,11 +112,4 @@ def match_passages(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id",
     return verified.unionByName(rest)
 
 
-def _estimated_bytes(df: DataFrame) -> int | None:
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001
-        return None
-
-
 _ = explode_ranked

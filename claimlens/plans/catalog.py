@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from claimlens.plans import evaluation, experiment, features, ingest, scoring  # noqa: F401
+from claimlens.plans import (  # noqa: F401
+    evaluation, experiment, features, ingest, scoring, serving, training)
 from claimlens.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

@@ -218,7 +218,7 @@ def read_params(spark: SparkSession, path: str):
 def parse_requests(df: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
     """JSON request strings -> (good requests, rejects). Bad JSON is reported,
     never scored; a request needs a claim and an evidence list."""
-    schema = REQUEST_SCHEMA.add("_bad", T.StringType())
+    schema = T.StructType(REQUEST_SCHEMA.fields + [T.StructField("_bad", T.StringType())])
     parsed = df.withColumn("_req", F.from_json(col, schema, {
         "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     bad = (F.col("_req").isNull() | F.col("_req._bad").isNotNull()
