@@ -41,17 +41,18 @@ def claim_examples(spark, sf_dir):
 
 
 # Fixture split of F_rows into the reference's file layout.
-SPLITS = {
-    "dev_ori.tsv": F.col("id_left") % 6 == 5,
-    "test_0_ori.tsv": (F.col("id_left") % 6 != 5) & (F.col("id_left") % 5 == 0),
-    "train_0.tsv": (F.col("id_left") % 6 != 5) & (F.col("id_left") % 5 != 0),
-}
+def splits() -> dict:
+    return {
+        "dev_ori.tsv": F.col("id_left") % 6 == 5,
+        "test_0_ori.tsv": (F.col("id_left") % 6 != 5) & (F.col("id_left") % 5 == 0),
+        "train_0.tsv": (F.col("id_left") % 6 != 5) & (F.col("id_left") % 5 != 0),
+    }
 
 
 def write_split_files(spark, sf_dir) -> str:
     base = scratch(spark, "mapped")
     rows = FX.rows(spark, sf_dir).select(*IO.EVIDENCE_COLUMNS)
-    for name, cond in SPLITS.items():
+    for name, cond in splits().items():
         IO.write_evidence_tsv(rows.where(cond), f"{base}/{name}")
     return base
 

@@ -14,8 +14,9 @@ from claimlens.plans.registry import r6, register
 from claimlens.plans.scoring import LISTNET_CTE, LISTNET_SQL
 from claimlens.session import cut_lineage
 
-SPLIT = F.when(F.col("claim_id") % 3 == 0, "train").when(F.col("claim_id") % 3 == 1, "valid") \
-    .otherwise("test")
+def split_col():
+    return F.when(F.col("claim_id") % 3 == 0, "train").when(F.col("claim_id") % 3 == 1, "valid") \
+        .otherwise("test")
 
 
 def features(spark, sf_dir):
@@ -24,7 +25,7 @@ def features(spark, sf_dir):
                        FX.evidence_meta(spark, sf_dir), p)
     cl = _lookup(FX.token_sources(spark, sf_dir), res["vocab"], "claim", "claim_source", "claim_src_idx")
     feats = TR.claim_features(res["slots"], cl.select("claim_id", "label", "claim_src_idx"))
-    return feats.withColumn("split", SPLIT).withColumn("fold", (F.col("claim_id") % 5).cast("int")), p
+    return feats.withColumn("split", split_col()).withColumn("fold", (F.col("claim_id") % 5).cast("int")), p
 
 
 @register("epoch_metrics", with_views("""
@@ -85,12 +86,15 @@ def q_cv(spark, sf_dir):
         train = pool.where(F.col("fold") != fold)
         test = pool.where(F.col("fold") == fold)
         def evaluate(epoch, p, fold=fold, train=train, test=test):
-            for split, df in (("train", train), ("valid", valid), ("test", test)):
-                sc = TR.head_scores(df, p).withColumn("split", F.lit(split))
-                for r in TR.epoch_metrics(sc, "split").collect():  # one row per split
-                    for metric in ("loss", "classify_loss", "rank_loss", "accuracy", "auc", "f1_macro"):
-                        v = r[metric]
-                        records.append(("cv", fold, epoch, split, metric, None if v is None else float(v)))
+            # all three splits scored in one pass, metrics grouped by split
+            allsp = (train.withColumn("split", F.lit("train"))
+                     .unionByName(valid.withColumn("split", F.lit("valid")))
+                     .unionByName(test.withColumn("split", F.lit("test"))))
+            sc = TR.head_scores(allsp, p).join(allsp.select("claim_id", "split"), "claim_id")
+            for r in TR.epoch_metrics(sc, "split").collect():  # one row per split
+                for metric in ("loss", "classify_loss", "rank_loss", "accuracy", "auc", "f1_macro"):
+                    v = r[metric]
+                    records.append(("cv", fold, epoch, r["split"], metric, None if v is None else float(v)))
 
         TR.train_head(train, p0, epochs=2, lr=1.5e-2, on_epoch=evaluate)
     hist = spark.createDataFrame(records, "run string, fold int, epoch int, split string, metric string, "
