@@ -7,8 +7,8 @@ side un-exploded (one row per id), so the join never multiplies rows, and the
 containment test runs as a JVM-side higher-order ``filter`` over the list.
 
 J2 finds the same containment without an id, passages against a corpus: a
-broadcast nested loop while the passage side is small (size checked), else
-exact anchor shingles (hash join on a 5-token interior anchor, then verify).
+broadcast nested loop for a handful of passages, else exact anchor candidates
+(join on the passage's longest interior token, then verify every candidate).
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.operators.common import estimated_bytes as _estimated_bytes
+from claimlens.operators.common import maybe_broadcast
+from claimlens.session import cut_lineage
 from claimlens.sources.files import explode_ranked
 
 
@@ -56,8 +57,8 @@ def unmatched_claims(rows: DataFrame, ranked_lists: DataFrame, id_col: str = "id
 
 
 # ---------------------------------------------------------------- J2
-ANCHOR_TOKENS = 5
-SMALL_SIDE_BYTES = 64 * 1024 * 1024
+NESTED_LOOP_MAX_PASSAGES = 64
+CANDIDATE_BROADCAST_ROWS = 2_000_000
 
 
 def _tokens(col):
@@ -65,49 +66,55 @@ def _tokens(col):
 
 
 def passage_anchor(text_col) -> "F.Column":
-    """Hash of tokens 2..6 (interior whole tokens) of a passage, or null when
-    the passage has fewer than ANCHOR_TOKENS + 2 tokens."""
+    """The longest interior whitespace token of a passage (ties: the larger
+    string), or null when the passage has fewer than 3 tokens. An interior
+    token has whitespace on both sides inside the passage, so any document
+    that contains the passage contains it as a whole token."""
     toks = _tokens(text_col)
-    return F.when(F.size(toks) >= ANCHOR_TOKENS + 2,
-                  F.xxhash64(F.array_join(F.slice(toks, 2, ANCHOR_TOKENS), " ")))
+    interior = F.slice(toks, 2, F.size(toks) - 2)
+    ranked = F.array_sort(F.transform(interior, lambda t: F.struct(F.length(t).alias("l"), t.alias("t"))))
+    return F.when(F.size(toks) >= 3, F.element_at(ranked, -1)["t"])
 
 
-def document_shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc id, hash of every run of ANCHOR_TOKENS consecutive tokens).
-
-    The token array is materialised as a column first so the lambda reads it
-    instead of re-splitting the text for every position."""
-    toks = docs.select(id_col, _tokens(F.col(text_col)).alias("_toks")) \
-        .where(F.size("_toks") >= ANCHOR_TOKENS)
-    t = F.col("_toks")
-    n = F.size(t) - ANCHOR_TOKENS
-    hashes = F.transform(F.sequence(F.lit(0), n),
-                         lambda i: F.xxhash64(F.array_join(F.slice(t, i + 1, ANCHOR_TOKENS), " ")))
-    return toks.select(id_col, F.explode(F.array_distinct(hashes)).alias("shingle"))
+def document_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc id, distinct whitespace token): one row per distinct token."""
+    return docs.select(id_col, F.explode(F.array_distinct(_tokens(F.col(text_col)))).alias("anchor"))
 
 
 def match_passages(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id",
                    item_id: str = "item_id", text_col: str = "text",
-                   strategy: str = "auto", small_side_bytes: int = SMALL_SIDE_BYTES) -> DataFrame:
-    """Every (item, doc) where the passage occurs verbatim in the document."""
+                   strategy: str = "auto") -> DataFrame:
+    """Every (item, doc) where the passage occurs verbatim in the document.
+
+    ``broadcast``: nested loop against a broadcast passage list (cost docs x
+    passages; chosen by ``auto`` only for a handful of passages).
+    ``anchor``: exact candidate generation -- documents' distinct tokens joined
+    with the passages' anchor tokens (anchor table broadcast when its size is
+    under the limit) -- then every candidate is verified with ``contains``;
+    candidates are broadcast to the verification only when counted small,
+    otherwise joined by doc id. Passages without an anchor (under 3 tokens)
+    take the nested loop; they are short and few.
+    """
     p = passages.select(item_id, F.col(text_col).alias("_ptext"))
     d = docs.select(doc_id, F.col(text_col).alias("_dtext"))
     if strategy == "auto":
-        strategy = "anchor"
-        size = _estimated_bytes(p)
-        if size is not None and size <= small_side_bytes:
-            strategy = "broadcast"
+        n = passages.count()
+        strategy = "broadcast" if n <= NESTED_LOOP_MAX_PASSAGES else "anchor"
     if strategy == "broadcast":
         return (d.join(F.broadcast(p), F.col("_dtext").contains(F.col("_ptext")))
                 .select(item_id, doc_id))
-    anchored = p.withColumn("shingle", passage_anchor(F.col("_ptext")))
-    short = anchored.where(F.col("shingle").isNull()).drop("shingle")
-    cand = (document_shingles(docs, doc_id, text_col)
-            .join(anchored.where(F.col("shingle").isNotNull()).select(item_id, "shingle"), "shingle")
-            .select(doc_id, item_id).distinct())
-    verified = (cand.join(p, item_id).join(d, doc_id)
-                .where(F.col("_dtext").contains(F.col("_ptext"))).select(item_id, doc_id))
-    # Passages too short for an anchor: nested loop against the corpus (they are few).
+    anchored = p.withColumn("anchor", passage_anchor(F.col("_ptext")))
+    short = anchored.where(F.col("anchor").isNull()).drop("anchor")
+    anchors = anchored.where(F.col("anchor").isNotNull()).select(item_id, "anchor")
+    cand = cut_lineage(document_tokens(docs, doc_id, text_col)
+                       .join(maybe_broadcast(anchors), "anchor").select(doc_id, item_id))
+    n_cand = cand.count()
+    cand_p = cand.join(maybe_broadcast(p), item_id)
+    if n_cand <= CANDIDATE_BROADCAST_ROWS:
+        verified = d.join(F.broadcast(cand_p), doc_id)
+    else:
+        verified = cand_p.join(d, doc_id)
+    verified = verified.where(F.col("_dtext").contains(F.col("_ptext"))).select(item_id, doc_id)
     rest = d.join(F.broadcast(short), F.col("_dtext").contains(F.col("_ptext"))).select(item_id, doc_id)
     return verified.unionByName(rest)
 
