@@ -138,7 +138,7 @@ def q_balanced(spark, sf_dir):
 
 
 @register("batch_shape", with_views("""
-SELECT batch, max(max_len) AS max_evi_len, greatest(5, max(n)) AS max_evi_num, count(*) AS n_claims
+SELECT batch, max(max_len) AS max_evi_len, CAST(greatest(5, max(n)) AS INTEGER) AS max_evi_num, count(*) AS n_claims
 FROM (SELECT id_left, (row_number() OVER (ORDER BY id_left) - 1) // 32 AS batch,
              max(CAST(""" + r"""len(list_filter(regexp_split_to_array(evidence, '[^\p{L}\p{N}]+'),
                  lambda w: w <> ''))""" + """ AS INTEGER)) AS max_len, count(*) AS n

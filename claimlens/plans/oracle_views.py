@@ -44,7 +44,7 @@ SELECT * FROM (
   FROM embeddings) t
 WHERE evi_pos < 2 + claim_id % 6""",
     "f_tok_dims": """
-SELECT claim_id, evi_pos, tok_pos, d.i AS dim, CAST(embedding[d.i + 1] AS DOUBLE) AS x
+SELECT claim_id, evi_pos, tok_pos, CAST(d.i AS INTEGER) AS dim, CAST(embedding[d.i + 1] AS DOUBLE) AS x
 FROM f_tokens, range(0, 64) d(i)""",
     "f_token_sources": """
 SELECT DISTINCT claim_id, concat('site', CAST(claim_id % 7 AS VARCHAR)) AS claim_source,

@@ -48,6 +48,19 @@ def _norm(v):
     return str(v)
 
 
+def _spark_kind(t) -> str:
+    n = t.simpleString()
+    return {"int": "int32", "bigint": "int64", "double": "float64", "string": "string",
+            "boolean": "bool", "float": "float32", "smallint": "int16", "tinyint": "int8"}.get(n, n)
+
+
+def _duck_kind(t: str) -> str:
+    t = t.upper()
+    return {"INTEGER": "int32", "BIGINT": "int64", "DOUBLE": "float64", "VARCHAR": "string",
+            "BOOLEAN": "bool", "FLOAT": "float32", "SMALLINT": "int16", "TINYINT": "int8",
+            "NUMBER": "float64", "STRING": "string", "DATETIME": "timestamp"}.get(t, t.lower())
+
+
 def digest(columns, rows) -> tuple[int, str]:
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     lines = sorted("|".join(_norm(r[i]) for i in order) for r in rows)
@@ -69,6 +82,11 @@ def compare(spark, con, key, fn, sql, sf_dir):
     dcols = [d[0] for d in cur.description]
     drows = cur.fetchall()
     res["duck_s"] = round(time.time() - t1, 2)
+    stypes = {f.name: _spark_kind(f.dataType) for f in sdf.schema.fields}
+    dtypes_ = {d[0]: _duck_kind(str(d[1])) for d in cur.description}
+    tdiff = {c: (stypes.get(c), dtypes_.get(c)) for c in stypes if stypes.get(c) != dtypes_.get(c)}
+    if tdiff:
+        res["types"] = tdiff
     sn, sh = digest(scols, srows)
     dn, dh = digest(dcols, drows)
     ok = sorted(scols) == sorted(dcols) and sn == dn and sh == dh
