@@ -8,7 +8,7 @@ which the corpus bounds (search results per claim, ``cap_evidence``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.operators.normalise import label_int, label_string
@@ -65,16 +65,16 @@ def examples_check_view(ex: DataFrame) -> DataFrame:
 
 
 def class_weights(examples: DataFrame, positive: str = "True") -> DataFrame:
-    """A5: per class 0/1 the example count and its share; both classes present."""
+    """A5: per class 0/1 the example count and its share; both classes present.
+    The per-class counts are two numbers; their total comes back as a scalar."""
     spark = examples.sparkSession
     lab = examples.select(label_int(F.col("cred_label"), positive).alias("label"))
     counts = lab.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    total = sum(r["n"] for r in counts.collect())
     classes = spark.range(2).select(F.col("id").cast("int").alias("label"))
-    total = F.sum("n").over(Window.partitionBy())
     out = classes.join(counts, "label", "left").fillna(0, ["n"])
-    # Two rows only: the global window here is over the two class rows.
-    return out.select("label", F.col("n").cast("bigint").alias("n"),
-                      F.try_divide(F.col("n"), total).alias("weight"))
+    weight = F.lit(None).cast("double") if total == 0 else F.col("n") / F.lit(float(total))
+    return out.select("label", F.col("n").cast("bigint").alias("n"), weight.alias("weight"))
 
 
 def example_positions(examples: DataFrame, positive: str = "True") -> DataFrame:

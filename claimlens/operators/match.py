@@ -92,8 +92,8 @@ def match_passages(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id",
     with the passages' anchor tokens (anchor table broadcast when its size is
     under the limit) -- then every candidate is verified with ``contains``;
     candidates are broadcast to the verification only when counted small,
-    otherwise joined by doc id. Passages without an anchor (under 3 tokens)
-    take the nested loop; they are short and few.
+    otherwise joined by doc id. Passages under 3 tokens use exact
+    character-gram candidates (``match_short_passages``).
     """
     p = passages.select(item_id, F.col(text_col).alias("_ptext"))
     d = docs.select(doc_id, F.col(text_col).alias("_dtext"))
@@ -115,8 +115,41 @@ def match_passages(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id",
     else:
         verified = cand_p.join(d, doc_id)
     verified = verified.where(F.col("_dtext").contains(F.col("_ptext"))).select(item_id, doc_id)
-    rest = d.join(F.broadcast(short), F.col("_dtext").contains(F.col("_ptext"))).select(item_id, doc_id)
+    rest = match_short_passages(docs, short, doc_id, item_id, text_col)
     return verified.unionByName(rest)
 
 
+SHORT_GRAM = 4
+
+
+def match_short_passages(docs: DataFrame, short: DataFrame, doc_id: str, item_id: str,
+                         text_col: str = "text") -> DataFrame:
+    """Passages under 3 tokens: exact character-gram candidates. The first
+    q = min(len, 4) characters of a passage occur in every document that
+    contains it; documents emit their distinct q-grams only for the q values
+    that short passages need (at most four), then candidates are verified."""
+    sp = short.withColumn("_q", F.least(F.length("_ptext"), F.lit(SHORT_GRAM)))
+    qs = [r[0] for r in sp.select("_q").distinct().collect()]  # at most SHORT_GRAM values
+    d = docs.select(doc_id, F.col(text_col).alias("_dtext"))
+    out = None
+    for q in sorted(qs):
+        if q is None:
+            continue
+        if q == 0:  # empty passages are contained in every document: the pairs are the result
+            ids = [r[0] for r in sp.where(F.col("_q") == 0).select(item_id).distinct().collect()]
+            part = d.select(F.explode(F.array(*[F.lit(i) for i in ids])).alias(item_id), doc_id)
+        else:
+            grams = d.select(doc_id, F.explode(F.array_distinct(F.transform(
+                F.sequence(F.lit(1), F.greatest(F.length("_dtext") - q + 1, F.lit(1))),
+                lambda i: F.substring("_dtext", i, q)))).alias("_g")).where(F.length("_g") == q)
+            anchors = sp.where(F.col("_q") == q).select(item_id, F.substring("_ptext", 1, q).alias("_g"))
+            cand = grams.join(maybe_broadcast(anchors), "_g").select(doc_id, item_id)
+            part = (cand.join(maybe_broadcast(short), item_id).join(d, doc_id)
+                    .where(F.col("_dtext").contains(F.col("_ptext"))).select(item_id, doc_id))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return docs.sparkSession.createDataFrame([], f"{item_id} long, {doc_id} long")
+    return out
+
+
 _ = explode_ranked

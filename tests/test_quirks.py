@@ -137,3 +137,14 @@ def test_confusion_matrix_all_cells(spark):
 
 def test_pandas_is_available():
     assert pd.__version__
+
+
+def test_short_passages_exact(spark):
+    from claimlens.operators.match import match_passages
+    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "xbeta ga"), (3, "nothing")],
+                                 "doc_id long, text string")
+    ps = spark.createDataFrame([(10, "beta ga"), (11, "ta g"), (12, ""), (13, "a"),
+                                (14, "alpha beta gamma"), (15, "ha be")], "item_id long, text string")
+    a = sorted(tuple(r) for r in match_passages(docs, ps, strategy="anchor").collect())
+    b = sorted(tuple(r) for r in match_passages(docs, ps, strategy="broadcast").collect())
+    assert a == b and (12, 3) in a and (11, 2) in a
