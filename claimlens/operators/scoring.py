@@ -24,6 +24,7 @@ from claimlens.operators import attention as AT
 from claimlens.operators.common import maybe_broadcast
 from claimlens.operators.order import global_position
 from claimlens.operators.params import ModelParams
+from claimlens.session import cut_lineage
 
 VEC = AT.VEC
 
@@ -41,13 +42,25 @@ def _lookup(df: DataFrame, vocab: DataFrame, kind: str, col: str, name: str) ->
             .withColumn(name, F.coalesce(F.col("_i"), F.lit(0))).drop("_v", "_i"))
 
 
-def evidence_slots(tokens: DataFrame, params: ModelParams, keep_maps: bool = False) -> dict:
-    """Real and padded evidence slots with c_hat, e_hat and affinity."""
+def evidence_slots(tokens: DataFrame, params: ModelParams, keep_maps: bool = False,
+                   materialize: bool = True) -> dict:
+    """Real and padded evidence slots with c_hat, e_hat and affinity.
+
+    The projected tokens feed four branches (claim mean, evidence scores,
+    evidence mean, claim matrices) and the real slots feed two (counts, union);
+    with ``materialize`` both are cut into the shared checkpoint folder once
+    instead of re-running the NumPy kernels per branch. The projection is
+    hidden-sized, smaller than the raw token vectors it replaces.
+    """
     proj = AT.project_tokens(tokens, params)
+    if materialize:
+        proj = cut_lineage(proj)
     co = AT.co_attention(proj, params, keep_maps)
     real = AT.affinity_rows(co["slots"], params).select(
         "claim_id", "evi_pos", "c_hat", "e_hat", "affinity",
         *(["claim_map", "ctok"] if keep_maps else []))
+    if materialize:
+        real = cut_lineage(real)
     k = params.top_k
     counts = real.groupBy("claim_id").agg(F.count(F.lit(1)).alias("n"))
     claims = co["claims"].join(counts, "claim_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
