@@ -129,7 +129,9 @@ def q_union_files(spark, sf_dir):
     return df.select("id_left", "id_right", F.col("file_order.file").alias("file_idx"))
 
 
-@register("scan_pick_files")
+@register("scan_pick_files", with_views("""
+SELECT cred_label, count(*) AS n FROM f_rows
+WHERE id_left % 6 <> 5 AND id_left % 5 = 0 GROUP BY cred_label""", "f_rows"))
 def q_pick_files(spark, sf_dir):
     base = write_split_files(spark, sf_dir)
     picked = IO.pick_files(spark, base, r"te.t_\d_")
