@@ -2,7 +2,7 @@
 
 The reference runs a pretrained transformer; none ships here, so the default
 encoder is deterministic and JVM-side: every token of the (whole) text gets
-``v_k = sin(0.001 * (k + 1) * (h mod 100003))`` with ``h`` the first 32 bits
+``v_k = sin((k + 1) / 1000 * (h mod 100003))`` with ``h`` the first 32 bits
 of the token's md5, optionally preceded by a special first token (the
 reference's encoder adds one; explanations cut it again).
 
@@ -28,7 +28,7 @@ SPECIAL_FIRST = "[cls]"
 
 def hash_vector(token: Column, dim: int) -> Column:
     h = F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint") % 100003
-    return F.array(*[F.sin(F.lit(0.001 * (k + 1)) * h) for k in range(dim)])
+    return F.array(*[F.sin(F.lit((k + 1) / 1000.0) * h) for k in range(dim)])
 
 
 def encode_tokens(df: DataFrame, text: str, keys: list[str], dim: int = 16,

@@ -13,6 +13,8 @@ from claimlens.operators.match import match_passages
 from claimlens.operators.params import fixture_params
 from claimlens.operators.predict import predict_requests
 from claimlens.plans.ingest import claim_examples
+from claimlens.plans import scoring_sql as SS
+from claimlens.plans.oracle_views import with_views
 from claimlens.plans.registry import r6, register, scratch
 from claimlens.sources import files as IO
 
@@ -51,16 +53,19 @@ def q_encode(spark, sf_dir):
                     r6(F.get("vec", ENC_DIM - 1)).alias("v15"))
 
 
-@register("params_roundtrip")
+@register("params_roundtrip", with_views("""
+SELECT name, count(*) AS n_values, CAST(max(i) + 1 AS INTEGER) AS n_rows, CAST(max(j) + 1 AS INTEGER) AS n_cols,
+       round(sum(v), 6) AS total
+FROM f_params GROUP BY name""", params=SS.PARAMS))
 def q_params(spark, sf_dir):
-    """Parameter table written per (dataset, fold) and read back."""
+    """Parameter table written per (dataset, fold), read back, summarised."""
     p = FX.params_for(spark, sf_dir, 3)
     path = scratch(spark, "params/fixture/fold=0")
     IO.write_params(spark, p, path)
     back = IO.read_params(spark, path)
-    rows = [(n, int(np.prod(m.shape)), float(np.abs(m - back[n]).max())) for n, m in p.mats.items()]
-    return spark.read.parquet(path).select("name", F.size("values").alias("n_values"), "shape") \
-        .join(spark.createDataFrame(rows, "name string, n long, max_diff double"), "name")
+    rows = [(n, int(m.size), int(m.shape[0]), int(m.shape[1]), float(m.sum())) for n, m in back.mats.items()]
+    df = spark.createDataFrame(rows, "name string, n_values long, n_rows int, n_cols int, total double")
+    return df.select("name", "n_values", "n_rows", "n_cols", r6("total").alias("total"))
 
 
 def request_lines(spark, sf_dir):
@@ -76,24 +81,84 @@ def request_lines(spark, sf_dir):
                      F.when(bad, F.substring(body, 1, 25)).otherwise(body).alias("value"))
 
 
-@register("parse_requests")
+REQUEST_SQL = """
+SELECT req_id, json_valid(value) AS ok,
+       CASE WHEN json_valid(value) THEN CAST(json_array_length(value, '$.evidences') AS INTEGER) END
+         AS n_evidence
+FROM (SELECT id_left AS req_id,
+             CASE WHEN id_left % 13 = 0 THEN substr(CAST(body AS VARCHAR), 1, 25)
+                  ELSE CAST(body AS VARCHAR) END AS value
+      FROM (SELECT id_left,
+                   json_object('claim', any_value(claim_text), 'claim_source', any_value(claim_source),
+                               'evidences', list(json_object('evidence', evidence,
+                                                             'evidence_source', evidence_source)
+                                                 ORDER BY row_pos),
+                               'cred_label', any_value(cred_label)) AS body
+            FROM f_rows GROUP BY id_left))"""
+
+
+@register("parse_requests", with_views(REQUEST_SQL, "f_rows"))
 def q_parse(spark, sf_dir):
     good, rejects = IO.parse_requests(request_lines(spark, sf_dir))
     return good.select("req_id", F.lit(True).alias("ok"), F.size("evidences").alias("n_evidence")) \
         .unionByName(rejects.select("req_id", F.lit(False).alias("ok"), F.lit(None).cast("int").alias("n_evidence")))
 
 
+# Fixture serving model: 16-dim encoder; tables sized for the fixture's 7 claim
+# sites and 3 evidence roles (+1 for unseen).
+SERVE_PARAMS = dict(model_type=3, emb_dim=ENC_DIM, hidden_dim=8, claim_src_num=8, evidence_src_num=4,
+                    claim_src_dim=4, evidence_src_dim=4, mlp_hidden=3)
+
+
 def serving_model(spark, sf_dir):
     ex = claim_examples(spark, sf_dir)
     vocab = VB.vocabularies(ex)
-    sizes = {r["kind"]: r["size"] for r in VB.vocab_size(vocab).collect()}
-    p = fixture_params(model_type=3, emb_dim=ENC_DIM, hidden_dim=8, claim_src_num=sizes.get("claim", 1),
-                       evidence_src_num=sizes.get("evidence", 1), claim_src_dim=4, evidence_src_dim=4,
-                       mlp_hidden=3)
-    return p, vocab
-
-
-@register("predict_requests")
+    return fixture_params(**SERVE_PARAMS), vocab
+
+
+TOK_SQL = r"""list_concat(['[cls]'], list_filter(regexp_split_to_array(lower({t}), '[^\p{{L}}\p{{N}}]+'),
+                                               lambda w: w <> ''))"""
+SERVE_CTES = [
+    ("ex", """SELECT cred_label, id_left, claim_text, claim_source,
+                     row_number() OVER (ORDER BY cred_label, id_left, claim_text, claim_source) AS ex_pos
+              FROM (SELECT DISTINCT cred_label, id_left, claim_text, claim_source FROM f_rows)"""),
+    ("ev", """SELECT r.id_left, r.evidence, r.evidence_source, e.ex_pos,
+                     CAST(row_number() OVER (PARTITION BY r.id_left ORDER BY r.row_pos) - 1 AS INTEGER) AS evi_pos
+              FROM f_rows r JOIN ex e USING (cred_label, id_left, claim_text, claim_source)"""),
+    ("texts", """SELECT id_left AS claim_id, -1 AS evi_pos, claim_text AS text FROM ex WHERE id_left % 13 <> 0
+                 UNION ALL
+                 SELECT id_left, evi_pos, evidence FROM ev WHERE id_left % 13 <> 0"""),
+    ("toks", "SELECT claim_id, evi_pos, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS tok_pos, "
+             "unnest(t) AS token FROM (SELECT claim_id, evi_pos, " + TOK_SQL.format(t="text") + " AS t FROM texts)"),
+    ("f_tok_dims", f"""SELECT claim_id, evi_pos, tok_pos, CAST(d.i AS INTEGER) AS dim,
+                             sin(((d.i + 1) / 1000) * h) AS x
+                      FROM (SELECT *, ('0x' || substr(md5(token), 1, 8))::BIGINT % 100003 AS h FROM toks),
+                           range(0, {ENC_DIM}) d(i)"""),
+    ("f_token_sources", """SELECT id_left AS claim_id, claim_source,
+                                  CAST(CASE WHEN cred_label = 'True' THEN 1 ELSE 0 END AS INTEGER) AS label
+                           FROM ex WHERE id_left % 13 <> 0"""),
+    ("f_evidence_meta", """SELECT id_left AS claim_id, evi_pos, evidence_source, -1.0 AS correlation
+                           FROM ev WHERE id_left % 13 <> 0"""),
+]
+
+
+def _predict_sql():
+    chain = []
+    for name, body in SS.CHAIN:
+        if name == "vocab_c":
+            body = ("SELECT claim_source AS value, row_number() OVER (ORDER BY min(ex_pos)) AS idx "
+                    "FROM ex GROUP BY claim_source")
+        elif name == "vocab_e":
+            body = ("SELECT evidence_source AS value, "
+                    "row_number() OVER (ORDER BY min(ex_pos * 1000000 + evi_pos)) AS idx "
+                    "FROM ev GROUP BY evidence_source")
+        chain.append((name, body))
+    return with_views("""
+SELECT claim_id AS req_id, round(logit, 6) AS logit, CAST(logit > 0 AS INTEGER) AS prediction
+FROM logits""", "f_rows", params=SERVE_PARAMS, ctes=SERVE_CTES + chain)
+
+
+@register("predict_requests", _predict_sql())
 def q_predict(spark, sf_dir):
     p, vocab = serving_model(spark, sf_dir)
     out = predict_requests(request_lines(spark, sf_dir), p, vocab, dim=ENC_DIM)

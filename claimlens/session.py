@@ -59,9 +59,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
+    """Reliable checkpoint into the shared folder (survives executor loss).
+
+    A reliable checkpoint computes its input once for the eager action and
+    again for the checkpoint write; persisting first makes the write read the
+    cached blocks instead, so the plan runs once. The cache is released as
+    soon as the files are written; later reads come from the checkpoint."""
+    from pyspark import StorageLevel
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist(blocking=False)
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
