@@ -173,20 +173,79 @@ class Optimizer:
         return params.copy_with(mats)
 
 
+def _save_epoch(spark, save_dir: str, epoch: int, params: ModelParams, opt: "Optimizer",
+                history: list[dict]) -> None:
+    """Parameters + optimizer state of a finished epoch, one folder per epoch;
+    Spark's commit marker (_SUCCESS) tells a complete folder from a torn one."""
+    import json
+    rows = [(n, list(m.shape), [float(x) for x in np.ravel(m)]) for n, m in params.mats.items()]
+    for kind, store in (("adam_m", opt.m), ("adam_v", opt.v)):
+        rows += [(f"{kind}:{n}", list(np.shape(m)), [float(x) for x in np.ravel(m)]) for n, m in store.items()]
+    meta = json.dumps({"params": params.meta(), "t": opt.t, "history": history})
+    (spark.createDataFrame(rows, "name string, shape array<int>, values array<double>")
+     .withColumn("meta", F.lit(meta)).coalesce(1).write.mode("overwrite")
+     .parquet(f"{save_dir}/epoch={epoch}"))
+
+
+def _load_latest(spark, save_dir: str):
+    """(epoch, params, m, v, t, history) of the newest complete epoch, or None."""
+    import json
+
+    from claimlens.sources.files import _fs
+    try:
+        fs, p = _fs(spark, save_dir)
+        if not fs.exists(p):
+            return None
+        done = []
+        for st in fs.listStatus(p):
+            name = st.getPath().getName()
+            if name.startswith("epoch=") and fs.exists(
+                    spark.sparkContext._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+                done.append(int(name.split("=", 1)[1]))
+    except Exception:  # noqa: BLE001
+        return None
+    if not done:
+        return None
+    epoch = max(done)
+    rows = spark.read.parquet(f"{save_dir}/epoch={epoch}").collect()  # model-sized
+    meta = json.loads(rows[0]["meta"])
+    mats, m, v = {}, {}, {}
+    for r in rows:
+        arr = np.array(r["values"], dtype=np.float64).reshape(r["shape"])
+        if r["name"].startswith("adam_m:"):
+            m[r["name"][7:]] = arr
+        elif r["name"].startswith("adam_v:"):
+            v[r["name"][7:]] = arr
+        else:
+            mats[r["name"]] = arr
+    return epoch, ModelParams(mats=mats, **meta["params"]), m, v, meta["t"], meta["history"]
+
+
 def train_head(features: DataFrame, params: ModelParams, epochs: int = 2, lr: float = 1.5e-4,
                optimizer: str = "Adam", weight_decay: float = 1e-3, alpha: float = 0.01,
                steps_per_epoch: int = 1, seed: int = 42,
-               on_epoch=None) -> tuple[ModelParams, list[dict]]:
+               on_epoch=None, save_dir: str | None = None) -> tuple[ModelParams, list[dict]]:
     """T1 + T2: returns trained parameters and per-epoch train records.
 
     Batches: claim -> pmod(xxhash64(seed, epoch, claim_id), steps) (seeded, so a
     retried task sees the same batch). Every gradient from every batch is
     used (the source's accumulation dropped some, Q18). ``on_epoch(epoch,
-    params)`` runs after each epoch (evaluation hooks, early stopping)."""
+    params)`` runs after each epoch (evaluation hooks, early stopping).
+
+    With ``save_dir`` (a folder in the shared file system) every finished
+    epoch is written there, and a restarted run resumes after the newest
+    complete epoch with the same parameters and optimizer state."""
+    spark = features.sparkSession
     feats = cut_lineage(features.select("claim_id", "slots", "claim_src_idx", "label"))
     opt = Optimizer(optimizer, lr, weight_decay)
-    history = []
-    for epoch in range(epochs):
+    history: list[dict] = []
+    first = 0
+    if save_dir:
+        state = _load_latest(spark, save_dir)
+        if state is not None:
+            last, params, opt.m, opt.v, opt.t, history = state
+            first = last + 1
+    for epoch in range(first, epochs):
         loss_sum = cls_sum = 0.0
         for b in range(steps_per_epoch):
             part = feats if steps_per_epoch == 1 else feats.where(
@@ -202,6 +261,8 @@ def train_head(features: DataFrame, params: ModelParams, epochs: int = 2, lr: fl
         history.append({"epoch": epoch, "loss": loss_sum / steps_per_epoch,
                         "classify_loss": cls_sum / steps_per_epoch,
                         "rank_loss": (loss_sum - cls_sum) / steps_per_epoch})
+        if save_dir:
+            _save_epoch(spark, save_dir, epoch, params, opt, history)
         if on_epoch is not None:
             on_epoch(epoch, params)
     return params, history
