@@ -43,3 +43,21 @@ def softmax(a: np.ndarray) -> np.ndarray:
 def affinity(c: np.ndarray, e: np.ndarray, w: np.ndarray) -> np.ndarray:
     """tanh([c; e; c*e] . w) per row."""
     return np.tanh(np.concatenate([c, e, c * e], axis=-1) @ w[:, 0])
+
+
+def segment_attention(mats: list, ctx: np.ndarray, w: np.ndarray, v: np.ndarray):
+    """For every row r: beta_r = softmax(tanh(H_r W[:h] + ctx_r W[h:]) v), out_r = beta_r @ H_r.
+
+    All rows of a batch in one matmul; softmax and weighted sums per segment
+    with ``reduceat`` (every H_r has at least one row)."""
+    lens = np.array([m.shape[0] for m in mats])
+    h = mats[0].shape[1]
+    flat = np.vstack(mats)
+    starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
+    sc = np.tanh(flat @ w[:h] + np.repeat(ctx @ w[h:], lens, axis=0)) @ v
+    mx = np.maximum.reduceat(sc, starts)
+    e = np.exp(sc - np.repeat(mx, lens))
+    tot = np.add.reduceat(e, starts)
+    beta = e / np.repeat(tot, lens)
+    out = np.add.reduceat(beta[:, None] * flat, starts, axis=0)
+    return out, np.split(beta, starts[1:])

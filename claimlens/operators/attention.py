@@ -143,20 +143,14 @@ def claim_side(rows: DataFrame, params: ModelParams, ctx: str, keep_map: bool =
 
     def fn(it):
         p = bc.value
+        w, v = p["co_w2"], p["co_v2"][:, 0]
         for pdf in it:
             if pdf.empty:
                 continue
-            chat, maps = [], []
-            for H, g in zip(pdf["cmat"].values, pdf[ctx].values):
-                Hm = np.vstack([np.asarray(t, dtype=np.float64) for t in H])
-                gv = np.asarray(g, dtype=np.float64)
-                b = D.attention_scores(Hm, np.broadcast_to(gv, (Hm.shape[0], gv.shape[0])),
-                                       p["co_w2"], p["co_v2"])
-                beta = D.softmax(b)
-                chat.append(beta @ Hm)
-                maps.append(beta)
+            mats = [np.vstack([np.asarray(t, dtype=np.float64) for t in H]) for H in pdf["cmat"].values]
+            chat, maps = D.segment_attention(mats, D.stack(pdf[ctx]), w, v)
             out = pdf.drop(columns=["cmat"])
-            out["c_hat"] = chat
+            out["c_hat"] = list(chat)
             if keep_map:
                 out["claim_map"] = maps
             yield out
