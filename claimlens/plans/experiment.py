@@ -73,16 +73,64 @@ def q_stop_first(spark, sf_dir):
     return HS.stop_on_first_loss(records(spark, sf_dir), ["fold"])
 
 
-@register("early_stopping")
+def _early_stop_sql(patience=10, delta=-0.01, gap=0.02):
+    def step(c, bf, ba):
+        first = "(s.vl > s.v0)"
+        inc = f"(s.f1 < {bf} + ({delta}))"
+        c_inc = f"(CASE WHEN {inc} THEN {c} + 1 ELSE 0 END)"
+        small2 = "(s.n_below <= 1)"
+        early = f"({inc} AND {c_inc} >= {patience} AND NOT {small2})"
+        far = f"(abs(s.vl - s.tl) > {gap})"
+        saved = f"(CASE WHEN {first} THEN false ELSE ({bf} < s.f1) OR ({bf} + ({delta}) <= s.f1 AND s.auc >= {ba}) END)"
+        return f"""s.fold, s.k, s.epoch,
+          CAST(CASE WHEN {first} THEN {c} WHEN {small2} THEN 0 WHEN {early} AND NOT {far} THEN 0
+                    ELSE {c_inc} END AS INTEGER) AS c,
+          {saved} AS saved,
+          CASE WHEN {first} THEN {bf} WHEN {bf} < s.f1 THEN s.f1 ELSE {bf} END AS bf,
+          CASE WHEN {first} THEN {ba} WHEN {saved} AND {ba} < s.auc THEN s.auc ELSE {ba} END AS ba,
+          ({first} OR ({early} AND {far})) AS stop,
+          CASE WHEN {first} THEN 'loss_above_first' WHEN {early} AND {far} THEN 'patience' END AS reason"""
+    wide = """
+SELECT fold, epoch,
+  coalesce(max(CASE WHEN metric = 'loss' AND split = 'train' THEN v END), 0.0) AS tl,
+  coalesce(max(CASE WHEN metric = 'loss' AND split = 'valid' THEN v END), 0.0) AS vl,
+  coalesce(max(CASE WHEN metric = 'f1_macro' AND split = 'valid' THEN v END), 0.0) AS f1,
+  coalesce(max(CASE WHEN metric = 'auc' AND split = 'valid' THEN v END), 0.0) AS auc
+FROM (SELECT fold, epoch, split, metric,
+             CASE WHEN metric = 'loss' THEN value / (epoch + 1) ELSE value / 100 END AS v FROM f_history)
+GROUP BY fold, epoch"""
+    seq = """
+SELECT w.*, row_number() OVER (PARTITION BY fold ORDER BY epoch) AS k,
+       first_value(vl) OVER (PARTITION BY fold ORDER BY epoch) AS v0,
+       (SELECT count(*) FROM wide w2 WHERE w2.fold = w.fold AND w2.epoch < w.epoch AND w2.vl < w.vl)
+         AS n_below
+FROM wide w"""
+    rec = f"""
+SELECT {step("0", "0.0", "0.0")} FROM seq s WHERE s.k = 1
+UNION ALL
+SELECT {step("st.c", "st.bf", "st.ba")}
+FROM st JOIN seq s ON s.fold = st.fold AND s.k = st.k + 1 WHERE NOT st.stop"""
+    body = with_views("""
+SELECT 'fixture' AS run, fold, CAST(epoch AS INTEGER) AS epoch, c AS counter, saved,
+       round(bf, 6) AS best_f1, round(ba, 6) AS best_auc, stop, reason FROM st""",
+                      "f_history", ctes=[("wide", wide), ("seq", seq)])
+    # the recursive CTE goes last; DuckDB needs the RECURSIVE keyword on the WITH
+    head, sep, tail = body.rpartition("\nSELECT 'fixture' AS run")
+    return head.replace("WITH ", "WITH RECURSIVE ", 1) + f",\nst AS ({rec}\n)" + sep + tail
+
+
+@register("early_stopping", _early_stop_sql())
 def q_early_stopping(spark, sf_dir):
-    """W7-W9 (sequential rule, rows-only check; traces are pinned in pytest).
+    """Per-fold patience trace with checkpoint choice and stop epoch.
 
     The fixture history's loss is an event average, so the first-loss rule
     would end most folds at once; it is scaled down per epoch to give traces."""
     h = records(spark, sf_dir)
     h = h.withColumn("value", F.when(F.col("metric") == "loss",
                                      F.col("value") / (F.col("epoch") + 1)).otherwise(F.col("value") / 100))
-    return HS.early_stopping(h, patience=10)
+    t = HS.early_stopping(h, patience=10)
+    return t.select("run", "fold", "epoch", "counter", "saved", r6("best_f1").alias("best_f1"),
+                    r6("best_auc").alias("best_auc"), "stop", "reason")
 
 
 # ------------------------------------------------------------------ batching
