@@ -36,12 +36,14 @@ def request_tables(good: DataFrame, id_col: str = "req_id", dim: int = 16,
 
 def predict_requests(requests: DataFrame, params: ModelParams, vocab: DataFrame,
                      id_col: str = "req_id", value_col: str = "value", dim: int = 16) -> dict:
-    """-> {'predictions': (req_id, logit, prob, prediction), 'rejects': bad JSON}.
+    """-> {'predictions': (req_id, claim_md5, logit, prob, prediction), 'rejects': bad JSON}.
 
     ``prediction`` is ``logit > 0`` (P12). Unseen sources map to index 0.
     """
     good, rejects = parse_requests(requests, value_col)
     tokens, claims, evidence = request_tables(good, id_col, dim)
     res = score_claims(tokens, claims, evidence, params, vocab)
-    preds = res["scores"].select(F.col("claim_id").alias(id_col), "logit", "prob", "prediction")
+    digest = good.select(F.col(id_col).alias("claim_id"), F.md5(F.coalesce("claim", F.lit(""))).alias("claim_md5"))
+    preds = res["scores"].join(digest, "claim_id").select(
+        F.col("claim_id").alias(id_col), "claim_md5", "logit", "prob", "prediction")
     return {"predictions": preds, "rejects": rejects, "evi_scores": res["evi_scores"]}

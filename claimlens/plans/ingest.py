@@ -174,11 +174,22 @@ def q_ranked_topk(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ S5 / S6
-@register("write_claim_examples")
+@register("write_claim_examples", with_views("""
+SELECT id_left AS claim_id, cred_label, claim_source, md5(claim_text) AS claim_md5,
+       CAST(count(*) AS INTEGER) AS n_evidence
+FROM f_rows GROUP BY cred_label, id_left, claim_text, claim_source""", "f_rows"))
 def q_write_examples(spark, sf_dir):
+    """The written JSON lines, read back as text and taken apart with JSON
+    path functions (not with the reader's schema)."""
     path = scratch(spark, "examples")
     IO.write_claim_examples(claim_examples(spark, sf_dir), path)
-    return spark.read.text(path)
+    v = F.col("value")
+    return spark.read.text(path).select(
+        F.get_json_object(v, "$.claim_id").cast("bigint").alias("claim_id"),
+        F.get_json_object(v, "$.cred_label").alias("cred_label"),
+        F.get_json_object(v, "$.claim_source").alias("claim_source"),
+        F.md5(F.get_json_object(v, "$.claim")).alias("claim_md5"),
+        F.json_array_length(F.get_json_object(v, "$.evidences")).alias("n_evidence"))
 
 
 @register("read_claim_examples", with_views(

@@ -142,7 +142,7 @@ SERVE_CTES = [
 ]
 
 
-def _predict_sql():
+def _predict_sql(stream: bool = False):
     chain = []
     for name, body in SS.CHAIN:
         if name == "vocab_c":
@@ -153,9 +153,14 @@ def _predict_sql():
                     "row_number() OVER (ORDER BY min(ex_pos * 1000000 + evi_pos)) AS idx "
                     "FROM ev GROUP BY evidence_source")
         chain.append((name, body))
-    return with_views("""
+    final = """
 SELECT claim_id AS req_id, round(logit, 6) AS logit, CAST(logit > 0 AS INTEGER) AS prediction
-FROM logits""", "f_rows", params=SERVE_PARAMS, ctes=SERVE_CTES + chain)
+FROM logits"""
+    if stream:
+        final = """
+SELECT md5(e.claim_text) AS claim_md5, round(g.logit, 6) AS logit, CAST(g.logit > 0 AS INTEGER) AS prediction
+FROM logits g JOIN ex e ON e.id_left = g.claim_id"""
+    return with_views(final, "f_rows", params=SERVE_PARAMS, ctes=SERVE_CTES + chain)
 
 
 @register("predict_requests", _predict_sql())
@@ -165,7 +170,7 @@ def q_predict(spark, sf_dir):
     return out["predictions"].select("req_id", r6("logit").alias("logit"), "prediction")
 
 
-@register("stream_predict")
+@register("stream_predict", _predict_sql(stream=True))
 def q_stream(spark, sf_dir):
     """Streaming re-aim: request files scored micro-batch by micro-batch."""
     from claimlens.streaming.predict_stream import start_prediction_stream
@@ -175,4 +180,5 @@ def q_stream(spark, sf_dir):
     out, ck = scratch(spark, "predictions"), scratch(spark, "stream-ckpt")
     q = start_prediction_stream(spark, src, out, ck, p, vocab, dim=ENC_DIM)
     q.awaitTermination()
-    return spark.read.parquet(out).select("req_id", r6("logit").alias("logit"), "prediction")
+    # request ids are line hashes in the stream; the claim digest is the stable key
+    return spark.read.parquet(out).select("claim_md5", r6("logit").alias("logit"), "prediction")
