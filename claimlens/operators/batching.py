@@ -21,12 +21,19 @@ def length_buckets(df: DataFrame, length: str, key: str, bucket_size: int = 256)
     return pos.withColumn("bucket", (F.col("len_pos") / bucket_size).cast("long"))
 
 
+def seeded_key(*parts) -> "F.Column":
+    """Deterministic pseudo-random 60-bit key from md5 of ``seed:part:...``;
+    the same on every task retry, and reproducible in plain SQL."""
+    text = F.concat_ws(":", *[p if not isinstance(p, (int, str)) else F.lit(str(p)) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
 def bucket_order(buckets: DataFrame, key: str, seed: int = 42, epoch: int = 0,
                  batch_size: int = 32) -> DataFrame:
     """O2: buckets shuffled once (seeded), rows inside a bucket per epoch; the
     serving order is cut into batches of ``batch_size``."""
-    shuffled = buckets.withColumn("_bk", F.xxhash64(F.lit(seed), F.col("bucket"))) \
-        .withColumn("_rk", F.xxhash64(F.lit(seed), F.lit(epoch), F.col(key)))
+    shuffled = buckets.withColumn("_bk", seeded_key(seed, F.col("bucket"))) \
+        .withColumn("_rk", seeded_key(seed, epoch, F.col(key)))
     pos = global_position(shuffled, ["_bk", "bucket", "_rk", key], name="serve_pos")
     return (pos.withColumn("batch_id", (F.col("serve_pos") / batch_size).cast("long"))
             .drop("_bk", "_rk"))

@@ -152,7 +152,14 @@ def q_length_buckets(spark, sf_dir):
     return b.select("doc_id", "len_key", "len_pos", "bucket")
 
 
-@register("bucket_order")
+@register("bucket_order", f"""
+SELECT doc_id, bucket, row_number() OVER (ORDER BY bk, bucket, rk, doc_id) - 1 AS serve_pos,
+       (row_number() OVER (ORDER BY bk, bucket, rk, doc_id) - 1) // 32 AS batch_id
+FROM (SELECT doc_id, bucket,
+             ('0x' || substr(md5('42:' || CAST(bucket AS VARCHAR)), 1, 15))::BIGINT AS bk,
+             ('0x' || substr(md5('42:0:' || CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT AS rk
+      FROM (SELECT doc_id, (row_number() OVER (ORDER BY len_key, doc_id) - 1) // 256 AS bucket
+            FROM (SELECT doc_id, CAST({LEN_SQL} AS INTEGER) AS len_key FROM documents)))""")
 def q_bucket_order(spark, sf_dir):
     b = BT.length_buckets(doc_lengths(spark, sf_dir), "len_key", "doc_id", 256)
     return BT.bucket_order(b, "doc_id", seed=42, epoch=0, batch_size=32) \
