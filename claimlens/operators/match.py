@@ -58,7 +58,7 @@ def unmatched_claims(rows: DataFrame, ranked_lists: DataFrame, id_col: str = "id
 
 # ---------------------------------------------------------------- J2
 NESTED_LOOP_MAX_PASSAGES = 64
-CANDIDATE_BROADCAST_ROWS = 2_000_000
+CANDIDATE_BROADCAST_ROWS = 1_000_000
 
 
 def _tokens(col):
@@ -109,12 +109,13 @@ def match_passages(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id",
     cand = cut_lineage(document_tokens(docs, doc_id, text_col)
                        .join(maybe_broadcast(anchors), "anchor").select(doc_id, item_id))
     n_cand = cand.count()
-    cand_p = cand.join(maybe_broadcast(p), item_id)
     if n_cand <= CANDIDATE_BROADCAST_ROWS:
-        verified = d.join(F.broadcast(cand_p), doc_id)
+        # two longs per candidate: bounded by the count check (16 MB)
+        with_doc = d.join(F.broadcast(cand), doc_id)
     else:
-        verified = cand_p.join(d, doc_id)
-    verified = verified.where(F.col("_dtext").contains(F.col("_ptext"))).select(item_id, doc_id)
+        with_doc = cand.join(d, doc_id)
+    verified = (with_doc.join(maybe_broadcast(p), item_id)
+                .where(F.col("_dtext").contains(F.col("_ptext"))).select(item_id, doc_id))
     rest = match_short_passages(docs, short, doc_id, item_id, text_col)
     return verified.unionByName(rest)
 
