@@ -23,6 +23,27 @@ DEFAULT_CONF = {
 }
 
 
+def cluster_conf(input_bytes: int, executor_cores: int = 4, target_partition_bytes: int = 256 << 20) -> dict:
+    """Settings sized for a cluster run over ``input_bytes`` of input.
+
+    Shuffle partitions start at input / 256 MB (AQE coalesces small ones and
+    splits skewed ones); scans read 256 MB splits; broadcasts stay at the
+    64 MB bound that ``maybe_broadcast`` also uses.
+    """
+    parts = max(200, int(input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+        "spark.executor.cores": str(executor_cores),
+    }
+
+
 def get_session(master: str | None = None, app: str = "claimlens",
                 shuffle_partitions: int | None = None,
                 extra: dict | None = None) -> SparkSession:
