@@ -33,6 +33,8 @@ VEC = T.ArrayType(T.DoubleType())
 
 
 def broadcast_params(spark, params: ModelParams):
+    from claimlens.session import ship_package
+    ship_package(spark)
     return spark.sparkContext.broadcast(params.check_size())
 
 

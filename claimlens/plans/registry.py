@@ -6,13 +6,14 @@ the operator is expressible in SQL, the equivalent DuckDB query.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.session import stage_path
+from claimlens.session import ship_package, stage_path
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -22,7 +23,13 @@ def register(key: str, sql: str | None = None):
     def deco(fn):
         if key in QUERIES:
             raise ValueError(f"duplicate query key {key}")
-        QUERIES[key] = fn
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str):
+            ship_package(spark)  # executors import claimlens from the shipped zip
+            return fn(spark, sf_dir)
+
+        QUERIES[key] = run
         if sql is not None:
             ORACLES[key] = sql
         return fn

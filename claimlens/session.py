@@ -7,8 +7,11 @@ is unset (local tests).
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,6 +61,7 @@ def get_session(master: str | None = None, app: str = "claimlens",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -101,3 +105,42 @@ def stage_path(spark: SparkSession, name: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, "stages", name)
+
+
+_SHIPPED: set = set()
+
+
+def _package_zip() -> bytes:
+    root = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    return buf.getvalue()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``claimlens`` importable on every executor's Python workers.
+
+    The package is zipped in memory, written into the shared checkpoint
+    folder through the Hadoop file system and added with ``addPyFile``; once
+    per application."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    data = _package_zip()
+    name = f"claimlens-{hashlib.sha1(data).hexdigest()[:12]}.zip"
+    base = checkpoint_dir(spark)
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(base.rstrip("/") + "/pyfiles/" + name)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        out = fs.create(path, True)
+        out.write(bytearray(data))
+        out.close()
+    sc.addPyFile(path.toString())
+    _SHIPPED.add(key)
