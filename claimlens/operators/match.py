@@ -21,6 +21,20 @@ from claimlens.session import cut_lineage
 from claimlens.sources.files import explode_ranked
 
 
+LONG_LIST = 1000
+
+
+def match_ranked_evidence_auto(rows: DataFrame, ranked_lists: DataFrame, key: str = "id_right",
+                               id_col: str = "id_left", evidence_col: str = "evidence") -> DataFrame:
+    """J1 choosing its form from the longest ranked list (one aggregate): lists
+    of search results (tens of entries) ride along un-exploded; very long
+    lists are exploded so no single row carries them."""
+    longest = ranked_lists.agg(F.max(F.size("evidences"))).first()[0] or 0
+    if longest > LONG_LIST:
+        return match_ranked_evidence_exploded(rows, explode_ranked(ranked_lists), key, id_col, evidence_col)
+    return match_ranked_evidence(rows, ranked_lists, id_col, evidence_col)
+
+
 def match_ranked_evidence(rows: DataFrame, ranked_lists: DataFrame, id_col: str = "id_left",
                           evidence_col: str = "evidence", strict: bool = False) -> DataFrame:
     """Add ``correlation`` (first matching snippet's score, else -1)."""
@@ -152,5 +166,3 @@ def match_short_passages(docs: DataFrame, short: DataFrame, doc_id: str, item_id
         return docs.sparkSession.createDataFrame([], f"{item_id} long, {doc_id} long")
     return out
 
-
-_ = explode_ranked

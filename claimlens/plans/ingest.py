@@ -66,6 +66,17 @@ def q_match(spark, sf_dir):
                                               r6("correlation").alias("correlation"))
 
 
+@register("match_ranked_evidence_exploded", with_views(
+    "SELECT id_left, id_right, evidence_source, round(correlation, 6) AS correlation FROM matched",
+    "f_rows", "f_ranked", ctes=[("matched", MATCHED_SQL)]))
+def q_match_exploded(spark, sf_dir):
+    """J1 for very long lists: exploded ranked rows, hash join on the id with
+    containment as residual, first list position per evidence row."""
+    from claimlens.operators.match import match_ranked_evidence_exploded
+    m = match_ranked_evidence_exploded(FX.rows(spark, sf_dir), FX.ranked(spark, sf_dir))
+    return m.select("id_left", "id_right", "evidence_source", r6("correlation").alias("correlation"))
+
+
 @register("unmatched_claims", with_views(
     "SELECT DISTINCT id_left FROM f_rows WHERE CAST(id_left AS VARCHAR) NOT IN (SELECT id FROM f_ranked)",
     "f_rows", "f_ranked"))
