@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.operators.common import maybe_broadcast
-from pyspark import StorageLevel
+from claimlens.session import cut_lineage
 from claimlens.sources.files import explode_ranked
 
 
@@ -120,10 +120,10 @@ def match_passages(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id",
     anchored = p.withColumn("anchor", passage_anchor(F.col("_ptext")))
     short = anchored.where(F.col("anchor").isNull()).drop("anchor")
     anchors = anchored.where(F.col("anchor").isNotNull()).select(item_id, "anchor")
-    # candidates are reused (count, then join): persisted, recomputable from lineage
-    cand = (document_tokens(docs, doc_id, text_col)
-            .join(maybe_broadcast(anchors), "anchor").select(doc_id, item_id)
-            .persist(StorageLevel.MEMORY_AND_DISK))
+    # candidates are used twice (count, then join): cut once into the shared
+    # folder (documents are read once; the cut holds two longs per candidate)
+    cand = cut_lineage(document_tokens(docs, doc_id, text_col)
+                       .join(maybe_broadcast(anchors), "anchor").select(doc_id, item_id))
     n_cand = cand.count()
     if n_cand <= CANDIDATE_BROADCAST_ROWS:
         # two longs per candidate: bounded by the count check (16 MB)
