@@ -103,11 +103,10 @@ def roc_curve(df: DataFrame, group: list[str], score: str = "score", label: str
     the start point (threshold null, i.e. above every score; 0, 0). Collinear
     points are kept."""
     sc = score_counts(df, group, score, label).withColumn("_neg_s", -F.col(score))
-    tp = group_position(sc, group, ["_neg_s"], name="_tp_before", weight="pos")
-    fp = group_position(sc, group, ["_neg_s"], name="_fp_before", weight="neg").select(
-        *group, score, "_fp_before")
+    # both prefix sums (positives, negatives) from one range-partitioned pass
+    pre = group_position(sc, group, ["_neg_s"], name=["_tp_before", "_fp_before"], weight=["pos", "neg"])
     tot = sc.groupBy(*group).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    pts = tp.join(fp, [*group, score]).join(tot, group).select(
+    pts = pre.join(tot, group).select(
         *group, F.col(score).cast("double").alias("threshold"),
         (F.col("_fp_before") + F.col("neg")).alias("_fp"),
         (F.col("_tp_before") + F.col("pos")).alias("_tp"), "_P", "_N")

@@ -33,59 +33,69 @@ def _offsets_col(offsets: list[int]) -> Column:
                         F.spark_partition_id() + 1).cast("long")
 
 
-def global_position(df: DataFrame, order_cols: list, name: str = "pos",
-                    n_parts: int | None = None, weight: str | None = None) -> DataFrame:
+def global_position(df: DataFrame, order_cols: list, name: str | list = "pos",
+                    n_parts: int | None = None, weight: str | list | None = None) -> DataFrame:
     """Add ``name``: 0-based position in the total order of ``order_cols``.
 
     With ``weight`` the value is the exclusive prefix sum of that column in the
-    same order (position = weight 1). Ties keep an arbitrary but fixed order;
-    pass a unique last key for a deterministic result.
+    same order (position = weight 1). ``weight`` and ``name`` may be lists:
+    several prefix sums come out of the same single pass. Ties keep an
+    arbitrary but fixed order; pass a unique last key for a deterministic result.
     """
     n = _parts(df, n_parts)
     ranged = cut_lineage(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols))
+    nparts = ranged.rdd.getNumPartitions()
     if weight is None:
         counts = ranged.groupBy(F.spark_partition_id().alias("p")).count().collect()
         per = {r["p"]: r["count"] for r in counts}
-    else:
-        sums = ranged.groupBy(F.spark_partition_id().alias("p")) \
-            .agg(F.sum(weight).alias("s")).collect()
-        per = {r["p"]: (r["s"] or 0) for r in sums}
-    nparts = ranged.rdd.getNumPartitions()
-    offsets = list(itertools.accumulate([per.get(i, 0) for i in range(nparts)], initial=0))[:-1]
-    if weight is None:
+        offsets = list(itertools.accumulate([per.get(i, 0) for i in range(nparts)], initial=0))[:-1]
         within = F.monotonically_increasing_id() - (F.spark_partition_id().cast("long") * (1 << 33))
         return ranged.withColumn(name, _offsets_col(offsets) + within)
-    with_off = ranged.withColumn("_off", _offsets_col(offsets))
-    schema = T.StructType(with_off.schema.fields + [T.StructField(name, T.LongType())])
-    wname = weight
+    weights = [weight] if isinstance(weight, str) else list(weight)
+    names = [name] if isinstance(name, str) else list(name)
+    sums = ranged.groupBy(F.spark_partition_id().alias("p")) \
+        .agg(*[F.sum(w).alias(f"s{i}") for i, w in enumerate(weights)]).collect()  # one row per partition
+    with_off = ranged
+    for i in range(len(weights)):
+        per = {r["p"]: (r[f"s{i}"] or 0) for r in sums}
+        offsets = list(itertools.accumulate([per.get(p, 0) for p in range(nparts)], initial=0))[:-1]
+        with_off = with_off.withColumn(f"_off{i}", _offsets_col(offsets))
+    schema = T.StructType(with_off.schema.fields + [T.StructField(nm, T.LongType()) for nm in names])
 
     def running(it):
         acc = None
         for pdf in it:
             if pdf.empty:
                 continue
-            w = pdf[wname].fillna(0).astype("int64")
-            base = int(pdf["_off"].iloc[0]) if acc is None else acc
-            cs = w.cumsum()
-            pdf[name] = (base + cs - w).astype("int64")
-            acc = base + int(cs.iloc[-1])
+            if acc is None:
+                acc = [int(pdf[f"_off{i}"].iloc[0]) for i in range(len(weights))]
+            for i, (wname, nm) in enumerate(zip(weights, names)):
+                w = pdf[wname].fillna(0).astype("int64")
+                cs = w.cumsum()
+                pdf[nm] = (acc[i] + cs - w).astype("int64")
+                acc[i] += int(cs.iloc[-1])
             yield pdf
 
-    return with_off.mapInPandas(running, schema).drop("_off")
+    return with_off.mapInPandas(running, schema).drop(*[f"_off{i}" for i in range(len(weights))])
 
 
-def group_position(df: DataFrame, group_cols: list[str], order_cols: list, name: str = "gpos",
-                   weight: str | None = None, n_parts: int | None = None) -> DataFrame:
+def group_position(df: DataFrame, group_cols: list[str], order_cols: list, name: str | list = "gpos",
+                   weight: str | list | None = None, n_parts: int | None = None) -> DataFrame:
     """Position (or exclusive weighted prefix sum) inside each group.
 
     Global prefix over (group, order) minus the group's first prefix: skew-safe,
     because a hot group spreads over several range partitions instead of one
     window task.
     """
-    g = global_position(df, [*group_cols, *order_cols], name="_gp", n_parts=n_parts, weight=weight)
-    first = g.groupBy(*group_cols).agg(F.min("_gp").alias("_g0"))
-    return (g.join(first, group_cols)
-            .withColumn(name, F.col("_gp") - F.col("_g0")).drop("_gp", "_g0"))
+    names = [name] if isinstance(name, str) else list(name)
+    tmp = [f"_gp{i}" for i in range(len(names))]
+    g = global_position(df, [*group_cols, *order_cols], name=tmp if len(tmp) > 1 else tmp[0],
+                        n_parts=n_parts, weight=weight)
+    first = g.groupBy(*group_cols).agg(*[F.min(t).alias(f"_g0{i}") for i, t in enumerate(tmp)])
+    out = g.join(first, group_cols)
+    for i, (t, nm) in enumerate(zip(tmp, names)):
+        out = out.withColumn(nm, F.col(t) - F.col(f"_g0{i}")).drop(t, f"_g0{i}")
+    return out
 
 
 def trim_tail(df: DataFrame, order_cols: list, drop: int = 1, only_if_mod: int | None = None) -> DataFrame:
