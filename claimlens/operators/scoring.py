@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from claimlens.functions import dense as D
 from claimlens.operators import attention as AT
 from claimlens.operators.common import maybe_broadcast
-from claimlens.operators.order import global_position
+from claimlens.operators.order import global_position, group_position
 from claimlens.operators.params import ModelParams
 from claimlens.session import cut_lineage
 
@@ -36,6 +36,20 @@ def first_appearance_vocab(df: DataFrame, value: str, order: list[str], kind: st
     return pos.select(F.lit(kind).alias("kind"), "value", (F.col("_p") + 1).cast("int").alias("idx"))
 
 
+def source_vocab(claims: DataFrame, evidence: DataFrame | None) -> DataFrame:
+    """Both source vocabularies from one position pass, numbered per kind by
+    first appearance in (claim_id, evi_pos) order (claims first in a claim)."""
+    parts = claims.select(F.lit("claim").alias("kind"), F.col("claim_source").alias("value"),
+                          F.struct(F.col("claim_id"), F.lit(-1).alias("evi_pos")).alias("o"))
+    if evidence is not None:
+        parts = parts.unionByName(evidence.select(
+            F.lit("evidence").alias("kind"), F.col("evidence_source").alias("value"),
+            F.struct(F.col("claim_id"), F.col("evi_pos").cast("int").alias("evi_pos")).alias("o")))
+    first = parts.groupBy("kind", "value").agg(F.min("o").alias("k"))
+    pos = group_position(first, ["kind"], [F.col("k.claim_id"), F.col("k.evi_pos")], name="_p")
+    return pos.select("kind", "value", (F.col("_p") + 1).cast("int").alias("idx"))
+
+
 def _lookup(df: DataFrame, vocab: DataFrame, kind: str, col: str, name: str) -> DataFrame:
     v = vocab.where(F.col("kind") == kind).select(F.col("value").alias("_v"), F.col("idx").alias("_i"))
     return (df.join(maybe_broadcast(v), F.col(col) == F.col("_v"), "left")
@@ -134,10 +148,7 @@ def score_claims(tokens: DataFrame, claims: DataFrame, evidence: DataFrame | Non
     vocab    : kind, value, idx (train vocabulary; built here when None)
     """
     if vocab is None:
-        vocab = first_appearance_vocab(claims, "claim_source", ["claim_id"], "claim")
-        if evidence is not None:
-            vocab = vocab.unionByName(first_appearance_vocab(
-                evidence, "evidence_source", ["claim_id", "evi_pos"], "evidence"))
+        vocab = source_vocab(claims, evidence)
     es = evidence_slots(tokens, params, keep_maps)
     slots = es["slots"]
     if evidence is not None:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.operators.common import maybe_broadcast
-from claimlens.operators.order import global_position
+from claimlens.operators.order import global_position, group_position
 
 EXAMPLE_ORDER = ["cred_label", "claim_id", "claim", "claim_source"]
 
@@ -37,7 +37,19 @@ def vocab_evidence_source(examples: DataFrame) -> DataFrame:
 
 
 def vocabularies(examples: DataFrame) -> DataFrame:
-    return vocab_claim_source(examples).unionByName(vocab_evidence_source(examples))
+    """A2 + A3 from one position pass: first appearances of both kinds are
+    unioned and numbered per kind (claim sources order by example, evidence
+    sources by (example, position))."""
+    claim = examples.select(F.lit("claim").alias("kind"), F.col("claim_source").alias("value"),
+                            *EXAMPLE_ORDER, F.lit(-1).alias("evi_pos"))
+    evid = examples.select(F.lit("evidence").alias("kind"), *EXAMPLE_ORDER,
+                           F.posexplode("evidences").alias("evi_pos", "e")) \
+        .select("kind", F.col("e.evidence_source").alias("value"), *EXAMPLE_ORDER, "evi_pos")
+    first = claim.unionByName(evid).groupBy("kind", "value").agg(
+        F.min(F.struct(*EXAMPLE_ORDER, "evi_pos")).alias("k"))
+    order = [F.col(f"k.{c}") for c in [*EXAMPLE_ORDER, "evi_pos"]]
+    pos = group_position(first, ["kind"], order, name="_p")
+    return pos.select("kind", "value", (F.col("_p") + 1).cast("int").alias("idx"))
 
 
 def vocab_size(vocab: DataFrame) -> DataFrame:
