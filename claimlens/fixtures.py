@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import os
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -177,4 +176,4 @@ def params_for(spark: SparkSession, sf_dir: str, model_type: int = 3) -> ModelPa
 
 
 __all__ = ["rows", "ranked", "ranked_lists", "scores", "pred", "tokens", "token_sources",
-           "evidence_meta", "history", "passages", "params_for", "table", "np"]
+           "evidence_meta", "history", "passages", "params_for", "table"]

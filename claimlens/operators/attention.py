@@ -19,7 +19,6 @@ evidences is a Spark aggregate:
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -271,5 +270,3 @@ def additive_attention(rows: DataFrame, key: str, x: str, w: np.ndarray, v: np.n
 
     return weighted_pool(rows.mapInPandas(fn, schema), [key], x, "_sw", "pooled")
 
-
-_ = pd

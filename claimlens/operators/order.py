@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import itertools
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,5 +107,3 @@ def trim_tail(df: DataFrame, order_cols: list, drop: int = 1, only_if_mod: int |
         return g.drop("_tpos")
     return g.where(F.col("_tpos") < n - drop).drop("_tpos")
 
-
-_ = pd  # pandas is used inside mapInPandas workers

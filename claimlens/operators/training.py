@@ -50,7 +50,7 @@ def claim_features(slots: DataFrame, claims: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- per-claim maths
 def claim_loss_grad(slots, cs: int, y: float, p: ModelParams, alpha: float, need_grad: bool = True):
     """Forward (and backward) of one claim. Returns (logit, bce, rank, grads)."""
-    k, mt, h = p.top_k, p.model_type, p.hidden_dim
+    k, mt = p.top_k, p.model_type
     C = np.vstack([np.asarray(s["c_hat"], dtype=np.float64) for s in slots])
     E = np.vstack([np.asarray(s["e_hat"], dtype=np.float64) for s in slots])
     pad = np.array([bool(s["padded"]) for s in slots])
@@ -107,7 +107,6 @@ def claim_loss_grad(slots, cs: int, y: float, p: ModelParams, alpha: float, need
     da += alpha * (np.exp(logsm) - st)
     dpre = np.where(pad, 0.0, da * (1.0 - a_real ** 2))
     g["affinity_w"][:, 0] = U.T @ dpre
-    _ = h
     return z, bce, rank, g
 
 

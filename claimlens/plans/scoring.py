@@ -3,7 +3,6 @@ M1-M3, M5-M8, M10, M11, L2, L3)."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from claimlens import fixtures as FX
@@ -322,5 +321,3 @@ def q_additive(spark, sf_dir):
                                    "e_hat", w, v)
     return _long(pooled, ["claim_id"], "pooled")
 
-
-_ = np

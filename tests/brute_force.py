@@ -22,7 +22,6 @@ def forward_claim(claim_vecs, evidence_vecs, p, claim_idx=0, evidence_idx=None):
     g, b, eps = p["ln_gain"][0], p["ln_bias"][0], p.eps
     H = ln(claim_vecs, g, b, eps) @ p["linear_c_w"] + p["linear_c_b"][0]
     cbar = H.mean(0)
-    h = H.shape[1]
     slots = []
     for ev in evidence_vecs:
         G = ln(ev, g, b, eps) @ p["linear_e_w"] + p["linear_e_b"][0]
@@ -54,5 +53,4 @@ def forward_claim(claim_vecs, evidence_vecs, p, claim_idx=0, evidence_idx=None):
         parts.append(w @ np.vstack([p["evidence_src"][evidence_idx[i]] for i in order]))
     doc = np.concatenate(parts)
     logit = float(((doc @ p["fc1_w"] + p["fc1_b"][0]) @ p["fc3_w"] + p["fc3_b"][0])[0])
-    _ = h
     return logit, affs, order, w
