@@ -148,3 +148,22 @@ def test_short_passages_exact(spark):
     a = sorted(tuple(r) for r in match_passages(docs, ps, strategy="anchor").collect())
     b = sorted(tuple(r) for r in match_passages(docs, ps, strategy="broadcast").collect())
     assert a == b and (12, 3) in a and (11, 2) in a
+
+
+def test_write_examples_keeps_existing_result(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 10, "True", "c1", "s", "e1", "a", 1)], ROWS)
+    path = str(tmp_path / "examples" / "dataset=x" / "fold=0")
+    IO.write_claim_examples(EX.group_claim_examples(rows), path)
+    other = spark.createDataFrame([(2, 20, "False", "c2", "t", "e2", "b", 2)], ROWS)
+    IO.write_claim_examples(EX.group_claim_examples(other), path)      # Q9: ignored, not replaced
+    back = IO.read_claim_examples(spark, path).collect()
+    assert [(r.claim_id, r.claim) for r in back] == [(1, "c1")]
+
+
+def test_trim_tail_only_when_remainder_is_one(spark):
+    from claimlens.operators.order import trim_tail
+    df33 = spark.range(33).withColumnRenamed("id", "k")
+    df34 = spark.range(34).withColumnRenamed("id", "k")
+    assert trim_tail(df33, ["k"], only_if_mod=32).count() == 32    # 33 % 32 == 1 -> last row dropped
+    assert trim_tail(df34, ["k"], only_if_mod=32).count() == 34
+    assert sorted(r.k for r in trim_tail(df34, ["k"]).collect()) == list(range(33))
