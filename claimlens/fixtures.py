@@ -110,20 +110,21 @@ def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F_tokens: token vectors of claims (evi_pos -1) and their evidence.
 
-    claim = vec_id % 20, slot = (vec_id div 20) % 8 (slot 0 is the claim),
-    token position = vec_id div 160; claim c keeps 2 + c % 6 evidences, so
-    claims below and above top-k both occur.
+    Every embedding row is used. claim = vec_id % 20; the claim's rows
+    s = vec_id div 20 are dealt round-robin over its 3 + c % 6 texts (the claim
+    itself and 2 + c % 6 evidences): text = s mod (3 + c % 6), evi_pos =
+    text - 1, tok_pos = s div (3 + c % 6). Claims below and above top-k occur.
     """
     e = table(spark, sf_dir, "embeddings")
-    claim = (F.col("vec_id") % 20)
-    evi = ((F.col("vec_id") / 20).cast("bigint") % 8 - 1).cast("int")
-    t = e.select(
+    claim = F.col("vec_id") % 20
+    texts = F.lit(3) + claim % 6
+    s = (F.col("vec_id") / 20).cast("bigint")
+    return e.select(
         claim.alias("claim_id"),
-        evi.alias("evi_pos"),
-        (F.col("vec_id") / 160).cast("int").alias("tok_pos"),
+        ((s % texts) - 1).cast("int").alias("evi_pos"),
+        (s / texts).cast("int").alias("tok_pos"),
         F.col("embedding").cast("array<double>").alias("vec"),
     )
-    return t.where(F.col("evi_pos") < 2 + F.col("claim_id") % 6)
 
 
 def token_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

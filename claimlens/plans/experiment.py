@@ -40,11 +40,11 @@ def q_fold_average(spark, sf_dir):
 BATCH_ROWS_SQL = """
 SELECT CAST(user_id % 5 AS INTEGER) AS fold, CAST(dayofmonth(ts) - 1 AS INTEGER) AS epoch,
        CAST(hour(ts) AS INTEGER) AS batch, sqrt(value) AS loss, value / (value + 7) AS classify_loss
-FROM events WHERE event_type = 'click'"""
+FROM events"""
 
 
 def batch_rows(spark, sf_dir):
-    ev = FX.table(spark, sf_dir, "events").where(F.col("event_type") == "click")
+    ev = FX.table(spark, sf_dir, "events")
     return ev.select((F.col("user_id") % 5).cast("int").alias("fold"),
                      (F.dayofmonth("ts") - 1).cast("int").alias("epoch"),
                      F.hour("ts").cast("int").alias("batch"),

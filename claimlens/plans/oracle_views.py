@@ -36,13 +36,11 @@ FROM embeddings""",
     "f_pred": """
 SELECT doc_id, quality AS label, 1 - toxic AS prediction FROM labels""",
     "f_tokens": """
-SELECT * FROM (
-  SELECT vec_id % 20 AS claim_id,
-         CAST((vec_id // 20) % 8 - 1 AS INTEGER) AS evi_pos,
-         CAST(vec_id // 160 AS INTEGER) AS tok_pos,
-         embedding
-  FROM embeddings) t
-WHERE evi_pos < 2 + claim_id % 6""",
+SELECT vec_id % 20 AS claim_id,
+       CAST((vec_id // 20) % (3 + vec_id % 20 % 6) - 1 AS INTEGER) AS evi_pos,
+       CAST((vec_id // 20) // (3 + vec_id % 20 % 6) AS INTEGER) AS tok_pos,
+       embedding
+FROM embeddings""",
     "f_tok_dims": """
 SELECT claim_id, evi_pos, tok_pos, CAST(d.i AS INTEGER) AS dim, CAST(embedding[d.i + 1] AS DOUBLE) AS x
 FROM f_tokens, range(0, 64) d(i)""",
