@@ -55,11 +55,18 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rank_id():
+    """List id of a conversation; ids ending in 9 get an 'x' prefix, so those
+    claims have no ranked list (J3, correlation -1) while every row is used."""
+    cid = F.col("conv_id").cast("string")
+    return F.when(F.col("conv_id") % 10 == 9, F.concat(F.lit("x"), cid)).otherwise(cid)
+
+
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F_ranked: exploded ranked evidence (id, pos, snippet, score)."""
-    conv = table(spark, sf_dir, "conversations").where(F.col("conv_id") % 10 != 9)
+    conv = table(spark, sf_dir, "conversations")
     first = conv.select(
-        F.col("conv_id").cast("string").alias("id"),
+        rank_id().alias("id"),
         F.col("turn").alias("pos"),
         F.concat(
             F.expr("substring(text, 1 + CAST(conv_id % 2 AS INT), 12)"),
@@ -67,10 +74,10 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("snippet"),
         (F.lit(1.0) / (F.col("turn") + 1)).alias("score"),
     )
-    second = conv.where(F.col("turn") % 3 != 2).select(
-        F.col("conv_id").cast("string").alias("id"),
+    second = conv.select(
+        rank_id().alias("id"),
         (F.col("turn") + 100).alias("pos"),
-        F.expr("substring(text, 3, 6)").alias("snippet"),
+        F.expr("substring(text, CASE WHEN turn % 3 = 2 THEN 5 ELSE 3 END, 6)").alias("snippet"),
         (F.lit(2.0) / (F.col("turn") + 1)).alias("score"),
     )
     return first.unionByName(second)

@@ -20,14 +20,15 @@ SELECT a.conv_id AS id_left, a.conv_id * 100 + b.turn AS id_right,
        b.text AS evidence, b.role AS evidence_source, a.conv_id * 100 + b.turn AS row_pos
 FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn > 0""",
     "f_ranked": """
-SELECT CAST(conv_id AS VARCHAR) AS id, turn AS pos,
+SELECT CASE WHEN conv_id % 10 = 9 THEN 'x' ELSE '' END || CAST(conv_id AS VARCHAR) AS id, turn AS pos,
        substr(text, 1 + CAST(conv_id % 2 AS INTEGER), 12)
          || CASE WHEN conv_id % 2 = 1 AND turn % 2 = 0 THEN '~' ELSE '' END AS snippet,
        CAST(1 AS DOUBLE) / (turn + 1) AS score
-FROM conversations WHERE conv_id % 10 <> 9
+FROM conversations
 UNION ALL
-SELECT CAST(conv_id AS VARCHAR), 100 + turn, substr(text, 3, 6), CAST(2 AS DOUBLE) / (turn + 1)
-FROM conversations WHERE conv_id % 10 <> 9 AND turn % 3 <> 2""",
+SELECT CASE WHEN conv_id % 10 = 9 THEN 'x' ELSE '' END || CAST(conv_id AS VARCHAR), 100 + turn,
+       substr(text, CASE WHEN turn % 3 = 2 THEN 5 ELSE 3 END, 6), CAST(2 AS DOUBLE) / (turn + 1)
+FROM conversations""",
     "f_scores": """
 SELECT vec_id, round(4 * CAST(embedding[1] AS DOUBLE), 2) AS logit,
        CAST(CASE WHEN label >= 5 THEN 1 ELSE 0 END AS INTEGER) AS label,
