@@ -53,18 +53,44 @@ def q_encode(spark, sf_dir):
                     r6(F.get("vec", ENC_DIM - 1)).alias("v15"))
 
 
-@register("params_roundtrip", with_views("""
+def _params_sql() -> str:
+    """F_params with the source tables sized by the data's vocabularies."""
+    from claimlens.operators.params import PARAM_ORDER, shapes
+    shp = shapes(3, 64, 8, 1, 1, 4, 4, 3)
+    parts = []
+    for m, name in enumerate(PARAM_ORDER):
+        r, c = shp[name]
+        if name in ("claim_src", "evidence_src"):
+            col = "claim_source" if name == "claim_src" else "evidence_source"
+            rows = (f"(SELECT unnest(range(n)) AS i, n FROM "
+                    f"(SELECT count(DISTINCT {col}) + 1 AS n FROM f_rows))")
+            parts.append(f"SELECT '{name}' AS name, CAST(r.i AS INTEGER) AS i, CAST(c.j AS INTEGER) AS j, "
+                         f"sin(1 + 31 * r.i + 17 * c.j + {101 * m}) / sqrt(r.n) AS v "
+                         f"FROM {rows} r, range(0, {c}) c(j)")
+        else:
+            base = f"sin(1 + 31 * r.i + 17 * c.j + {101 * m}) / sqrt({r})"
+            val = f"1 + {base}" if name == "ln_gain" else base
+            parts.append(f"SELECT '{name}' AS name, CAST(r.i AS INTEGER) AS i, CAST(c.j AS INTEGER) AS j, "
+                         f"{val} AS v FROM range(0, {r}) r(i), range(0, {c}) c(j)")
+    return with_views("""
 SELECT name, count(*) AS n_values, CAST(max(i) + 1 AS INTEGER) AS n_rows, CAST(max(j) + 1 AS INTEGER) AS n_cols,
        round(sum(v), 6) AS total
-FROM f_params GROUP BY name""", params=SS.PARAMS))
+FROM dparams GROUP BY name""", "f_rows", ctes=[("dparams", "\nUNION ALL\n".join(parts))])
+
+
+@register("params_roundtrip", _params_sql())
 def q_params(spark, sf_dir):
-    """Parameter table written per (dataset, fold), read back, summarised."""
-    p = FX.params_for(spark, sf_dir, 3)
+    """A parameter table sized by the data (source vocabularies from the
+    whole tables), written per (dataset, fold), read back, summarised."""
+    rows = FX.rows(spark, sf_dir)
+    n_c, n_e = rows.agg(F.countDistinct("claim_source"), F.countDistinct("evidence_source")).first()
+    p = fixture_params(model_type=3, emb_dim=64, hidden_dim=8, claim_src_num=n_c + 1,
+                       evidence_src_num=n_e + 1, claim_src_dim=4, evidence_src_dim=4, mlp_hidden=3)
     path = scratch(spark, "params/fixture/fold=0")
     IO.write_params(spark, p, path)
     back = IO.read_params(spark, path)
-    rows = [(n, int(m.size), int(m.shape[0]), int(m.shape[1]), float(m.sum())) for n, m in back.mats.items()]
-    df = spark.createDataFrame(rows, "name string, n_values long, n_rows int, n_cols int, total double")
+    out = [(n, int(m.size), int(m.shape[0]), int(m.shape[1]), float(m.sum())) for n, m in back.mats.items()]
+    df = spark.createDataFrame(out, "name string, n_values long, n_rows int, n_cols int, total double")
     return df.select("name", "n_values", "n_rows", "n_cols", r6("total").alias("total"))
 
 
