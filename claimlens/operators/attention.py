@@ -159,13 +159,21 @@ def claim_side(rows: DataFrame, params: ModelParams, ctx: str, keep_map: bool =
     return rows.mapInPandas(fn, schema)
 
 
-def co_attention(proj: DataFrame, params: ModelParams, keep_maps: bool = False) -> dict:
+def co_attention(proj: DataFrame, params: ModelParams, keep_maps: bool = False,
+                 materialize: bool = True) -> dict:
     """M1 both directions over projected tokens.
 
+    The projected tokens feed four branches; with ``materialize`` they are cut
+    into the shared folder once, so the NumPy projection is not re-run per
+    branch (pass False when the caller has already cut them).
+
     Returns frames: ``slots`` (claim_id, evi_pos, gbar, e_hat, c_hat[, claim_map]),
     ``claims`` (claim_id, cbar, cmat, ctok) and, with ``keep_maps``, ``evidence_map``
     (claim_id, evi_pos, tok_pos, weight).
     """
+    if materialize:
+        from claimlens.session import cut_lineage
+        proj = cut_lineage(proj)
     claim_tok = proj.where(F.col("evi_pos") < 0)
     evi_tok = proj.where(F.col("evi_pos") >= 0)
     cbar = mean_pool(claim_tok, ["claim_id"], "h", "cbar")
@@ -228,7 +236,9 @@ def mean_attention(proj: DataFrame, w_claim: np.ndarray, b_claim: np.ndarray,
                    w_evi: np.ndarray, b_evi: np.ndarray) -> DataFrame:
     """M2: per (claim, evidence) linear maps of the claim mean and the evidence
     mean -> (claim_id, evi_pos, c_hat, e_hat)."""
+    from claimlens.session import cut_lineage
     spark = proj.sparkSession
+    proj = cut_lineage(proj)  # two branches read it
     cbar = mean_pool(proj.where(F.col("evi_pos") < 0), ["claim_id"], "h", "cbar")
     gbar = mean_pool(proj.where(F.col("evi_pos") >= 0), ["claim_id", "evi_pos"], "h", "gbar")
     rows = gbar.join(cbar, "claim_id")

@@ -69,7 +69,7 @@ def evidence_slots(tokens: DataFrame, params: ModelParams, keep_maps: bool = Fal
     proj = AT.project_tokens(tokens, params)
     if materialize:
         proj = cut_lineage(proj)
-    co = AT.co_attention(proj, params, keep_maps)
+    co = AT.co_attention(proj, params, keep_maps, materialize=False)  # cut above (or not at all)
     real = AT.affinity_rows(co["slots"], params).select(
         "claim_id", "evi_pos", "c_hat", "e_hat", "affinity",
         *(["claim_map", "ctok"] if keep_maps else []))
