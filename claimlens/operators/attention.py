@@ -171,13 +171,15 @@ def co_attention(proj: DataFrame, params: ModelParams, keep_maps: bool = False,
     ``claims`` (claim_id, cbar, cmat, ctok) and, with ``keep_maps``, ``evidence_map``
     (claim_id, evi_pos, tok_pos, weight).
     """
+    from claimlens.session import cut_lineage
     if materialize:
-        from claimlens.session import cut_lineage
         proj = cut_lineage(proj)
     claim_tok = proj.where(F.col("evi_pos") < 0)
     evi_tok = proj.where(F.col("evi_pos") >= 0)
     cbar = mean_pool(claim_tok, ["claim_id"], "h", "cbar")
     scored = _score_rows(evi_tok.join(cbar, "claim_id"), params, "h", "cbar", "co_w1", "co_v1", "a")
+    if keep_maps and materialize:
+        scored = cut_lineage(scored)  # feeds the pooled vectors and the weight map
     e_hat = weighted_pool(scored, ["claim_id", "evi_pos"], "h", "a_w", "e_hat")
     gbar = mean_pool(evi_tok, ["claim_id", "evi_pos"], "h", "gbar")
     cm = claim_matrices(claim_tok)
