@@ -167,3 +167,30 @@ def test_trim_tail_only_when_remainder_is_one(spark):
     assert trim_tail(df33, ["k"], only_if_mod=32).count() == 32    # 33 % 32 == 1 -> last row dropped
     assert trim_tail(df34, ["k"], only_if_mod=32).count() == 34
     assert sorted(r.k for r in trim_tail(df34, ["k"]).collect()) == list(range(33))
+
+
+def test_j1_auto_switches_to_exploded_for_long_lists(spark, monkeypatch):
+    from claimlens.operators import match as M
+    rows = spark.createDataFrame([(1, 10, "True", "c", "s", "alpha beta", "a", 1),
+                                  (2, 20, "True", "c", "s", "nothing", "a", 2)], ROWS)
+    long_list = [(f"zz{i}", float(i)) for i in range(40)] + [("beta", 7.5), ("alpha", 9.0)]
+    lists = spark.createDataFrame([("1", long_list), ("2", [("q", 1.0)])],
+                                  "id string, evidences array<struct<snippet:string, score:double>>")
+    calls = []
+    orig = M.match_ranked_evidence_exploded
+    monkeypatch.setattr(M, "match_ranked_evidence_exploded",
+                        lambda *a, **k: calls.append(1) or orig(*a, **k))
+    monkeypatch.setattr(M, "LONG_LIST", 10)
+    got = {r.id_right: r.correlation for r in M.match_ranked_evidence_auto(rows, lists).collect()}
+    assert calls and got == {10: 7.5, 20: -1.0}          # first in list order, not best score
+
+
+def test_broadcast_only_behind_size_check(spark):
+    from claimlens.operators.common import estimated_bytes, maybe_broadcast
+    small = spark.range(10)
+    assert estimated_bytes(small) is not None
+    plan_small = small.join(maybe_broadcast(spark.range(5)), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan_small.lower()
+    big = spark.range(10)
+    plan_big = big.join(maybe_broadcast(spark.range(5), limit=1), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan_big.lower()
