@@ -24,6 +24,7 @@ import hashlib
 import heapq
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +34,13 @@ from pyspark.sql import functions as F
 from claimlens.llm.common import whole
 
 BLANK = "▁"
-#: Chunks whose ids a worker keeps; the table starts anew when it is full.
+#: Chunks whose ids a worker keeps (twice, at most); the least recent ones go.
 KEPT_CHUNKS = 600_000
 #: Longer chunks (in symbols) have a heap of their own.
 SHORT_CHUNK = 24
 #: Texts' characters that are worked on at a time.
 PIECE_CHARS = 1 << 21
-NONE = np.int64(1) << 40
+NONE = (1 << 31) - 1
 
 
 class MergeModel:
@@ -66,17 +67,17 @@ class MergeModel:
             for c in p:
                 number.setdefault(c, size + len(number))
         self.number = number
-        pairs = sorted((number[p[:k]] << 32 | number[p[k:]], self.rank[p], i) for p, i in self.ids.items()
-                       for k in range(1, len(p)) if p[:k] in number and p[k:] in number)
-        self.pair, self.pair_rank, self.pair_id = (np.array(x, np.int64) for x in zip(*pairs))
+        self._pairs([(number[p[:k]] << 32 | number[p[k:]], self.rank[p], i) for p, i in self.ids.items()
+                     for k in range(1, len(p)) if p[:k] in number and p[k:] in number])
         self.names, self.ints = names, list(range(size))
         self.inner = {v: k for k, v in number.items() if v >= size}
         # Characters outside the vocabulary get numbers below -1 and never merge.
-        self.char = -2 - np.arange(0x110000, dtype=np.int64)
+        self.char = -2 - np.arange(0x110000, dtype=np.int32)
         single = [(ord(p), v) for p, v in number.items() if len(p) == 1]
         self.char[[c for c, _ in single]] = [v for _, v in single]
         self.decimal = [str(i) for i in range(size)]
         self.kept: dict[str, tuple[int, ...]] = {}
+        self.former: dict[str, tuple[int, ...]] = {}
 
     def chunk_ids(self, symbols: list[str]) -> tuple[int, ...]:
         out: list[int] = []
@@ -114,44 +115,71 @@ class MergeModel:
             offer(a, right[a])
         return self.chunk_ids([s for s in sym if s])
 
+    def _pairs(self, pairs: list[tuple[int, int, int]]) -> None:
+        """An open-addressing table of (left << 32 | right) with rank and made piece."""
+        bits = max(4, (4 * len(pairs)).bit_length())
+        self.mask = (1 << bits) - 1
+        self.slot_key = np.full(1 << bits, -1, np.int64)
+        self.slot_rank = np.full(1 << bits, NONE, np.int32)
+        self.slot_made = np.zeros(1 << bits, np.int32)
+        key, rank, made = (np.array(x, np.int64) for x in zip(*pairs))
+        at, left = self._home(key), np.arange(len(key))
+        while len(left):
+            free = self.slot_key[at[left]] == -1
+            first = np.unique(at[left[free]], return_index=True)[1]
+            put = left[free][first]
+            self.slot_key[at[put]], self.slot_rank[at[put]], self.slot_made[at[put]] = key[put], rank[put], made[put]
+            left = left[~np.isin(left, put)]
+            at[left] = np.where(self.slot_key[at[left]] != -1, (at[left] + 1) & self.mask, at[left])
+
+    def _home(self, key: np.ndarray) -> np.ndarray:
+        return ((key ^ (key >> 29)) * 0x9E3779B1 >> 12) & self.mask
+
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = (a << 32) | b
-        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        hit = (self.pair[at] == key) & (a >= 0) & (b >= 0)
-        return np.where(hit, self.pair_rank[at], NONE), at
+        """Rank and number of the piece that each two symbols make (NONE: none)."""
+        key = (a.astype(np.int64) << 32) | b
+        key[(a < 0) | (b < 0)] = -2
+        at = self._home(key)
+        have = self.slot_key[at]
+        todo = np.flatnonzero((have != key) & (have != -1))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & self.mask
+            have = self.slot_key[at[todo]]
+            todo = todo[(have != key[todo]) & (have != -1)]
+        return self.slot_rank[at], self.slot_made[at]
 
     def by_table(self, chunks: list[str]) -> list[tuple[int, ...]]:
-        """Many chunks of at most SHORT_CHUNK symbols, a merge for each in every step."""
+        """Many chunks of at most SHORT_CHUNK symbols, a merge for each in every step.
+
+        Symbols of a chunk are a linked list in its row; the last column ends it on
+        both sides. The rank at a symbol is that of the pair it begins."""
         lens = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        width = int(lens.max())
-        sym = np.full((len(chunks), width + 1), -1, np.int64)
-        own = np.arange(width + 1)[None] < lens[:, None]
+        n, wide = len(chunks), int(lens.max()) + 1
+        sym = np.full((n, wide), -1, np.int32)
+        own = np.arange(wide)[None] < lens[:, None]
         sym[own] = self.char[np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)]
-        rank, at = self._ranks(sym[:, :-1], sym[:, 1:])
-        live = np.arange(len(chunks))
-        done = sym.copy()
-        cols = np.arange(width + 1)[None]
+        rank2, made = (np.empty((n, wide), np.int32) for _ in range(2))
+        rank2[:, -1], made[:, -1] = NONE, 0
+        found = self._ranks(sym[:, :-1].ravel(), sym[:, 1:].ravel())
+        rank2[:, :-1], made[:, :-1] = (x.reshape(n, wide - 1) for x in found)
+        after = np.arange(1, n * wide + 1, dtype=np.int64)
+        before = np.arange(-1, n * wide - 1, dtype=np.int64)
+        before[::wide] += wide
+        done, sym, rank, made = sym, sym.ravel(), rank2.ravel(), made.ravel()
+        live = np.arange(n)
         while True:
-            best = rank.argmin(1)
-            go = rank[np.arange(len(rank)), best] < NONE
-            if not go.all():
-                done[live[~go]] = sym[~go]
-                live, sym, rank, at, best = live[go], sym[go], rank[go], at[go], best[go]
+            best = rank2[live].argmin(1) + live * wide
+            go = rank[best] < NONE
+            live, here = live[go], best[go]
             if not len(live):
                 break
-            r = np.arange(len(live))
-            sym[r, best] = self.pair_id[at[r, best]]
-            after = cols > best[:, None]
-            take = np.minimum(cols + after, width)
-            sym = np.take_along_axis(sym, take, 1)
-            sym[:, -1] = -1
-            take = np.minimum(cols[:, :-1] + after[:, :-1], width - 1)
-            rank, at = np.take_along_axis(rank, take, 1), np.take_along_axis(at, take, 1)
-            rank[:, -1] = NONE
-            for k in (best - 1, best):
-                ok = (k >= 0) & (k < width)
-                rr, kk = r[ok], k[ok]
-                rank[rr, kk], at[rr, kk] = self._ranks(sym[rr, kk], sym[rr, kk + 1])
+            gone = after[here]
+            then = after[gone]
+            sym[here], sym[gone], rank[gone] = made[here], -1, NONE
+            after[here], before[then] = then, here
+            rank[here], made[here] = self._ranks(sym[here], sym[then])
+            prior = before[here]
+            rank[prior], made[prior] = self._ranks(sym[prior], sym[here])
         real = done != -1
         flat, upto = done[real], np.concatenate([[0], np.cumsum(real.sum(1))]).tolist()
         odd = ((done < -1) | (done >= len(self.names))).any(1)
@@ -169,33 +197,41 @@ class MergeModel:
             return chr(-2 - number)
         return self.names[number] if number < len(self.names) else self.inner[number]
 
-    def learn(self, chunks: set[str], check: bool) -> None:
+    def learn(self, keys: set[str], check: bool) -> None:
         """Ids of chunks that aren't kept yet."""
-        if len(self.kept) + len(chunks) > KEPT_CHUNKS:
-            self.kept.clear()
-        short = [c for c in chunks if len(c) <= SHORT_CHUNK]
-        short.sort(key=len)  # rows of like width
-        for k in range(0, len(short), 20_000):
-            part = short[k:k + 20_000]
-            self.kept.update(zip(part, self.by_table(part)))
-        self.kept.update((c, self.by_heap(c)) for c in chunks if len(c) > SHORT_CHUNK)
-        if check:
-            # The library puts one blank before a text that isn't empty.
-            part = [c for c in chunks if c.startswith(BLANK) and c != BLANK]
-            for c, ids in zip(part, self.lib.encode([c[1:].replace(BLANK, " ") for c in part], num_threads=1)):
-                if self.kept[c] != tuple(ids):
-                    raise ValueError(f"chunk {c!r}: {self.kept[c]} here, {tuple(ids)} by the library")
+        short = sorted((k for k in keys if len(k) < SHORT_CHUNK), key=len)  # rows of like width
+        chunk = lambda k: k[1:] if k[:1] == BLANK else BLANK + k
+        for i in range(0, len(short), 20_000):
+            part = short[i:i + 20_000]
+            self.kept.update(zip(part, self.by_table([chunk(k) for k in part])))
+        self.kept.update((k, self.by_heap(chunk(k))) for k in keys if len(k) >= SHORT_CHUNK)
+        if check:  # the library puts one blank before a text that isn't empty
+            part = [k for k in keys if k and (k[0] != BLANK or k[1:2] == BLANK)]
+            texts = [k[2:].replace(BLANK, " ") if k[0] == BLANK else k for k in part]
+            for k, ids in zip(part, self.lib.encode(texts, num_threads=1)):
+                if self.kept[k] != tuple(ids):
+                    raise ValueError(f"chunk {chunk(k)!r}: {self.kept[k]} here, {tuple(ids)} by the library")
 
     def encode(self, texts: list[str], check: bool = True) -> list[list[int]]:
         """Ids of whole texts, without an end id."""
-        cut = [self.chunks.findall(self.lib.normalize(t)) if t else [] for t in texts]
-        kept = self.kept
-        new = {c for cs in cut for c in cs if c not in kept}
-        if new:
-            if len(kept) + len(new) > KEPT_CHUNKS:
-                new = {c for cs in cut for c in cs}
+        cut = [self.cut_up(self.lib.normalize(t)) if t else [] for t in texts]
+        new = set(chain.from_iterable(cut)) - self.kept.keys()
+        if len(self.kept) + len(new) > KEPT_CHUNKS:  # start anew, taking over what is met again
+            self.former, self.kept = self.kept, {}
+            new = set(chain.from_iterable(cut))
+        again = new & self.former.keys()
+        self.kept.update((k, self.former[k]) for k in again)
+        if new := new - again:
             self.learn(new, check)
-        return [[i for c in cs for i in kept[c]] for cs in cut]
+        ids = self.kept.__getitem__
+        return [list(chain.from_iterable(map(ids, cs))) for cs in cut]
+
+    def cut_up(self, text: str) -> list[str]:
+        """The chunks of a normalised text, each as its key: without the blank before it if
+        that is the only one, else with one more blank."""
+        if self.cut and text[:1] == BLANK and BLANK * 2 not in text:
+            return text.split(BLANK)[1:]
+        return [c[1:] if c[0] == BLANK != c[1:2] else BLANK + c for c in self.chunks.findall(text)]
 
 
 @lru_cache(maxsize=2)
