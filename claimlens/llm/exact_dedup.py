@@ -7,7 +7,7 @@ directory starts at the depth that the number of entries calls for and doubles
 only overfull buckets are split again. Owner tasks then take contiguous ranges
 of the directory and write their buckets to the shared folder, sorted.
 
-Entries with more than one row are chained: their texts are grouped by hash and
+Entries with more than one row are chained: their texts are grouped by their
 bytes, so that two texts with the same hash become two links of one chain, each
 with its own survivor.
 
@@ -93,9 +93,10 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     entries = stages.write(keyed.groupBy("h").agg(F.count("*").alias("n_rows"), F.max("id").alias("keep_id")), "entries")
     index = build_index(entries, stages, capacity)
     chained = index.filter("n_rows > 1").select("h")
-    # Rows of entries with several rows: grouped by hash and bytes, one link for each different text.
-    links = stages.write(rows.join(chained, "h", "left_semi").groupBy("h", "text").agg(
-        F.max("id").alias("link_keep"), F.count("*").alias("link_rows"))
+    # Rows of entries with several rows: grouped by their bytes, one link for each different text. The keys
+    # grow with the input, so they are never broadcast; grouping by text, not hash, lets a hot key be split.
+    links = stages.write(rows.join(chained.hint("merge"), "h", "left_semi").groupBy("text").agg(
+        F.first("h").alias("h"), F.max("id").alias("link_keep"), F.count("*").alias("link_rows"))
         .select("h", F.unhex(F.sha2("text", 256)).alias("sha"), "link_keep", "link_rows"), "links")
     return keyed.join(links, ["h", "sha"], "left").select(
         F.col("id").alias(id_col),
@@ -115,7 +116,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chained = index.filter("n_rows > 1").select("h")
     rest = [F.col(f"row.`{f.name}`") for f in docs.schema.fields
             if f.name not in (id_col, text_col) and isinstance(f.dataType, T.AtomicType)]
+    chained = chained.hint("merge")
     alone = rows.join(chained, "h", "left_anti").select("row")
-    heads = (rows.join(chained, "h", "left_semi").groupBy("h", "text")
+    heads = (rows.join(chained, "h", "left_semi").groupBy("text")
              .agg(F.max_by("row", F.struct("id", *rest)).alias("row")).select("row"))
     return alone.unionByName(heads).select("row.*")
