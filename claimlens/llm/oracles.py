@@ -69,3 +69,13 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY r, key, doc_id N
 SELECT doc_id, p.source, spot // 64 AS block, spot % 64 AS place, (spot // 64) // p.a * period + l.slot AS slot,
        (spot // 64) * period // p.a AS release, (((spot // 64) + 1) * period + p.a - 1) // p.a AS deadline
 FROM placed p JOIN plan l ON l.i = p.i AND l.turn = (spot // 64) % p.a, one"""
+
+LINE_DEDUP = r"""
+WITH t AS (SELECT doc_id, source, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT r, doc_id, source, unnest(ls) AS l, unnest(range(len(ls))) AS i FROM t),
+inked AS (SELECT *, regexp_matches(l, '[^\x20\x09-\x0D]') AS ink FROM lines),
+spread AS (SELECT l FROM inked WHERE ink GROUP BY l HAVING count(DISTINCT coalesce('=' || source, '')) >= 8),
+marked AS (SELECT *, ink AND l IN (SELECT l FROM spread) AS gone FROM inked)
+SELECT any_value(doc_id) AS doc_id, count(*) FILTER (ink) AS n_lines, count(*) FILTER (gone) AS n_removed,
+       sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY r"""

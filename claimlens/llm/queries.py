@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimlens.llm import exact_dedup, minhash, mixing, oracles, quality, sentencepiece_bpe, suffix_dedup
+from claimlens.llm import (
+    exact_dedup, line_dedup, minhash, mixing, oracles, quality, sentencepiece_bpe, suffix_dedup, token_counts)
 from claimlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +60,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removed_spans(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@register("op1_token_counts")
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.document_tokens(table(spark, sf_dir, "documents"))
+
+
+@register("op7_line_dedup", oracles.LINE_DEDUP)
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_spread_lines(table(spark, sf_dir, "documents"))
