@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from claimlens.llm import (
-    exact_dedup, line_dedup, minhash, mixing, oracles, quality, sentencepiece_bpe, suffix_dedup, token_counts)
+    exact_dedup, html_extract, line_dedup, minhash, mixing, oracles, quality, sentencepiece_bpe, suffix_dedup, token_counts)
 from claimlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_line_dedup", oracles.LINE_DEDUP)
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_spread_lines(table(spark, sf_dir, "documents"))
+
+
+@register("op4_html_extract")
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
