@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from claimlens.llm import (
-    exact_dedup, html_extract, line_dedup, minhash, mixing, oracles, quality, sentencepiece_bpe, suffix_dedup, token_counts)
+    exact_dedup, html_extract, line_dedup, minhash, mixing, oracles, pii_crf, quality, sentencepiece_bpe,
+    suffix_dedup, token_counts)
 from claimlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +76,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_html_extract")
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@register("op9_pii_crf")
+def op9_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.personal_data(table(spark, sf_dir, "documents"))
