@@ -157,15 +157,14 @@ def evidence_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F_history: per-fold metric history of unequal length (20..24 epochs)."""
+    """F_history: per-fold metric history of unequal length (20..24 epochs), over all events."""
     ev = table(spark, sf_dir, "events")
-    epoch = (F.dayofmonth("ts") - 1)
+    epoch = (F.dayofmonth("ts") - 1) % (20 + F.col("user_id") % 5)
     m = F.create_map(*[x for kv in HISTORY_METRICS.items() for x in map(F.lit, kv)])
     split = (F.when((F.col("user_id") / 5).cast("bigint") % 3 == 0, "train")
              .when((F.col("user_id") / 5).cast("bigint") % 3 == 1, "valid")
              .otherwise("test"))
-    return (ev.where(epoch < 20 + F.col("user_id") % 5)
-            .groupBy((F.col("user_id") % 5).cast("int").alias("fold"),
+    return (ev.groupBy((F.col("user_id") % 5).cast("int").alias("fold"),
                      epoch.cast("int").alias("epoch"),
                      split.alias("split"),
                      m[F.col("event_type")].alias("metric"))

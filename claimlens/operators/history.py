@@ -2,16 +2,12 @@
 
 History rows are long: (run, fold, epoch, split, metric, value). Fold average
 is a plain grouped ``avg`` (folds of unequal length simply stop contributing).
-The patience rule is sequential in epochs; it runs per (run, fold) in
-``applyInPandas`` -- a fold's history is a few dozen rows, folds scale out.
+The stop rules are windows per (run, fold) and one fold over its epochs.
 """
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,72 +41,65 @@ def stop_on_first_loss(history: DataFrame, group: list[str], metric: str = "loss
         F.min(F.when(F.col("value") > F.col("_v0"), F.col("epoch"))).alias("stop_epoch"))
 
 
-EARLY_STOP_SCHEMA = ("run string, fold int, epoch int, counter int, saved boolean, "
-                     "best_f1 double, best_auc double, stop boolean, reason string")
-
-
-def early_stop_trace(pdf: pd.DataFrame, patience: int = 10, delta: float = -0.01,
-                     gap: float = 0.02) -> pd.DataFrame:
-    """W7-W9 over one fold's wide history (epoch, train_loss, valid_loss,
-    valid_f1_macro, valid_auc), epochs in order. Emits a row per epoch seen
-    until the training loop would have returned."""
-    pdf = pdf.sort_values("epoch")
-    out = []
-    counter, early, best_f1, best_auc = 0, False, 0.0, 0.0
-    losses: list[float] = []
-    first_loss = None
-    for r in pdf.itertuples(index=False):
-        vl, tl = float(r.valid_loss), float(r.train_loss)
-        f1, auc = float(r.valid_f1_macro), float(r.valid_auc)
-        losses.append(vl)
-        if first_loss is None:
-            first_loss = vl
-        if vl > first_loss:
-            out.append((r.epoch, counter, False, best_f1, best_auc, True, "loss_above_first"))
-            break
-        # patience counter
-        if f1 < best_f1 + delta:
-            counter += 1
-            if counter >= patience:
-                early = True
-        else:
-            counter, early = 0, False
-        # checkpoint choice
-        saved = False
-        if best_f1 < f1:
-            saved = True
-            best_f1 = f1
-        elif best_f1 + delta <= f1 and auc >= best_auc:
-            saved = True
-        if saved and best_auc < auc:
-            best_auc = auc
-        # reset when the loss is among the two lowest so far
-        if vl in heapq.nsmallest(2, losses):
-            early, counter = False, 0
-        stop, reason = False, None
-        if early:
-            if abs(vl - tl) <= gap:
-                early, counter = False, 0
-            else:
-                stop, reason = True, "patience"
-        out.append((r.epoch, counter, saved, best_f1, best_auc, stop, reason))
-        if stop:
-            break
-    res = pd.DataFrame(out, columns=["epoch", "counter", "saved", "best_f1", "best_auc", "stop",
-                                     "reason"])
-    res.insert(0, "fold", int(pdf["fold"].iloc[0]) if len(pdf) else 0)
-    res.insert(0, "run", str(pdf["run"].iloc[0]) if len(pdf) else "")
-    return res
+STOP_METRICS = {"train_loss": ("loss", "train"), "valid_loss": ("loss", "valid"),
+                "f1": ("f1_macro", "valid"), "auc": ("auc", "valid")}
+
+
+def _fold_facts(history: DataFrame, delta: float, gap: float) -> DataFrame:
+    """Per (run, fold, epoch) what the stop rules ask of an epoch, as window columns.
+
+    Epochs that lack one of the four metrics are left out: a value that was never
+    recorded must not drive a stop."""
+    wide = history.groupBy("run", "fold", "epoch").agg(
+        *[F.max(F.when((F.col("metric") == m) & (F.col("split") == s), F.col("value"))).alias(c)
+          for c, (m, s) in STOP_METRICS.items()]).dropna()
+    by_epoch = Window.partitionBy("run", "fold").orderBy("epoch")
+    earlier = by_epoch.rowsBetween(Window.unboundedPreceding, -1)
+    upto = by_epoch.rowsBetween(Window.unboundedPreceding, 0)
+    floor = lambda c, w: F.greatest(F.lit(0.0), F.coalesce(F.max(c).over(w), F.lit(0.0)))
+    near_best = (F.col("f1") > F.col("f1_before")) | (F.col("f1") >= F.col("f1_before") + delta)
+    return (wide
+            .withColumn("f1_before", floor("f1", earlier)).withColumn("best_f1", floor("f1", upto))
+            # the checkpoint's auc only follows epochs whose f1 is good enough to be kept
+            .withColumn("auc_kept", F.when(near_best, F.col("auc")))
+            .withColumn("auc_before", floor("auc_kept", earlier)).withColumn("best_auc", floor("auc_kept", upto))
+            .withColumn("saved", (F.col("f1") > F.col("f1_before")) | (near_best & (F.col("auc") >= F.col("auc_before"))))
+            .withColumn("worse", F.col("f1") < F.col("f1_before") + delta)
+            .withColumn("lowest_two", F.size(F.filter(F.collect_list("valid_loss").over(earlier),
+                                                      lambda v: v < F.col("valid_loss"))) <= 1)
+            .withColumn("above_first", F.col("valid_loss") > F.first("valid_loss").over(upto))
+            .withColumn("apart", F.abs(F.col("valid_loss") - F.col("train_loss")) > gap))
 
 
 def early_stopping(history: DataFrame, patience: int = 10, delta: float = -0.01,
                    gap: float = 0.02) -> DataFrame:
-    """Per (run, fold) patience trace and checkpoint epochs."""
-    def pick(metric, split):
-        return F.max(F.when((F.col("metric") == metric) & (F.col("split") == split), F.col("value")))
-    wide = history.groupBy("run", "fold", "epoch").agg(
-        pick("loss", "train").alias("train_loss"), pick("loss", "valid").alias("valid_loss"),
-        pick("f1_macro", "valid").alias("valid_f1_macro"), pick("auc", "valid").alias("valid_auc"))
-    wide = wide.na.fill(0.0, ["train_loss", "valid_loss", "valid_f1_macro", "valid_auc"])
-    fn = lambda pdf: early_stop_trace(pdf, patience, delta, gap)
-    return wide.groupBy("run", "fold").applyInPandas(fn, EARLY_STOP_SCHEMA)
+    """A row per epoch up to the one that ends training (run, fold, epoch, counter,
+    saved, best_f1, best_auc, stop, reason).
+
+    Training ends at the first epoch whose validation loss is above the first epoch's, or
+    when ``patience`` epochs in a row had an f1 more than ``-delta`` under the best so far and
+    the losses lie more than ``gap`` apart. A loss among the two lowest so far starts the count
+    anew. The windows give each epoch's facts; only the count needs the order, as one fold
+    over the epoch array of a fold (a few dozen entries)."""
+    facts = _fold_facts(history, delta, gap)
+    seen = ["epoch", "saved", "f1_before", "auc_before", "best_f1", "best_auc", "worse", "lowest_two", "above_first", "apart"]
+
+    def one_epoch(state, x):
+        run_of_worse = F.when(x["worse"] & ~x["lowest_two"], state["counter"] + 1).otherwise(0)
+        tired = run_of_worse >= patience
+        counter = F.when(x["above_first"], state["counter"]).when(tired & ~x["apart"], 0).otherwise(run_of_worse)
+        reason = F.when(x["above_first"], "loss_above_first").when(tired & x["apart"], "patience")
+        row = F.struct(
+            x["epoch"].alias("epoch"), counter.alias("counter"), (x["saved"] & ~x["above_first"]).alias("saved"),
+            F.when(x["above_first"], x["f1_before"]).otherwise(x["best_f1"]).alias("best_f1"),
+            F.when(x["above_first"], x["auc_before"]).otherwise(x["best_auc"]).alias("best_auc"),
+            reason.isNotNull().alias("stop"), reason.alias("reason"))
+        ended = F.struct(counter.alias("counter"), reason.isNotNull().alias("over"),
+                         F.concat(state["rows"], F.array(row)).alias("rows"))
+        return F.when(state["over"], state).otherwise(ended)
+
+    start = F.struct(F.lit(0).alias("counter"), F.lit(False).alias("over"), F.array().cast(
+        "array<struct<epoch:int,counter:int,saved:boolean,best_f1:double,best_auc:double,stop:boolean,reason:string>>")
+        .alias("rows"))
+    folds = facts.groupBy("run", "fold").agg(F.array_sort(F.collect_list(F.struct(*seen))).alias("epochs"))
+    return folds.select("run", "fold", F.inline(F.aggregate("epochs", start, one_epoch)["rows"]))

@@ -92,13 +92,13 @@ def _early_stop_sql(patience=10, delta=-0.01, gap=0.02):
           CASE WHEN {first} THEN 'loss_above_first' WHEN {early} AND {far} THEN 'patience' END AS reason"""
     wide = """
 SELECT fold, epoch,
-  coalesce(max(CASE WHEN metric = 'loss' AND split = 'train' THEN v END), 0.0) AS tl,
-  coalesce(max(CASE WHEN metric = 'loss' AND split = 'valid' THEN v END), 0.0) AS vl,
-  coalesce(max(CASE WHEN metric = 'f1_macro' AND split = 'valid' THEN v END), 0.0) AS f1,
-  coalesce(max(CASE WHEN metric = 'auc' AND split = 'valid' THEN v END), 0.0) AS auc
+  max(CASE WHEN metric = 'loss' AND split = 'train' THEN v END) AS tl,
+  max(CASE WHEN metric = 'loss' AND split = 'valid' THEN v END) AS vl,
+  max(CASE WHEN metric = 'f1_macro' AND split = 'valid' THEN v END) AS f1,
+  max(CASE WHEN metric = 'auc' AND split = 'valid' THEN v END) AS auc
 FROM (SELECT fold, epoch, split, metric,
              CASE WHEN metric = 'loss' THEN value / (epoch + 1) ELSE value / 100 END AS v FROM f_history)
-GROUP BY fold, epoch"""
+GROUP BY fold, epoch HAVING tl IS NOT NULL AND vl IS NOT NULL AND f1 IS NOT NULL AND auc IS NOT NULL"""
     seq = """
 SELECT w.*, row_number() OVER (PARTITION BY fold ORDER BY epoch) AS k,
        first_value(vl) OVER (PARTITION BY fold ORDER BY epoch) AS v0,

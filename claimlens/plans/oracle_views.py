@@ -55,10 +55,10 @@ SELECT DISTINCT claim_id, evi_pos,
        CAST((claim_id * 7 + evi_pos * 3) % 11 AS DOUBLE) / 10.0 AS correlation
 FROM f_tokens WHERE evi_pos >= 0""",
     "f_history": f"""
-SELECT CAST(user_id % 5 AS INTEGER) AS fold, CAST(dayofmonth(ts) - 1 AS INTEGER) AS epoch,
+SELECT CAST(user_id % 5 AS INTEGER) AS fold, CAST((dayofmonth(ts) - 1) % (20 + user_id % 5) AS INTEGER) AS epoch,
        CASE (user_id // 5) % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'valid' ELSE 'test' END AS split,
        {_METRIC_CASE} AS metric, avg(value) AS value
-FROM events WHERE dayofmonth(ts) - 1 < 20 + user_id % 5
+FROM events
 GROUP BY ALL""",
 }
 
