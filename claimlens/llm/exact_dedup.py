@@ -98,6 +98,7 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = stages.write(rows.join(chained.hint("merge"), "h", "left_semi").groupBy("text").agg(
         F.first("h").alias("h"), F.max("id").alias("link_keep"), F.count("*").alias("link_rows"))
         .select("h", F.unhex(F.sha2("text", 256)).alias("sha"), "link_keep", "link_rows"), "links")
+    stages.drop(*(set(stages.paths) - {"keyed", "links"}))
     return keyed.join(links, ["h", "sha"], "left").select(
         F.col("id").alias(id_col),
         F.when(F.col("link_rows").isNull(), F.col("id")).otherwise(F.col("link_keep")).alias("keep_id"),

@@ -70,6 +70,7 @@ def remove_spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.first(F.struct("text", "gone")).alias("x")).select("t1", "t2", "x.*").select(
         "t1", "t2", F.size("gone").cast("long").alias("n_removed"), keep.alias("kept"))
     cut = stages.write(cut.select("t1", "t2", "n_removed", F.sha2("kept", 256).alias("kept_sha"), *(["kept"] if with_text else [])), "cut")
+    stages.drop("about", "spread", "hit")
     out = hashed.join(cut, ["t1", "t2"], "left").select(
         F.col("id").alias(id_col), F.size("lines").cast("long").alias("n_lines"),
         F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha", "sha").alias("kept_sha256"),

@@ -209,6 +209,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = nodes.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
     smallest = classes.groupBy("label").agg(F.min("least_id").alias("component"))
     by_node = stages.write(classes.join(smallest, "label").select("node", "component"), "classes")
+    stages.drop(*(set(stages.paths) - {"signed", "classes"}))
     return signed.join(by_node, "node", "left").select(
         F.col("id").alias(id_col), "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id")) \

@@ -417,8 +417,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     entries = long.select(rid, "text").mapInArrow(_emit_anchors(buckets), _ddl(_ANCHOR))
     live = stages.write(entries.groupBy("bucket").applyInArrow(_shared_anchors, _ddl(_LIVE)), "live")
     by_doc = live.groupBy("rid").agg(F.array_join(F.collect_list(F.hex("live")), "").alias("live"))
-    texts = long.select(rid, "ord", "text").dropDuplicates(["rid"]) if False else long.select(rid, "ord", "text")
-    joined = texts.join(by_doc.select("rid", F.unhex("live").alias("live")), "rid")
+    joined = long.select(rid, "ord", "text").join(by_doc.select("rid", F.unhex("live").alias("live")), "rid")
     stretches = joined.select("rid", "ord", "live", "text").mapInArrow(_emit_stretches(buckets), _ddl(_STRETCH))
     spans = stages.write(stretches.groupBy("bucket").applyInArrow(_cover, _ddl(_SPANS)), "spans")
     stages.drop("live")
