@@ -8,7 +8,7 @@ reference's encoder adds one; explanations cut it again).
 
 A real encoder plugs in through ``encode_texts(..., encoder_factory=...)``:
 texts are deduplicated first, encoded in Arrow batches by ``mapInPandas``
-(the factory runs once per Python worker), and joined back by text hash.
+(the factory runs once per Python worker), and joined back by text digest.
 """
 
 from __future__ import annotations
@@ -47,21 +47,24 @@ _WORKER_ENCODER: dict = {}
 
 def encode_texts(df: DataFrame, text: str, keys: list[str],
                  encoder_factory: Callable[[], Callable[[list[str]], list[np.ndarray]]],
-                 dim: int) -> DataFrame:
+                 dim: int, name: str) -> DataFrame:
     """Pluggable encoder: distinct texts -> encoder in Arrow batches -> join back.
 
     ``encoder_factory()`` returns ``f(texts) -> [array (n_tokens, dim)]``; it is
-    built once per Python worker and reused across batches and tasks.
+    built once per Python worker and reused across batches and tasks, kept under
+    the caller's ``name`` (which should tell the model and its version). Texts are
+    known by their SHA-256; a null text is encoded as the empty one.
     """
-    distinct = df.select(F.xxhash64(F.col(text)).alias("_th"), F.col(text).alias("_t")).dropDuplicates(["_th"])
-    schema = T.StructType([T.StructField("_th", T.LongType()), T.StructField("tok_pos", T.IntegerType()),
+    whole = F.coalesce(F.col(text), F.lit(""))
+    digest = F.unhex(F.sha2(whole, 256))
+    distinct = df.select(digest.alias("_th"), whole.alias("_t")).dropDuplicates(["_th"])
+    schema = T.StructType([T.StructField("_th", T.BinaryType()), T.StructField("tok_pos", T.IntegerType()),
                            T.StructField("vec", T.ArrayType(T.DoubleType()))])
 
     def fn(it):
-        key = id(encoder_factory)
-        if key not in _WORKER_ENCODER:
-            _WORKER_ENCODER[key] = encoder_factory()
-        enc = _WORKER_ENCODER[key]
+        if name not in _WORKER_ENCODER:
+            _WORKER_ENCODER[name] = encoder_factory()
+        enc = _WORKER_ENCODER[name]
         for pdf in it:
             if pdf.empty:
                 continue
@@ -69,11 +72,11 @@ def encode_texts(df: DataFrame, text: str, keys: list[str],
             rows_h, rows_p, rows_v = [], [], []
             for th, m in zip(pdf["_th"].values, mats):
                 for i, v in enumerate(np.asarray(m, dtype=np.float64)):
-                    rows_h.append(int(th))
+                    rows_h.append(bytes(th))
                     rows_p.append(i)
                     rows_v.append(v)
             yield pd.DataFrame({"_th": rows_h, "tok_pos": rows_p, "vec": rows_v})
 
     vecs = distinct.mapInPandas(fn, schema)
-    base = df.select(*keys, F.xxhash64(F.col(text)).alias("_th"))
+    base = df.select(*keys, digest.alias("_th"))
     return base.join(vecs, "_th").drop("_th")

@@ -41,11 +41,9 @@ def group_claim_examples(rows: DataFrame, order_col: str = "row_pos",
     if "correlation" not in clean.columns:
         clean = clean.withColumn("correlation", F.lit(-1.0))
     item = F.struct(F.col(order_col).alias("o"), "evidence", "evidence_source", "correlation")
-    # The string form of the claim id is functionally dependent on id_left, so
-    # the groups are unchanged; naming it lets the aggregate reuse the hash
-    # partitioning of the evidence match (joined on that string) -- no reshuffle.
-    keys = [*GROUP_KEYS, F.col("id_left").cast("string").alias("_cid")]
-    g = clean.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_ev"))
+    # The grouping keeps a shuffle of its own: reusing the evidence match's
+    # partitioning would forbid AQE to split a hot claim's join.
+    g = clean.groupBy(*GROUP_KEYS).agg(F.array_sort(F.collect_list(item)).alias("_ev"))
     ev = F.transform("_ev", lambda e: F.struct(
         e["evidence"].alias("evidence"), e["evidence_source"].alias("evidence_source"),
         e["correlation"].alias("correlation")))

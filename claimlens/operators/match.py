@@ -6,9 +6,9 @@ text; -1 when none does. It is one equi-join on the claim id with the list
 side un-exploded (one row per id), so the join never multiplies rows, and the
 containment test runs as a JVM-side higher-order ``filter`` over the list.
 
-J2 finds the same containment without an id, passages against a corpus: a
-broadcast nested loop for a handful of passages, else exact anchor candidates
-(join on the passage's longest interior token, then verify every candidate).
+J2 finds the same containment without an id, passages against a corpus, by exact
+anchor candidates (join on the passage's longest interior token, then verify
+every candidate).
 """
 
 from __future__ import annotations
@@ -17,22 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.operators.common import maybe_broadcast
-from claimlens.session import cut_lineage
-from claimlens.sources.files import explode_ranked
-
-
-LONG_LIST = 1000
-
-
-def match_ranked_evidence_auto(rows: DataFrame, ranked_lists: DataFrame, key: str = "id_right",
-                               id_col: str = "id_left", evidence_col: str = "evidence") -> DataFrame:
-    """J1 choosing its form from the longest ranked list (one aggregate): lists
-    of search results (tens of entries) ride along un-exploded; very long
-    lists are exploded so no single row carries them."""
-    longest = ranked_lists.agg(F.max(F.size("evidences"))).first()[0] or 0
-    if longest > LONG_LIST:
-        return match_ranked_evidence_exploded(rows, explode_ranked(ranked_lists), key, id_col, evidence_col)
-    return match_ranked_evidence(rows, ranked_lists, id_col, evidence_col)
 
 
 def match_ranked_evidence(rows: DataFrame, ranked_lists: DataFrame, id_col: str = "id_left",
@@ -49,18 +33,18 @@ def match_ranked_evidence(rows: DataFrame, ranked_lists: DataFrame, id_col: str
             .drop("_rid", "_ranked"))
 
 
-def match_ranked_evidence_exploded(rows: DataFrame, ranked: DataFrame, key: str = "id_right",
-                                   id_col: str = "id_left",
+def match_ranked_evidence_exploded(rows: DataFrame, ranked: DataFrame, id_col: str = "id_left",
                                    evidence_col: str = "evidence") -> DataFrame:
-    """J1 for very long lists: exploded list, hash join on the id with the
-    containment as residual (no cross product), first position per row."""
+    """J1 from the exploded list (id, pos, snippet, score): hash join on the id with the
+    containment as residual. The score depends on (claim id, evidence text) only, so hits are
+    found once for each distinct such pair and joined back to every row that has it, whatever
+    other ids repeat or are null."""
     r = ranked.select(F.col("id").alias("_rid"), "pos", "snippet", "score")
-    probe = rows.select(key, id_col, evidence_col)
-    hits = (probe.join(r, (probe[id_col].cast("string") == r["_rid"])
-                       & probe[evidence_col].contains(r["snippet"]))
-            .groupBy(key).agg(F.min_by("score", "pos").alias("_score")))
-    return (rows.join(hits, key, "left")
-            .withColumn("correlation", F.coalesce(F.col("_score"), F.lit(-1.0))).drop("_score"))
+    pair = rows.select(F.col(id_col).cast("string").alias("_id"), F.col(evidence_col).alias("_text")).distinct()
+    hits = (pair.join(r, (pair["_id"] == r["_rid"]) & pair["_text"].contains(r["snippet"]))
+            .groupBy("_id", "_text").agg(F.min_by("score", "pos").alias("_score")))
+    return (rows.join(hits, (rows[id_col].cast("string") == hits["_id"]) & (rows[evidence_col] == hits["_text"]), "left")
+            .withColumn("correlation", F.coalesce(F.col("_score"), F.lit(-1.0))).drop("_score", "_id", "_text"))
 
 
 def unmatched_claims(rows: DataFrame, ranked_lists: DataFrame, id_col: str = "id_left") -> DataFrame:
@@ -71,10 +55,6 @@ def unmatched_claims(rows: DataFrame, ranked_lists: DataFrame, id_col: str = "id
 
 
 # ---------------------------------------------------------------- J2
-NESTED_LOOP_MAX_PASSAGES = 64
-CANDIDATE_BROADCAST_ROWS = 1_000_000
-
-
 def _tokens(col):
     return F.split(F.trim(col), r"\s+")
 
@@ -97,43 +77,29 @@ def document_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def match_passages(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id",
                    item_id: str = "item_id", text_col: str = "text",
-                   strategy: str = "auto") -> DataFrame:
-    """Every (item, doc) where the passage occurs verbatim in the document.
+                   strategy: str = "anchor") -> DataFrame:
+    """The distinct (item, doc) ids where a passage of the item occurs verbatim in a
+    document of the id, whichever the strategy and however ids repeat.
 
-    ``broadcast``: nested loop against a broadcast passage list (cost docs x
-    passages; chosen by ``auto`` only for a handful of passages).
     ``anchor``: exact candidate generation -- documents' distinct tokens joined
-    with the passages' anchor tokens (anchor table broadcast when its size is
-    under the limit) -- then every candidate is verified with ``contains``;
-    candidates are broadcast to the verification only when counted small,
-    otherwise joined by doc id. Passages under 3 tokens use exact
-    character-gram candidates (``match_short_passages``).
+    with the passages' anchor tokens -- then every candidate is verified with
+    ``contains``. Passages under 3 tokens use exact character-gram candidates
+    (``match_short_passages``).
+    ``broadcast``: nested loop over the passages (cost docs x passages), for a
+    caller who knows that there is a handful of them.
     """
     p = passages.select(item_id, F.col(text_col).alias("_ptext"))
     d = docs.select(doc_id, F.col(text_col).alias("_dtext"))
-    if strategy == "auto":
-        n = passages.count()
-        strategy = "broadcast" if n <= NESTED_LOOP_MAX_PASSAGES else "anchor"
     if strategy == "broadcast":
-        return (d.join(F.broadcast(p), F.col("_dtext").contains(F.col("_ptext")))
-                .select(item_id, doc_id))
+        return d.join(maybe_broadcast(p), F.col("_dtext").contains(F.col("_ptext"))).select(item_id, doc_id).distinct()
     anchored = p.withColumn("anchor", passage_anchor(F.col("_ptext")))
     short = anchored.where(F.col("anchor").isNull()).drop("anchor")
-    anchors = anchored.where(F.col("anchor").isNotNull()).select(item_id, "anchor")
-    # candidates are used twice (count, then join): cut once into the shared
-    # folder (documents are read once; the cut holds two longs per candidate)
-    cand = cut_lineage(document_tokens(docs, doc_id, text_col)
-                       .join(maybe_broadcast(anchors), "anchor").select(doc_id, item_id))
-    n_cand = cand.count()
-    if n_cand <= CANDIDATE_BROADCAST_ROWS:
-        # two longs per candidate: bounded by the count check (16 MB)
-        with_doc = d.join(F.broadcast(cand), doc_id)
-    else:
-        with_doc = cand.join(d, doc_id)
-    verified = (with_doc.join(maybe_broadcast(p), item_id)
+    anchors = anchored.where(F.col("anchor").isNotNull()).select(item_id, "anchor").distinct()
+    cand = document_tokens(docs, doc_id, text_col).join(maybe_broadcast(anchors), "anchor").select(doc_id, item_id).distinct()
+    verified = (cand.join(d, doc_id).join(maybe_broadcast(p), item_id)
                 .where(F.col("_dtext").contains(F.col("_ptext"))).select(item_id, doc_id))
     rest = match_short_passages(docs, short, doc_id, item_id, text_col)
-    return verified.unionByName(rest)
+    return verified.unionByName(rest).distinct()
 
 
 SHORT_GRAM = 4
@@ -153,8 +119,8 @@ def match_short_passages(docs: DataFrame, short: DataFrame, doc_id: str, item_id
         if q is None:
             continue
         if q == 0:  # empty passages are contained in every document: the pairs are the result
-            ids = [r[0] for r in sp.where(F.col("_q") == 0).select(item_id).distinct().collect()]
-            part = d.select(F.explode(F.array(*[F.lit(i) for i in ids])).alias(item_id), doc_id)
+            part = d.join(sp.where(F.col("_q") == 0).select(item_id, "_ptext").distinct(),
+                          F.col("_dtext").contains(F.col("_ptext"))).select(item_id, doc_id)
         else:
             grams = d.select(doc_id, F.explode(F.array_distinct(F.transform(
                 F.sequence(F.lit(1), F.greatest(F.length("_dtext") - q + 1, F.lit(1))),

@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,9 +28,14 @@ def _parts(df: DataFrame, n: int | None) -> int:
     return max(1, int(conf))
 
 
-def _offsets_col(offsets: list[int]) -> Column:
-    return F.element_at(F.array(*[F.lit(int(o)) for o in offsets]),
-                        F.spark_partition_id() + 1).cast("long")
+def _with_offsets(ranged: DataFrame, offsets: dict[str, list[int]]) -> DataFrame:
+    """Add a column per entry: the row's partition's offset, from a table of one row per
+    partition that is broadcast (16 bytes a partition and entry), however many there are."""
+    names = list(offsets)
+    per_part = ranged.sparkSession.createDataFrame(
+        pd.DataFrame({"_part": range(len(offsets[names[0]])), **offsets}).astype("int64"))
+    return ranged.withColumn("_part", F.spark_partition_id().cast("long")) \
+        .join(F.broadcast(per_part), "_part").drop("_part")
 
 
 def global_position(df: DataFrame, order_cols: list, name: str | list = "pos",
@@ -49,16 +55,17 @@ def global_position(df: DataFrame, order_cols: list, name: str | list = "pos",
         per = {r["p"]: r["count"] for r in counts}
         offsets = list(itertools.accumulate([per.get(i, 0) for i in range(nparts)], initial=0))[:-1]
         within = F.monotonically_increasing_id() - (F.spark_partition_id().cast("long") * (1 << 33))
-        return ranged.withColumn(name, _offsets_col(offsets) + within)
+        return _with_offsets(ranged.withColumn(name, within), {"_off": offsets}) \
+            .withColumn(name, F.col(name) + F.col("_off")).drop("_off")
     weights = [weight] if isinstance(weight, str) else list(weight)
     names = [name] if isinstance(name, str) else list(name)
     sums = ranged.groupBy(F.spark_partition_id().alias("p")) \
         .agg(*[F.sum(w).alias(f"s{i}") for i, w in enumerate(weights)]).collect()  # one row per partition
-    with_off = ranged
+    offs = {}
     for i in range(len(weights)):
         per = {r["p"]: (r[f"s{i}"] or 0) for r in sums}
-        offsets = list(itertools.accumulate([per.get(p, 0) for p in range(nparts)], initial=0))[:-1]
-        with_off = with_off.withColumn(f"_off{i}", _offsets_col(offsets))
+        offs[f"_off{i}"] = list(itertools.accumulate([per.get(p, 0) for p in range(nparts)], initial=0))[:-1]
+    with_off = _with_offsets(ranged, offs)
     schema = T.StructType(with_off.schema.fields + [T.StructField(nm, T.LongType()) for nm in names])
 
     def running(it):

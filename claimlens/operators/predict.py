@@ -38,8 +38,13 @@ def predict_requests(requests: DataFrame, params: ModelParams, vocab: DataFrame,
                      id_col: str = "req_id", value_col: str = "value", dim: int = 16) -> dict:
     """-> {'predictions': (req_id, claim_md5, logit, prob, prediction), 'rejects': bad JSON}.
 
-    ``prediction`` is ``logit > 0`` (P12). Unseen sources map to index 0.
+    ``prediction`` is ``logit > 0`` (P12). Unseen sources map to index 0. The same id and
+    line again is the same request, scored once; an id with different lines is an error,
+    as their evidence would mix.
     """
+    requests = requests.select(id_col, value_col).dropDuplicates()
+    if not (twice := requests.groupBy(id_col).count().where("count > 1")).isEmpty():
+        raise ValueError(f"{id_col} with different requests: {[r[0] for r in twice.limit(5).collect()]}")
     good, rejects = parse_requests(requests, value_col)
     tokens, claims, evidence = request_tables(good, id_col, dim)
     res = score_claims(tokens, claims, evidence, params, vocab)

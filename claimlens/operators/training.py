@@ -191,18 +191,15 @@ def _load_latest(spark, save_dir: str):
     import json
 
     from claimlens.sources.files import _fs
-    try:
-        fs, p = _fs(spark, save_dir)
-        if not fs.exists(p):
-            return None
-        done = []
-        for st in fs.listStatus(p):
-            name = st.getPath().getName()
-            if name.startswith("epoch=") and fs.exists(
-                    spark.sparkContext._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                done.append(int(name.split("=", 1)[1]))
-    except Exception:  # noqa: BLE001
+    fs, p = _fs(spark, save_dir)
+    if not fs.exists(p):  # any other trouble with the store must not look like a fresh start
         return None
+    done = []
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if name.startswith("epoch=") and fs.exists(
+                spark.sparkContext._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            done.append(int(name.split("=", 1)[1]))
     if not done:
         return None
     epoch = max(done)

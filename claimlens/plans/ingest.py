@@ -50,8 +50,13 @@ def splits() -> dict:
 
 
 def write_split_files(spark, sf_dir) -> str:
+    """The split files as they come: an extra leading column, columns in another order,
+    text ids of evidences, an NA token for the missing source of every 11th evidence."""
     base = scratch(spark, "mapped")
-    rows = FX.rows(spark, sf_dir).select(*IO.EVIDENCE_COLUMNS)
+    rows = FX.rows(spark, sf_dir).select(
+        F.col("row_pos").alias("line_no"), *[c for c in reversed(IO.EVIDENCE_COLUMNS)])
+    rows = rows.withColumn("id_right", F.concat(F.lit("ev_"), "id_right")).withColumn(
+        "evidence_source", F.when(F.col("line_no") % 11 == 0, "n/a").otherwise(F.col("evidence_source")))
     for name, cond in splits().items():
         IO.write_evidence_tsv(rows.where(cond), f"{base}/{name}")
     return base
@@ -70,8 +75,8 @@ def q_match(spark, sf_dir):
     "SELECT id_left, id_right, evidence_source, round(correlation, 6) AS correlation FROM matched",
     "f_rows", "f_ranked", ctes=[("matched", MATCHED_SQL)]))
 def q_match_exploded(spark, sf_dir):
-    """J1 for very long lists: exploded ranked rows, hash join on the id with
-    containment as residual, first list position per evidence row."""
+    """J1 from exploded ranked rows: hash join on the id with containment as
+    residual, first list position per evidence row."""
     from claimlens.operators.match import match_ranked_evidence_exploded
     m = match_ranked_evidence_exploded(FX.rows(spark, sf_dir), FX.ranked(spark, sf_dir))
     return m.select("id_left", "id_right", "evidence_source", r6("correlation").alias("correlation"))
@@ -121,7 +126,8 @@ def q_example_lookup(spark, sf_dir):
 
 # ------------------------------------------------------------------ S1 / S2 / U1 / S3
 @register("scan_evidence_tsv", with_views("""
-SELECT id_left, id_right, cred_label, claim_source, evidence_source,
+SELECT id_left, 'ev_' || id_right AS id_right, cred_label, claim_source,
+       CASE WHEN id_right % 11 <> 0 THEN evidence_source END AS evidence_source,
        md5(claim_text) AS claim_md5, md5(evidence) AS evidence_md5
 FROM f_rows""", "f_rows"))
 def q_scan_tsv(spark, sf_dir):
@@ -133,7 +139,7 @@ def q_scan_tsv(spark, sf_dir):
 
 
 @register("union_files", with_views("""
-SELECT id_left, id_right, CASE WHEN id_left % 5 = 0 THEN 0 ELSE 1 END AS file_idx
+SELECT id_left, 'ev_' || id_right AS id_right, CASE WHEN id_left % 5 = 0 THEN 0 ELSE 1 END AS file_idx
 FROM f_rows WHERE id_left % 6 <> 5""", "f_rows"))
 def q_union_files(spark, sf_dir):
     base = write_split_files(spark, sf_dir)

@@ -25,7 +25,7 @@ SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text,
 @register("match_passages", PASSAGE_SQL)
 def q_match_passages(spark, sf_dir):
     docs, bench = FX.passages(spark, sf_dir)
-    return match_passages(docs, bench, strategy="auto")
+    return match_passages(docs, bench)
 
 
 @register("match_passages_anchor", PASSAGE_SQL)
@@ -185,7 +185,7 @@ FROM logits"""
     if stream:
         final = """
 SELECT md5(e.claim_text) AS claim_md5, round(g.logit, 6) AS logit, CAST(g.logit > 0 AS INTEGER) AS prediction
-FROM logits g JOIN ex e ON e.id_left = g.claim_id"""
+FROM logits g JOIN ex e ON e.id_left = g.claim_id, range(CASE WHEN e.id_left % 7 = 0 THEN 2 ELSE 1 END) again"""
     return with_views(final, "f_rows", params=SERVE_PARAMS, ctes=SERVE_CTES + chain)
 
 
@@ -202,7 +202,9 @@ def q_stream(spark, sf_dir):
     from claimlens.streaming.predict_stream import start_prediction_stream
     p, vocab = serving_model(spark, sf_dir)
     src = scratch(spark, "requests")
-    request_lines(spark, sf_dir).select("value").write.mode("overwrite").text(src)
+    lines = request_lines(spark, sf_dir)
+    again = lines.where(F.col("req_id") % 7 == 0)  # the same line twice: two equal answers
+    lines.unionByName(again).select("value").write.mode("overwrite").text(src)
     out, ck = scratch(spark, "predictions"), scratch(spark, "stream-ckpt")
     q = start_prediction_stream(spark, src, out, ck, p, vocab, dim=ENC_DIM)
     q.awaitTermination()

@@ -68,8 +68,8 @@ def get_session(master: str | None = None, app: str = "claimlens",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts: the cluster's ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) a fresh scratch folder is
-    created and registered, so every later checkpoint lands in one place.
+    Only a session without executors of its own (master local[...], as in tests)
+    may have none: a fresh scratch folder is then created and registered.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -77,6 +77,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="claimlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     sc.setCheckpointDir(d)

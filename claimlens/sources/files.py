@@ -23,7 +23,7 @@ EVIDENCE_COLUMNS = ["id_left", "id_right", "cred_label", "claim_text", "claim_so
 
 EVIDENCE_SCHEMA = T.StructType([
     T.StructField("id_left", T.LongType()),
-    T.StructField("id_right", T.LongType()),
+    T.StructField("id_right", T.StringType()),
     T.StructField("cred_label", T.StringType()),
     T.StructField("claim_text", T.StringType()),
     T.StructField("claim_source", T.StringType()),
@@ -86,26 +86,59 @@ def pick_files(spark: SparkSession, data_dir: str, pattern: str) -> list[str]:
 def read_evidence_tsv(spark: SparkSession, paths: list[str] | str,
                       schema: T.StructType = EVIDENCE_SCHEMA,
                       columns: list[str] | None = None,
-                      with_order: bool = False) -> DataFrame:
-    """Tab-separated evidence rows with a header; one multi-path scan.
+                      with_order: bool = False, multi_line: bool = True) -> DataFrame:
+    """Tab-separated evidence rows, bound by the names in each file's header.
+
+    Columns may come in any order and among others; one that is missing is an
+    error. Cells are read as text, NA tokens become null (S3), then cells are
+    cast to ``schema``; what can't be cast becomes null and is listed by
+    ``bad_cells``. Files with the same header are one multi-path scan (U1).
+
+    ``multi_line=False`` lets Spark split large files, for files without line
+    breaks inside quotes.
 
     ``with_order`` adds ``file_order``, a sortable struct that keeps the file
     order pandas would keep: (picked-path index, split offset, row in split).
     Spark packs splits by size, so the plain row id alone is not file order.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    df = spark.read.schema(schema).options(**TSV_OPTIONS).csv(paths)
+    raw = na_normalise(_read_by_name(spark, paths, [f.name for f in schema.fields], with_order, multi_line))
+    typed = raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields],
+                       *(["file_order"] if with_order else []))
     cols = columns or [f.name for f in schema.fields]
-    if not with_order:
-        return df.select(*cols)
-    names = F.create_map(*[x for i, p in enumerate(paths)
-                           for x in (F.lit(p.rstrip("/").rsplit("/", 1)[-1]), F.lit(i))])
+    return typed.select(*cols, *(["file_order"] if with_order else []))
+
+
+def bad_cells(spark: SparkSession, paths: list[str] | str, schema: T.StructType = EVIDENCE_SCHEMA,
+              multi_line: bool = True) -> DataFrame:
+    """(column, cell, n): cells that aren't NA and can't be cast to the column's type."""
+    raw = na_normalise(_read_by_name(spark, paths, [f.name for f in schema.fields], False, multi_line))
+    typed = [f for f in schema.fields if not isinstance(f.dataType, T.StringType)]
+    cells = F.filter(F.array(*[F.when(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull(), F.struct(
+        F.lit(f.name).alias("column"), F.col(f.name).alias("cell"))) for f in typed]), lambda x: x.isNotNull())
+    return raw.select(F.inline(cells)).groupBy("column", "cell").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _read_by_name(spark: SparkSession, paths: list[str] | str, names: list[str], with_order: bool,
+                  multi_line: bool) -> DataFrame:
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    options = {**TSV_OPTIONS, "multiLine": str(multi_line).lower()}
+    alike: dict[tuple, list[str]] = {}
+    for p in paths:  # only the header line is read
+        alike.setdefault(tuple(spark.read.options(**options).csv(p).columns), []).append(p)
+    place = F.create_map(*[x for i, p in enumerate(paths) for x in (F.lit(p.rstrip("/").rsplit("/", 1)[-1]), F.lit(i))])
     parent = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    fname = F.col("_metadata.file_name")
-    idx = F.coalesce(names[fname], names[parent], F.lit(len(paths)))
+    idx = F.coalesce(place[F.col("_metadata.file_name")], place[parent], F.lit(len(paths)))
     order = F.struct(idx.alias("file"), F.col("_metadata.file_block_start").alias("block"),
-                     F.monotonically_increasing_id().alias("row"))
-    return df.select(*cols, order.alias("file_order"))
+                     F.monotonically_increasing_id().alias("row")).alias("file_order")
+    out = None
+    for header, same in alike.items():
+        if missing := [c for c in names if c not in header]:
+            raise ValueError(f"{same[0]}: no column {', '.join(missing)} in {', '.join(header)}")
+        text = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        part = spark.read.schema(text).options(**options).csv(same).select(
+            *[F.col(f"`{c}`").alias(c) for c in names], *([order] if with_order else []))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def scan_files(spark: SparkSession, data_dir: str, pattern: str, **kw) -> DataFrame:
@@ -153,10 +186,12 @@ def ranked_from_raw(raw: DataFrame, topk: int | None = None) -> DataFrame:
 
 
 def write_ranked_evidence(lists: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Inverse of S4: one JSON line ``{id, evidences: [[snippet, score], ...]}``."""
-    out = lists.select("id", F.transform("evidences", lambda e: F.array(
-        e["snippet"], e["score"].cast("string"))).alias("evidences"))
-    out.write.mode(mode).json(path)
+    """Inverse of S4: one JSON line ``{id, evidences: [[snippet, score], ...]}``, scores as numbers."""
+    text = lambda c: F.regexp_extract(F.to_json(F.struct(F.coalesce(c, F.lit("")).alias("v"))), r"^\{\"v\":(.*)\}$", 1)
+    pairs = F.transform("evidences", lambda e: F.concat(
+        F.lit("["), text(e["snippet"]), F.lit(","), F.coalesce(e["score"].cast("string"), F.lit("null")), F.lit("]")))
+    line = F.concat(F.lit('{"id":'), text(F.col("id")), F.lit(',"evidences":['), F.array_join(pairs, ","), F.lit("]}"))
+    lists.select(line.alias("value")).write.mode(mode).text(path)
 
 
 def explode_ranked(lists: DataFrame) -> DataFrame:

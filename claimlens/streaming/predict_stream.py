@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimlens.operators.order import global_position
 from claimlens.operators.params import ModelParams
 from claimlens.operators.predict import predict_requests
 
@@ -23,11 +24,15 @@ def start_prediction_stream(spark: SparkSession, in_dir: str, out_dir: str, chec
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    src = reader.load(in_dir).withColumn("req_id", F.xxhash64("value"))
+    src = reader.load(in_dir)
 
     def score_batch(batch: DataFrame, batch_id: int) -> None:
-        out = predict_requests(batch, params, vocab, dim=dim)
-        (out["predictions"].withColumn("batch_id", F.lit(batch_id))
+        # Equal lines are scored once, under a number in the order of their digests, and joined back to each.
+        lines = batch.select("value", F.sha2("value", 256).alias("digest"))
+        numbered = global_position(lines.dropDuplicates(["digest"]), ["digest"], name="req_id")
+        out = predict_requests(numbered.select("req_id", "value"), params, vocab, dim=dim)
+        (lines.select("digest").join(numbered.select("digest", "req_id"), "digest").drop("digest")
+         .join(out["predictions"], "req_id").withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}"))
         (out["rejects"].withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").parquet(f"{out_dir}_rejects/batch_id={batch_id}"))

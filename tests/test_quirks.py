@@ -135,9 +135,6 @@ def test_confusion_matrix_all_cells(spark):
     assert cm == {0: (0, 0), 1: (0, 2)}
 
 
-def test_pandas_is_available():
-    assert pd.__version__
-
 
 def test_short_passages_exact(spark):
     from claimlens.operators.match import match_passages
@@ -169,20 +166,78 @@ def test_trim_tail_only_when_remainder_is_one(spark):
     assert sorted(r.k for r in trim_tail(df34, ["k"]).collect()) == list(range(33))
 
 
-def test_j1_auto_switches_to_exploded_for_long_lists(spark, monkeypatch):
+def test_j1_forms_agree_when_ids_repeat_or_are_null(spark):
     from claimlens.operators import match as M
-    rows = spark.createDataFrame([(1, 10, "True", "c", "s", "alpha beta", "a", 1),
-                                  (2, 20, "True", "c", "s", "nothing", "a", 2)], ROWS)
-    long_list = [(f"zz{i}", float(i)) for i in range(40)] + [("beta", 7.5), ("alpha", 9.0)]
-    lists = spark.createDataFrame([("1", long_list), ("2", [("q", 1.0)])],
+    rows = spark.createDataFrame([(1, 10, "True", "c", "s", "alpha beta", "a", 1), (1, 10, "True", "c", "s", "nothing", "a", 2),
+                                  (1, None, "True", "c", "s", "only beta", "a", 3), (1, None, "True", "c", "s", "only beta", "b", 4),
+                                  (2, 20, "True", "c", "s", "alpha", "a", 5)], ROWS)
+    lists = spark.createDataFrame([("1", [(f"zz{i}", float(i)) for i in range(40)] + [("beta", 7.5), ("alpha", 9.0)]), ("2", [("q", 1.0)])],
+                                  "id string, evidences array<struct<snippet:string, score:double>>")
+    want = [(1, 7.5), (2, -1.0), (3, 7.5), (4, 7.5), (5, -1.0)]       # first in list order, not best score
+    for got in (M.match_ranked_evidence(rows, lists), M.match_ranked_evidence_exploded(rows, IO.explode_ranked(lists))):
+        assert sorted((r.row_pos, r.correlation) for r in got.collect()) == want
+
+
+def test_tsv_columns_are_bound_by_name(spark, tmp_path):
+    head = "line\tevidence\tid_right\tid_left\tcred_label\tclaim_text\tevidence_source\tclaim_source\n"
+    (tmp_path / "a.tsv").write_text(head + "0\tsome text\tev_2\t7\tTrue\tclaim\tnan\tsite\n1\tmore\tev_3\tNA\t\tclaim\tx\tsite\n")
+    (tmp_path / "b.tsv").write_text("\t".join(IO.EVIDENCE_COLUMNS) + "\n8x\tev_4\tFalse\tc\ts\te\tx\n")
+    paths = [str(tmp_path / "a.tsv"), str(tmp_path / "b.tsv")]
+    got = {r.id_right: r for r in IO.read_evidence_tsv(spark, paths).collect()}
+    assert got["ev_2"].id_left == 7 and got["ev_2"].evidence == "some text" and got["ev_2"].evidence_source is None
+    assert got["ev_3"].id_left is None and got["ev_3"].cred_label is None and got["ev_4"].id_left is None
+    assert [tuple(r) for r in IO.bad_cells(spark, paths).collect()] == [("id_left", "8x", 1)]
+    (tmp_path / "c.tsv").write_text("id_left\tevidence\n1\tx\n")
+    with pytest.raises(ValueError):
+        IO.read_evidence_tsv(spark, str(tmp_path / "c.tsv"))
+
+
+def test_ranked_evidence_is_written_as_it_is_read(spark, tmp_path):
+    lists = spark.createDataFrame([("1", [('a "quoted" \\ line\nbreak', 0.5), ("b", 2.0)]), ("x2", [])],
                                   "id string, evidences array<struct<snippet:string, score:double>>")
-    calls = []
-    orig = M.match_ranked_evidence_exploded
-    monkeypatch.setattr(M, "match_ranked_evidence_exploded",
-                        lambda *a, **k: calls.append(1) or orig(*a, **k))
-    monkeypatch.setattr(M, "LONG_LIST", 10)
-    got = {r.id_right: r.correlation for r in M.match_ranked_evidence_auto(rows, lists).collect()}
-    assert calls and got == {10: 7.5, 20: -1.0}          # first in list order, not best score
+    IO.write_ranked_evidence(lists, str(tmp_path / "r"))
+    back = {r.id: [tuple(e) for e in r.evidences] for r in IO.read_ranked_evidence(spark, str(tmp_path / "r")).collect()}
+    assert back == {"1": [('a "quoted" \\ line\nbreak', 0.5), ("b", 2.0)], "x2": []}
+    import json
+    lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "r")).collect()]
+    assert all(isinstance(s, float) for x in lines for _, s in x["evidences"])
+
+
+def test_repeated_requests(spark):
+    from claimlens.operators.predict import predict_requests
+    df = spark.createDataFrame([(1, "{}"), (1, "[]")], "req_id long, value string")
+    with pytest.raises(ValueError):
+        predict_requests(df, None, None)
+
+
+def test_offsets_for_many_partitions_plan_fast(spark):
+    import time
+
+    from claimlens.operators.order import _with_offsets
+    t = time.time()
+    rows = _with_offsets(spark.range(10), {"_off": list(range(100_000))}).collect()
+    assert len(rows) == 10 and time.time() - t < 10
+
+
+def test_encoder_is_kept_by_name_and_texts_by_digest(spark):
+    import numpy as np
+
+    from claimlens.operators.encode import encode_texts
+    df = spark.createDataFrame([(1, "ab"), (2, "ab"), (3, None), (4, "c")], "k int, t string")
+    got = encode_texts(df, "t", ["k"], lambda: lambda ts: [np.full((len(t), 2), len(t)) for t in ts], 2, "letters-1")
+    assert sorted((r.k, r.tok_pos, tuple(r.vec)) for r in got.collect()) == [
+        (1, 0, (2.0, 2.0)), (1, 1, (2.0, 2.0)), (2, 0, (2.0, 2.0)), (2, 1, (2.0, 2.0)), (4, 0, (1.0, 1.0))]
+
+
+def test_j1_then_a1_may_split_a_hot_claim(spark):
+    """The grouping needs an exchange of its own, so AQE may split the join before it."""
+    rows = spark.createDataFrame([(1, 10, "True", "c1", "s", "e1", "a", 1)], ROWS)
+    lists = spark.createDataFrame([("1", [("e", 1.0)])], "id string, evidences array<struct<snippet:string, score:double>>")
+    from claimlens.operators.match import match_ranked_evidence
+    joined = match_ranked_evidence(rows, lists.hint("merge"))
+    plan = EX.group_claim_examples(joined)._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("SortMergeJoin")]
+    assert "hashpartitioning(cred_label" in above
 
 
 def test_broadcast_only_behind_size_check(spark):
