@@ -117,15 +117,15 @@ def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F_tokens: token vectors of claims (evi_pos -1) and their evidence.
 
-    Every embedding row is used. claim = vec_id % 20; the claim's rows
-    s = vec_id div 20 are dealt round-robin over its 3 + c % 6 texts (the claim
+    Every embedding row is used and the claims grow with the rows. claim =
+    vec_id div 25; the claim's rows s = vec_id % 25 are dealt round-robin over its 3 + c % 6 texts (the claim
     itself and 2 + c % 6 evidences): text = s mod (3 + c % 6), evi_pos =
     text - 1, tok_pos = s div (3 + c % 6). Claims below and above top-k occur.
     """
     e = table(spark, sf_dir, "embeddings")
-    claim = F.col("vec_id") % 20
+    claim = (F.col("vec_id") / 25).cast("bigint")
     texts = F.lit(3) + claim % 6
-    s = (F.col("vec_id") / 20).cast("bigint")
+    s = F.col("vec_id") % 25
     return e.select(
         claim.alias("claim_id"),
         ((s % texts) - 1).cast("int").alias("evi_pos"),

@@ -242,21 +242,22 @@ def train_head(features: DataFrame, params: ModelParams, epochs: int = 2, lr: fl
             last, params, opt.m, opt.v, opt.t, history = state
             first = last + 1
     for epoch in range(first, epochs):
-        loss_sum = cls_sum = 0.0
+        loss_sum, cls_sum, steps = 0.0, 0.0, 0
         for b in range(steps_per_epoch):
             part = feats if steps_per_epoch == 1 else feats.where(
                 F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), F.col("claim_id")), F.lit(steps_per_epoch)) == b)
             sums = gradient_sums(part, params, alpha)
-            if "__loss" not in sums:
+            if "__loss" not in sums:  # a step without claims counts for nothing
                 continue
+            steps += 1
             n, bce_s, rank_s = sums.pop("__loss")
             grads = {k: sums[k].reshape(params[k].shape) / n for k in HEAD_PARAMS if k in sums}
             params = opt.step(params, grads)
             loss_sum += (alpha * rank_s + bce_s) / n
             cls_sum += bce_s / n
-        history.append({"epoch": epoch, "loss": loss_sum / steps_per_epoch,
-                        "classify_loss": cls_sum / steps_per_epoch,
-                        "rank_loss": (loss_sum - cls_sum) / steps_per_epoch})
+        steps = max(1, steps)
+        history.append({"epoch": epoch, "loss": loss_sum / steps, "classify_loss": cls_sum / steps,
+                        "rank_loss": (loss_sum - cls_sum) / steps})
         if save_dir:
             _save_epoch(spark, save_dir, epoch, params, opt, history)
         if on_epoch is not None:
@@ -264,10 +265,13 @@ def train_head(features: DataFrame, params: ModelParams, epochs: int = 2, lr: fl
     return params, history
 
 
-def head_scores(features: DataFrame, params: ModelParams, alpha: float = 0.01) -> DataFrame:
-    """Forward only: (claim_id, logit, prob, label, bce, rank) per claim."""
+def head_scores(features: DataFrame, params: ModelParams, alpha: float = 0.01, keep: list[str] | None = None) -> DataFrame:
+    """Forward only: (claim_id, logit, prob, label, bce, rank) per claim, and the columns ``keep``."""
     bc = features.sparkSession.sparkContext.broadcast(params.check_size())
-    schema = "claim_id long, logit double, prob double, label int, bce double, rank double"
+    keep = list(keep or [])
+    names = ["claim_id", "logit", "prob", "label", "bce", "rank"]
+    schema = "claim_id long, logit double, prob double, label int, bce double, rank double" + "".join(
+        f", {c} {features.schema[c].dataType.simpleString()}" for c in keep)
 
     def fn(it):
         p = bc.value
@@ -278,13 +282,16 @@ def head_scores(features: DataFrame, params: ModelParams, alpha: float = 0.01) -
                 z, bce, rank, _ = claim_loss_grad(slots, int(cs), float(y), p, alpha, need_grad=False)
                 out.append((int(cid), z, 1.0 / (1.0 + math.exp(-z)), int(y), bce, rank))
             if out:
-                yield pd.DataFrame(out, columns=["claim_id", "logit", "prob", "label", "bce", "rank"])
+                got = pd.DataFrame(out, columns=names)
+                for c in keep:
+                    got[c] = pdf[c].values
+                yield got
 
-    return features.select("claim_id", "slots", "claim_src_idx", "label").mapInPandas(fn, schema)
+    return features.select("claim_id", "slots", "claim_src_idx", "label", *keep).mapInPandas(fn, schema)
 
 
 def epoch_metrics(scores: DataFrame, split_col: str = "split", alpha: float = 0.01) -> DataFrame:
-    """T5: per split loss parts and the full metric set in one pass + AUC."""
+    """T5: per split loss parts, the confusion metrics and AUC (which needs a sort of its own)."""
     from claimlens.operators import metrics as MX
     s = scores.withColumn("prediction", (F.col("prob") > 0.5).cast("int"))
     base = s.groupBy(split_col).agg(

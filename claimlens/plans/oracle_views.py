@@ -37,9 +37,9 @@ FROM embeddings""",
     "f_pred": """
 SELECT doc_id, quality AS label, 1 - toxic AS prediction FROM labels""",
     "f_tokens": """
-SELECT vec_id % 20 AS claim_id,
-       CAST((vec_id // 20) % (3 + vec_id % 20 % 6) - 1 AS INTEGER) AS evi_pos,
-       CAST((vec_id // 20) // (3 + vec_id % 20 % 6) AS INTEGER) AS tok_pos,
+SELECT vec_id // 25 AS claim_id,
+       CAST((vec_id % 25) % (3 + vec_id // 25 % 6) - 1 AS INTEGER) AS evi_pos,
+       CAST((vec_id % 25) // (3 + vec_id // 25 % 6) AS INTEGER) AS tok_pos,
        embedding
 FROM embeddings""",
     "f_tok_dims": """

@@ -14,9 +14,15 @@ from claimlens.plans.registry import r6, register
 from claimlens.plans.scoring import LISTNET_CTE, LISTNET_SQL
 from claimlens.session import cut_lineage
 
+
 def split_col():
-    return F.when(F.col("claim_id") % 3 == 0, "train").when(F.col("claim_id") % 3 == 1, "valid") \
-        .otherwise("test")
+    """A split by a seeded hash of the claim id, independent of the label."""
+    h = F.conv(F.substring(F.md5(F.concat(F.lit("split:8:"), F.col("claim_id").cast("string"))), 1, 8), 16, 10).cast("long") % 3
+    return F.when(h == 0, "train").when(h == 1, "valid").otherwise("test")
+
+
+SPLIT_SQL = ("CASE ('0x' || substr(md5('split:8:' || CAST(claim_id AS VARCHAR)), 1, 8))::BIGINT % 3 "
+             "WHEN 0 THEN 'train' WHEN 1 THEN 'valid' ELSE 'test' END")
 
 
 def features(spark, sf_dir):
@@ -28,22 +34,41 @@ def features(spark, sf_dir):
     return feats.withColumn("split", split_col()).withColumn("fold", (F.col("claim_id") % 5).cast("int")), p
 
 
-@register("epoch_metrics", with_views("""
-SELECT split, count(*) AS n, round(avg(bce), 6) AS classify_loss, round(avg(listnet), 6) AS listnet,
-       round(avg(bce) + 0.01 * avg(listnet), 6) AS loss,
-       round(avg(CAST(p = label AS DOUBLE)), 6) AS accuracy
-FROM (SELECT CASE claim_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'valid' ELSE 'test' END AS split,
-             greatest(g.logit, 0) - g.logit * s.label + ln(1 + exp(-abs(g.logit))) AS bce,
-             l.listnet, CAST(1 / (1 + exp(-g.logit)) > 0.5 AS INTEGER) AS p, s.label
-      FROM logits g JOIN ln_claims l USING (claim_id) JOIN f_token_sources s USING (claim_id))
-GROUP BY split""", "f_tokens", "f_tok_dims", "f_token_sources", "f_evidence_meta", params=SS.PARAMS,
-                                    ctes=SS.CHAIN + [LISTNET_CTE, ("ln_claims", LISTNET_SQL)]))
+EPOCH_CTES = [
+    LISTNET_CTE, ("ln_claims", LISTNET_SQL),
+    ("em", f"""SELECT {SPLIT_SQL} AS split, claim_id, s.label, 1 / (1 + exp(-g.logit)) AS prob,
+                      CAST(1 / (1 + exp(-g.logit)) > 0.5 AS INTEGER) AS p,
+                      greatest(g.logit, 0) - g.logit * s.label + ln(1 + exp(-abs(g.logit))) AS bce, l.listnet
+               FROM logits g JOIN ln_claims l USING (claim_id) JOIN f_token_sources s USING (claim_id)"""),
+    ("cells", """SELECT split, k, CAST(count_if(p = k AND label = k) AS DOUBLE) AS tp, count_if(p = k) AS said,
+                        count_if(label = k) AS truly FROM em, (SELECT unnest([0, 1]) AS k) GROUP BY split, k"""),
+    ("prf", """SELECT *, CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END AS f1 FROM (
+                 SELECT split, k, CASE WHEN said > 0 THEN tp / said ELSE 0 END AS pr,
+                        CASE WHEN truly > 0 THEN tp / truly ELSE 0 END AS re FROM cells)"""),
+    ("aucs", """SELECT a.split, avg(CASE WHEN a.prob > b.prob THEN 1.0 WHEN a.prob = b.prob THEN 0.5 ELSE 0.0 END) AS auc
+                FROM em a JOIN em b ON a.split = b.split AND a.label = 1 AND b.label = 0 GROUP BY a.split"""),
+]
+EPOCH_METRICS = ["classify_loss", "listnet", "loss", "rank_loss", "accuracy", "auc", "f1_macro", "f1_micro",
+                 *(f"{m}_{k}" for m in ("precision", "recall", "f1") for k in (0, 1))]
+_AT = ", ".join(f"round(max({c}) FILTER (k = {k}), 6) AS {m}_{k}" for m, c in (("precision", "pr"), ("recall", "re"), ("f1", "f1"))
+                for k in (0, 1))
+
+
+@register("epoch_metrics", with_views(f"""
+SELECT * FROM (
+  SELECT split, count(*) AS n, round(avg(bce), 6) AS classify_loss, round(avg(listnet), 6) AS listnet,
+         round(avg(bce) + 0.01 * avg(listnet), 6) AS loss, round(0.01 * avg(listnet), 6) AS rank_loss,
+         round(avg(CAST(p = label AS DOUBLE)), 6) AS accuracy, round(avg(CAST(p = label AS DOUBLE)), 6) AS f1_micro
+  FROM em GROUP BY split)
+JOIN (SELECT split, round(avg(f1), 6) AS f1_macro, {_AT} FROM prf GROUP BY split) USING (split)
+LEFT JOIN (SELECT split, round(auc, 6) AS auc FROM aucs) USING (split)""",
+                                      "f_tokens", "f_tok_dims", "f_token_sources", "f_evidence_meta", params=SS.PARAMS,
+                                      ctes=SS.CHAIN + EPOCH_CTES))
 def q_epoch_metrics(spark, sf_dir):
+    """T5: the whole metric set of each split; the scores are computed once."""
     feats, p = features(spark, sf_dir)
-    sc = TR.head_scores(feats, p).join(feats.select("claim_id", "split"), "claim_id")
-    m = TR.epoch_metrics(sc, "split")
-    return m.select("split", "n", r6("classify_loss").alias("classify_loss"), r6("listnet").alias("listnet"),
-                    r6("loss").alias("loss"), r6("accuracy").alias("accuracy"))
+    sc = cut_lineage(TR.head_scores(feats, p, keep=["split"]))
+    return TR.epoch_metrics(sc, "split").select("split", "n", *[r6(c).alias(c) for c in EPOCH_METRICS])
 
 
 @register("train_head")
@@ -90,7 +115,7 @@ def q_cv(spark, sf_dir):
             allsp = (train.withColumn("split", F.lit("train"))
                      .unionByName(valid.withColumn("split", F.lit("valid")))
                      .unionByName(test.withColumn("split", F.lit("test"))))
-            sc = TR.head_scores(allsp, p).join(allsp.select("claim_id", "split"), "claim_id")
+            sc = cut_lineage(TR.head_scores(allsp, p, keep=["split"]))
             for r in TR.epoch_metrics(sc, "split").collect():  # one row per split
                 for metric in ("loss", "classify_loss", "rank_loss", "accuracy", "auc", "f1_macro"):
                     v = r[metric]
