@@ -83,6 +83,12 @@ def cap_evidence(df: DataFrame, keys: list[str] | None = None, limit: int = 29)
     return evidence_rank(df, keys).where(F.col("rank") < limit).drop("rank")
 
 
+def align(raw: DataFrame, layout: str, limit: int = 29) -> DataFrame:
+    """P2-P6 as one operator: a raw layout's columns and labels aligned, then the cap on the
+    evidences of a claim; rows without a label (or another key) go, as in the source."""
+    return cap_evidence({"a": align_layout_a, "b": align_layout_b}[layout](raw), limit=limit)
+
+
 def label_string(c: Column, dtype: T.DataType | None = None, null_label: str = "nan") -> Column:
     """Label to its string form; null -> 'nan'; booleans print True/False."""
     s = F.initcap(c.cast("string")) if isinstance(dtype, T.BooleanType) else c.cast("string")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from claimlens import fixtures as FX
 from claimlens.functions import arrays as AR
 from claimlens.operators import attention as AT
+from claimlens.operators import metrics as MX
 from claimlens.operators.losses import bce_terms, joint_loss, listnet_per_claim
 from claimlens.operators.params import formula_matrix
 from claimlens.operators.scoring import evidence_slots, score_claims
@@ -30,10 +31,15 @@ def _long(df, keys, col, idx="j", val="v"):
     return df.select(*keys, F.posexplode(col).alias(idx, "_x")).select(*keys, idx, r6("_x").alias(val))
 
 
+def micros(c):
+    """Every component of an array, in millionths, as one string (engine-neutral)."""
+    return F.array_join(F.transform(c, lambda x: F.round(x * 1e6).cast("bigint").cast("string")), ",")
+
+
 # ------------------------------------------------------------------ F9 / F10
 @register("array_softmax", """
-SELECT vec_id, round(list_extract(sm, 1), 6) AS p0, round(list_max(sm), 6) AS p_max,
-       round(list_sum(sm), 6) AS p_sum, round(list_extract(lsm, 1), 6) AS logp0
+SELECT vec_id, array_to_string(list_transform(sm, lambda x: CAST(round(x * 1e6) AS BIGINT)), ',') AS p,
+       array_to_string(list_transform(lsm, lambda x: CAST(round(x * 1e6) AS BIGINT)), ',') AS logp
 FROM (SELECT vec_id,
         list_transform(e, lambda x: exp(x - list_max(e)) / list_sum(list_transform(e, lambda y: exp(y - list_max(e))))) AS sm,
         list_transform(e, lambda x: x - list_max(e) - ln(list_sum(list_transform(e, lambda y: exp(y - list_max(e)))))) AS lsm
@@ -41,8 +47,7 @@ FROM (SELECT vec_id,
 def q_array_softmax(spark, sf_dir):
     e = FX.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     sm, lsm = AR.softmax(F.col("e")), AR.log_softmax(F.col("e"))
-    return e.select("vec_id", r6(F.get(sm, 0)).alias("p0"), r6(F.array_max(sm)).alias("p_max"),
-                    r6(AR.vsum(sm)).alias("p_sum"), r6(F.get(lsm, 0)).alias("logp0"))
+    return e.select("vec_id", micros(sm).alias("p"), micros(lsm).alias("logp"))
 
 
 @register("vector_ops", """
@@ -239,24 +244,39 @@ def q_joint(spark, sf_dir):
                       r6(joint_loss(F.col("listnet"), F.col("bce"), 0.01)).alias("joint"))
 
 
-@register("evaluate_split", chain_sql("""
-SELECT CAST(count(*) AS BIGINT) AS n, round(avg(CAST(p = label AS DOUBLE)), 6) AS accuracy,
-       CAST(count_if(p = 1 AND label = 1) AS BIGINT) AS tp_1,
-       CAST(count_if(p = 1 AND label = 0) AS BIGINT) AS fp_1,
-       CAST(count_if(p = 0 AND label = 0) AS BIGINT) AS tp_0,
-       CAST(count_if(p = 0 AND label = 1) AS BIGINT) AS fp_0
-FROM (SELECT g.claim_id, CAST(1 / (1 + exp(-g.logit)) > 0.5 AS INTEGER) AS p, s.label
-      FROM logits g JOIN f_token_sources s USING (claim_id))""", "logits"))
+REPORT_CTES = [
+    ("ev", """SELECT s.label, CAST(1 / (1 + exp(-g.logit)) > 0.5 AS INTEGER) AS p, 1 / (1 + exp(-g.logit)) AS prob
+              FROM logits g JOIN f_token_sources s USING (claim_id)"""),
+    ("cells", """SELECT k, count_if(p = k AND label = k) AS tp, count_if(p = k AND label <> k) AS fp,
+                        count_if(p <> k AND label = k) AS fn FROM ev, (SELECT unnest([0, 1]) AS k) GROUP BY k"""),
+    ("prf", """SELECT *, CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END AS f1 FROM (
+                 SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS pr,
+                        CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS re FROM cells)"""),
+]
+_CELLS = ", ".join(f"CAST(max({c}) FILTER (k = {k}) AS BIGINT) AS {c}_{k}" for c in ("tp", "fp", "fn") for k in (0, 1))
+_RATES = ", ".join(f"round(max({c}) FILTER (k = {k}), 6) AS {m}_{k}" for m, c in (("precision", "pr"), ("recall", "re"), ("f1", "f1"))
+                   for k in (0, 1))
+
+
+@register("evaluate_split", with_views(f"""
+SELECT *, (SELECT CAST(count(*) AS BIGINT) FROM ev) AS n, (SELECT round(avg(CAST(p = label AS DOUBLE)), 6) FROM ev) AS accuracy,
+       (SELECT round(avg(CAST(p = label AS DOUBLE)), 6) FROM ev) AS f1_micro,
+       (SELECT round(avg(CASE WHEN a.prob > b.prob THEN 1.0 WHEN a.prob = b.prob THEN 0.5 ELSE 0.0 END), 6)
+        FROM ev a, ev b WHERE a.label = 1 AND b.label = 0) AS auc
+FROM (SELECT round(avg(f1), 6) AS f1_macro, {_CELLS}, {_RATES} FROM prf)""",
+                                       "f_tokens", "f_tok_dims", "f_token_sources", "f_evidence_meta", params=SS.PARAMS,
+                                       ctes=SS.CHAIN + REPORT_CTES))
 def q_evaluate(spark, sf_dir):
-    """Score a labelled split, threshold the probability, report counts."""
-    s = scored(spark, sf_dir)["scores"].withColumn("p", (F.col("prob") > 0.5).cast("int"))
-    p, y = F.col("p"), F.col("label")
-    return s.agg(F.count(F.lit(1)).alias("n"),
-                 r6(F.avg((p == y).cast("double"))).alias("accuracy"),
-                 F.count_if((p == 1) & (y == 1)).cast("bigint").alias("tp_1"),
-                 F.count_if((p == 1) & (y == 0)).cast("bigint").alias("fp_1"),
-                 F.count_if((p == 0) & (y == 0)).cast("bigint").alias("tp_0"),
-                 F.count_if((p == 0) & (y == 1)).cast("bigint").alias("fp_0"))
+    """Score a labelled split, threshold the probability, the whole report: counts,
+    precision, recall and F1 per class, macro and micro F1, accuracy, AUC. The outcome
+    histograms are ``logit_histogram``, the matrix is ``confusion_matrix``."""
+    s = scored(spark, sf_dir)["scores"].select(
+        F.lit(0).alias("g"), "label", "prob", (F.col("prob") > 0.5).cast("int").alias("prediction"))
+    rep = MX.prf_from_counts(MX.confusion_counts(s, ["g"])).join(MX.accuracy(s, ["g"]), "g") \
+        .join(MX.roc_auc(s, ["g"], score="prob"), "g")
+    cells = [f"{c}_{k}" for c in ("tp", "fp", "fn") for k in (0, 1)]
+    rates = ["accuracy", "auc", "f1_macro", "f1_micro", *(f"{m}_{k}" for m in ("precision", "recall", "f1") for k in (0, 1))]
+    return rep.select("n", *cells, *[r6(c).alias(c) for c in rates])
 
 
 # ------------------------------------------------------------------ M2 / M5
@@ -279,10 +299,13 @@ def _mac_sql():
     extra = " UNION ALL ".join([_extra_sql(17, H, H, "l1_w"), _extra_sql(18, 1, H, "l1_b"),
                                 _extra_sql(19, H, H, "l2_w"), _extra_sql(20, 1, H, "l2_b")])
     return with_views(f"""
-SELECT g.claim_id, g.evi_pos, w.j,
-       round(sum(c.v * w.v) + any_value(b.v), 6) AS c_hat
+SELECT g.claim_id, g.evi_pos, 'claim' AS side, w.j, round(sum(c.v * w.v) + any_value(b.v), 6) AS v
 FROM (SELECT DISTINCT claim_id, evi_pos FROM gbar) g JOIN cbar c USING (claim_id)
 JOIN mac w ON w.name = 'l1_w' AND w.i = c.j JOIN mac b ON b.name = 'l1_b' AND b.j = w.j
+GROUP BY g.claim_id, g.evi_pos, w.j
+UNION ALL
+SELECT g.claim_id, g.evi_pos, 'evidence', w.j, round(sum(g.v * w.v) + any_value(b.v), 6)
+FROM gbar g JOIN mac w ON w.name = 'l2_w' AND w.i = g.j JOIN mac b ON b.name = 'l2_b' AND b.j = w.j
 GROUP BY g.claim_id, g.evi_pos, w.j""", "f_tokens", "f_tok_dims", "f_token_sources", "f_evidence_meta",
                       params=SS.PARAMS, ctes=SS.CHAIN[: SS.ORDER.index("gbar") + 1] + [("mac", extra)])
 
@@ -292,7 +315,10 @@ def q_mean_attention(spark, sf_dir):
     wc, bcl, we, be = _mac_params()
     h = AT.project_tokens(FX.tokens(spark, sf_dir), params(spark, sf_dir))
     m = AT.mean_attention(h, wc, bcl, we, be)
-    return _long(m, ["claim_id", "evi_pos"], "c_hat", "j", "c_hat")
+    both = m.select("claim_id", "evi_pos", F.explode(F.array(
+        F.struct(F.lit("claim").alias("side"), F.col("c_hat").alias("v")),
+        F.struct(F.lit("evidence").alias("side"), F.col("e_hat").alias("v")))).alias("s")).select("claim_id", "evi_pos", "s.*")
+    return _long(both, ["claim_id", "evi_pos", "side"], "v", "j", "v")
 
 
 def _add_sql():

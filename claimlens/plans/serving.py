@@ -16,6 +16,7 @@ from claimlens.plans.ingest import claim_examples
 from claimlens.plans import scoring_sql as SS
 from claimlens.plans.oracle_views import with_views
 from claimlens.plans.registry import r6, register, scratch
+from claimlens.plans.scoring import micros
 from claimlens.sources import files as IO
 
 PASSAGE_SQL = """
@@ -39,7 +40,7 @@ ENC_DIM = 16
 
 @register("encode_tokens", """
 SELECT conv_id, turn, CAST(tok_pos AS INTEGER) AS tok_pos, token,
-       round(sin(0.001 * h), 6) AS v0, round(sin(0.001 * 16 * h), 6) AS v15
+       array_to_string(list_transform(range(1, 17), lambda k: CAST(round(sin(k / 1000 * h) * 1e6) AS BIGINT)), ',') AS vec
 FROM (SELECT conv_id, turn, tok_pos - 1 AS tok_pos, token,
              ('0x' || substr(md5(token), 1, 8))::BIGINT % 100003 AS h
       FROM (SELECT conv_id, turn, unnest(toks) AS token, generate_subscripts(toks, 1) AS tok_pos
@@ -49,8 +50,7 @@ FROM (SELECT conv_id, turn, tok_pos - 1 AS tok_pos, token,
 def q_encode(spark, sf_dir):
     conv = FX.table(spark, sf_dir, "conversations")
     t = encode_tokens(conv, "text", ["conv_id", "turn"], ENC_DIM)
-    return t.select("conv_id", "turn", "tok_pos", "token", r6(F.get("vec", 0)).alias("v0"),
-                    r6(F.get("vec", ENC_DIM - 1)).alias("v15"))
+    return t.select("conv_id", "turn", "tok_pos", "token", micros(F.col("vec")).alias("vec"))
 
 
 def _params_sql() -> str:
