@@ -43,9 +43,9 @@ MATCH = 32
 LEAST = (3, 4)
 #: Lists of up to so many nodes give all pairs; longer ones go by hubs and step 4.
 SHORT_LIST = 12
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 
-_SIGNED = "id long, n_shingles long, node binary, sig array<long>"
+_SIGNED = "id long, text_key binary, n_shingles long, node binary, sig array<long>"
 _RNG = np.random.default_rng(20240607)
 _MULT = _RNG.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -85,13 +85,17 @@ def _sign(batch: pa.RecordBatch, h: np.ndarray, off: np.ndarray) -> list[pa.Arra
             sig[some, k] = np.minimum.reduceat((h ^ _XOR[k]) * _MULT[k], off[:-1][some])
     flat = pa.array(sig.view(np.int64).ravel())
     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * PERMUTATIONS), flat)
-    return [batch.column(0), pa.array(n.astype(np.int64)), _binary16(*_node(h, off)), lists]
+    return [batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), _binary16(*_node(h, off)), lists]
+
+
+def text_key(text_col: str) -> Column:
+    return F.substring(F.unhex(F.sha2(whole(text_col), 256)), 1, 16).alias("text_key")
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
-    """(id, n_shingles, node, sig) per row; node identifies the shingle set."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text"))
-    return rows.mapInArrow(_per_batch(["id", "n_shingles", "node", "sig"], _sign, width), _SIGNED)
+    """(id, text_key, n_shingles, node, sig) per row; node identifies the shingle set."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col), whole(text_col).alias("text"))
+    return rows.mapInArrow(_per_batch(["id", "text_key", "n_shingles", "node", "sig"], _sign, width), _SIGNED)
 
 
 def _sets(batch: pa.RecordBatch, h: np.ndarray, off: np.ndarray) -> list[pa.Array]:
@@ -143,7 +147,7 @@ def _labelled(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
     return posts.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
 
 
-def _residual(sets: DataFrame, labels: DataFrame, stages: Stages, least) -> DataFrame:
+def _residual(sets: DataFrame, stages: Stages, least) -> DataFrame:
     """Pairs (a, b) of nodes in different components that may be similar, by exact prefixes of full sets."""
     p, q = least
     n = F.size("shingles")
@@ -166,9 +170,8 @@ def _residual(sets: DataFrame, labels: DataFrame, stages: Stages, least) -> Data
                                 F.greatest(c("x", "nid"), c("y", "nid")).alias("b")).distinct()
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least=LEAST, width: int = WIDTH) -> DataFrame:
-    """Per row: id, n_shingles, component_id (smallest id of the class), kept (id = component_id)."""
-    stages = Stages(docs.sparkSession)
+def _classes(docs: DataFrame, id_col: str, text_col: str, least, width: int, stages: Stages) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and (node, label, component): each node's class and the class's smallest id."""
     signed = stages.write(signatures(docs, id_col, text_col, width), "signed")
     nodes = stages.write(signed.filter("n_shingles > 0").groupBy("node").agg(
         F.min("id").alias("least_id"), F.min("n_shingles").alias("n"), F.first("sig").alias("sig"))
@@ -186,40 +189,54 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     short = posts.join(lists.filter(F.col("len") <= SHORT_LIST), "token")
     pairs = short.select("token", F.col("nid").alias("a")).join(short.select("token", F.col("nid").alias("b")), "token") \
         .filter("a < b").select("a", "b").distinct()
-    edges = stages.write(_confirm(pairs, nodes, sets, least, True), "edges-short")
-    labels = components(edges, stages, "short")
+    edges, labels = stages.write(_confirm(pairs, nodes, sets, least, True), "edges-short"), None
     long = stages.write(posts.join(lists.filter(F.col("len") > SHORT_LIST).select("token"), "token"), "long")
-    for turn in range(HUB_ROUNDS if not long.isEmpty() else 0):
-        at = _labelled(long, labels)
-        # First the node that shares most of its values: the likeliest centre; then others in hash order.
-        order = F.col("shared") if turn == 0 else F.xxhash64(F.lit(turn), "nid")
-        hubs = at.groupBy("token").agg(F.max(F.struct(order.alias("o"), F.col("nid").alias("a"), F.col("label").alias("la"))).alias("h"))
-        pairs = at.join(hubs.select("token", "h.a", "h.la"), "token").filter("label <> la").select(
-            F.least("a", "nid").alias("a"), F.greatest("a", "nid").alias("b")).distinct()
-        found = _confirm(pairs, nodes, sets, least, True)
-        edges = stages.write(edges.union(found), f"edges-hub{turn}")
-        labels = components(edges, stages, f"hub{turn}")
-    if HUB_ROUNDS and not long.isEmpty():
+    if long.isEmpty():
+        labels = components(edges, stages, "short")
+    else:
+        for turn in range(HUB_ROUNDS):
+            at = _labelled(long, labels)
+            # First the node that shares most of its values: the likeliest centre; then others in hash order.
+            order = F.col("shared") if turn == 0 else F.xxhash64(F.lit(turn), "nid")
+            hubs = at.groupBy("token").agg(F.max(F.struct(order.alias("o"), F.col("nid").alias("a"), F.col("label").alias("la"))).alias("h"))
+            pairs = at.join(hubs.select("token", "h.a", "h.la"), "token").filter("label <> la").select(
+                F.least("a", "nid").alias("a"), F.greatest("a", "nid").alias("b")).distinct()
+            edges = stages.write(edges.union(_confirm(pairs, nodes, sets, least, True)), f"edges-hub{turn}")
+            labels = components(edges, stages, f"hub{turn}")
         at = _labelled(long, labels)
         open_ = at.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
         rest = at.join(open_.select("token"), "token", "left_semi").select("nid", "label").distinct()
-        found = _residual(sets.join(rest, "nid"), labels, stages, least)
+        found = _residual(sets.join(rest, "nid"), stages, least)
         edges = stages.write(edges.union(_confirm(found, nodes, sets, least, False)), "edges-all")
         labels = components(edges, stages, "all")
     classes = nodes.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
     smallest = classes.groupBy("label").agg(F.min("least_id").alias("component"))
-    by_node = stages.write(classes.join(smallest, "label").select("node", "component"), "classes")
+    by_node = stages.write(classes.join(smallest, "label").select("node", "label", "component"), "classes")
     stages.drop(*(set(stages.paths) - {"signed", "classes"}))
+    return signed, by_node
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least=LEAST, width: int = WIDTH) -> DataFrame:
+    """Per row: id, n_shingles, component_id (smallest id of the class), kept (id = component_id)."""
+    signed, by_node = _classes(docs, id_col, text_col, least, width, Stages(docs.sparkSession))
     return signed.join(by_node, "node", "left").select(
         F.col("id").alias(id_col), "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id")) \
         .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row for each class, that of the smallest id; documents
-    without shingles stay. Of several rows with that id, all but one row go."""
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least=LEAST, width: int = WIDTH) -> DataFrame:
+    """``docs`` with one row for each class, that of the smallest id (null ids last, then by
+    the text's digest); rows without shingles all stay."""
     stages = Stages(docs.sparkSession)
-    gone = stages.write(near_copies(docs, id_col, text_col).filter(~F.col("kept"))
-                        .select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    signed, by_node = _classes(docs, id_col, text_col, least, width, stages)
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key")
+    stay = signed.filter("n_shingles > 0").join(by_node.select("node", "label"), "node").groupBy("label").agg(
+        F.min(order).alias("first")).select("first.text_key")
+    stay = stages.write(stay, "stay")
+    rows = docs.select(F.struct("*").alias("row"), text_key(text_col), F.col(id_col).alias("id"),
+                       whole(text_col).rlike(r"[^\x20\x09-\x0D]").alias("words"))
+    # A row for each text first (on the map side already), so that copies of one text aren't moved.
+    heads = rows.filter("words").groupBy("text_key").agg(F.min_by("row", F.struct(F.col("id").isNull(), F.col("id"))).alias("row"))
+    kept = heads.join(stay.hint("merge"), "text_key", "left_semi").select("row")
+    return kept.unionByName(rows.filter("not words").select("row")).select("row.*")
