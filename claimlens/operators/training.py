@@ -226,7 +226,7 @@ def train_head(features: DataFrame, params: ModelParams, epochs: int = 2, lr: fl
     Batches: claim -> pmod(xxhash64(seed, epoch, claim_id), steps) (seeded, so a
     retried task sees the same batch). Every gradient from every batch is
     used (the source's accumulation dropped some, Q18). ``on_epoch(epoch,
-    params)`` runs after each epoch (evaluation hooks, early stopping).
+    params)`` runs after each epoch; training ends when it returns true.
 
     With ``save_dir`` (a folder in the shared file system) every finished
     epoch is written there, and a restarted run resumes after the newest
@@ -260,8 +260,8 @@ def train_head(features: DataFrame, params: ModelParams, epochs: int = 2, lr: fl
                         "rank_loss": (loss_sum - cls_sum) / steps})
         if save_dir:
             _save_epoch(spark, save_dir, epoch, params, opt, history)
-        if on_epoch is not None:
-            on_epoch(epoch, params)
+        if on_epoch is not None and on_epoch(epoch, params):
+            break
     return params, history
 
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from claimlens import fixtures as FX
 from claimlens.operators import history as HS
 from claimlens.operators import training as TR
-from claimlens.operators.scoring import _lookup, score_claims
+from claimlens.operators.crossval import cross_validate
+from claimlens.operators.scoring import _lookup, evidence_slots, score_claims
 from claimlens.plans import scoring_sql as SS
 from claimlens.plans.oracle_views import with_views
-from claimlens.plans.registry import r6, register
+from claimlens.plans.registry import r6, register, scratch
 from claimlens.plans.scoring import LISTNET_CTE, LISTNET_SQL
 from claimlens.session import cut_lineage
 
@@ -98,31 +99,20 @@ def q_train_lr(spark, sf_dir):
     return model.transform(data).select("claim_id", "label", F.col("prediction").cast("int").alias("prediction"))
 
 
+def fold_claims(spark, sf_dir):
+    return FX.token_sources(spark, sf_dir).withColumn("split", split_col()).withColumn("fold", (F.col("claim_id") % 5).cast("int"))
+
+
 @register("cross_validate")
 def q_cv(spark, sf_dir):
-    """T4: k folds on the fold column, a common valid split, per-fold training,
+    """T4: k folds with a common valid split; vocabulary, parameters and stop rules per fold;
     per-epoch records for train/valid/test, then the fold average (A13)."""
-    feats, p0 = features(spark, sf_dir)
-    feats = cut_lineage(feats)  # features are computed once, folds read the cut
-    valid = feats.where(F.col("split") == "valid")
-    pool = feats.where(F.col("split") != "valid")
-    records = []
-    for fold in range(5):
-        train = pool.where(F.col("fold") != fold)
-        test = pool.where(F.col("fold") == fold)
-        def evaluate(epoch, p, fold=fold, train=train, test=test):
-            # all three splits scored in one pass, metrics grouped by split
-            allsp = (train.withColumn("split", F.lit("train"))
-                     .unionByName(valid.withColumn("split", F.lit("valid")))
-                     .unionByName(test.withColumn("split", F.lit("test"))))
-            sc = cut_lineage(TR.head_scores(allsp, p, keep=["split"]))
-            for r in TR.epoch_metrics(sc, "split").collect():  # one row per split
-                for metric in ("loss", "classify_loss", "rank_loss", "accuracy", "auc", "f1_macro"):
-                    v = r[metric]
-                    records.append(("cv", fold, epoch, r["split"], metric, None if v is None else float(v)))
-
-        TR.train_head(train, p0, epochs=2, lr=1.5e-2, on_epoch=evaluate)
-    hist = spark.createDataFrame(records, "run string, fold int, epoch int, split string, metric string, "
-                                          "value double")
+    p = FX.params_for(spark, sf_dir, 3)
+    evidence = FX.evidence_meta(spark, sf_dir)
+    slots = evidence_slots(FX.tokens(spark, sf_dir), p)["slots"] \
+        .join(evidence.select("claim_id", "evi_pos", "correlation"), ["claim_id", "evi_pos"], "left") \
+        .withColumn("correlation", F.coalesce("correlation", F.lit(-1.0)))
+    hist = cross_validate(slots, fold_claims(spark, sf_dir), evidence, p, folds=5, epochs=2, lr=1.5e-2,
+                          save_dir=scratch(spark, "cv"))
     avg = HS.fold_average(hist)
     return avg.select("metric", "split", "epoch", r6("value").alias("value"), "n_folds")
