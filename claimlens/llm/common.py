@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -32,21 +33,39 @@ class Stages:
 
     def __init__(self, spark: SparkSession):
         ship_package(spark)
-        self.spark, self.paths = spark, {}
+        self.spark, self.paths, self.tables = spark, {}, {}
 
     def write(self, df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
         path = shared(self.spark, name)
         (df.coalesce(partitions) if partitions else df).write.parquet(path)
         self.drop(name)
         self.paths[name] = path
+        self.release()
         return self.read(name)
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of what has just been written: it does when the
+        driver collects its garbage, which a small driver seldom does by itself."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+    def bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+        """``df`` written as a table bucketed and sorted by ``key``: joins on it don't move it again."""
+        path = shared(self.spark, name)
+        table_name = "llm_" + uuid.uuid4().hex
+        df.write.option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(table_name)
+        self.drop(name)
+        self.paths[name], self.tables[name] = path, table_name
+        return self.spark.table(table_name)
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.paths[name])
 
     def drop(self, *names: str) -> None:
         for name in names:
             path = self.paths.pop(name, None)
+            if name in self.tables:
+                self.spark.sql(f"DROP TABLE {self.tables.pop(name)}")
             if path:
                 p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -68,29 +68,43 @@ def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     total = np.zeros(n + 1, U)
     np.cumsum((data.astype(U) + U(1)) * powers(_BASE, n), out=total[1:])
     h = (total[KMER:] - total[:-KMER]) * powers(pow(_BASE, -1, 1 << 64), n - KMER + 1)
-    h = mixed(h)
+    # The low bits give the place, so one sliding minimum finds the least hash and where it is. Only a
+    # 26-byte string that recurs in a window can tie, and its hash is the same at either place.
+    h = (mixed(h) & U(~31 & (1 << 64) - 1)) | (np.arange(len(h), dtype=U) & U(31))
     least = _slide(h, REACH + 1, np.minimum)  # by window start
+    starts = np.arange(n - LEN + 1)
+    at = starts + (((least & U(31)).astype(np.int64) - starts) & 31)
     valid = np.ones(n - LEN + 1, bool)
-    for cut in off[1:-1]:
+    for cut in off[1:-1].tolist():
         valid[max(0, cut - LEN + 1):cut] = False
-    # The leftmost place of the least hash, for each window: the first equal at or after its start.
-    starts = np.flatnonzero(valid)
-    place = np.full(n, -1, np.int64)
-    offset = np.full(len(starts), -1, np.int64)
-    todo = np.arange(len(starts))
-    want = least[starts]
-    # A run of windows keeps its anchor until it leaves: follow it instead of searching each window.
-    for o in range(REACH + 1):
-        hit = h[starts[todo] + o] == want[todo]
-        offset[todo[hit]] = o
-        todo = todo[~hit]
-        if not len(todo):
-            break
-    at = starts + offset
-    place[starts] = at
-    where = np.unique(at)
-    owner[starts] = np.searchsorted(where, at)
-    return where, h[where], owner
+    starts, at = starts[valid], at[valid]
+    is_anchor = np.zeros(n, bool)
+    is_anchor[at] = True
+    where = np.flatnonzero(is_anchor)
+    owner[starts] = (np.cumsum(is_anchor) - 1)[at]
+    return where, h[where] >> U(5), owner
+
+
+CODE = 40  # bits of a hash that are kept beside its bucket: two anchors of a bucket meet by chance once in half a million
+
+
+def _codes(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and the bits beside it, of an anchor hash; the bucket is code >> CODE."""
+    b = np.uint64(buckets)
+    return (h % b) << np.uint64(CODE) | (h // b) & np.uint64((1 << CODE) - 1)
+
+
+def _pack(code: np.ndarray, whole: bool) -> bytes:
+    """Codes as bytes; without the bucket if it goes without saying."""
+    return code.tobytes() if whole else np.ascontiguousarray(code.view(np.uint8).reshape(-1, 8)[:, :CODE // 8]).tobytes()
+
+
+def _unpack_codes(raw: bytes, whole: bool, bucket: int) -> np.ndarray:
+    if whole:
+        return np.frombuffer(raw, np.uint64)
+    out = np.zeros((len(raw) // (CODE // 8), 8), np.uint8)
+    out[:, :CODE // 8] = np.frombuffer(raw, np.uint8).reshape(-1, CODE // 8)
+    return out.view(np.uint64).ravel() | np.uint64(bucket << CODE)
 
 
 def _doc_of(pos: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -128,8 +142,8 @@ def _emit_anchors(buckets: int):
             where, h, _ = anchors(data, off)
             if not len(where):
                 continue
-            doc = _doc_of(where, off)
-            order = np.lexsort((doc, h))
+            h, doc = _codes(h, buckets), _doc_of(where, off)
+            order = np.argsort(h, kind="stable")  # by document within a hash, as places ascend
             h, doc = h[order], doc[order]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
@@ -142,19 +156,17 @@ def _emit_anchors(buckets: int):
 
             def put(bucket, settled, pick):
                 used, ref = np.unique(doc[pick], return_inverse=True)
-                rows.append((bucket, settled, h[pick].tobytes(), ref.astype(np.uint32).tobytes(), rid[used].tobytes()))
+                rows.append((bucket, settled, _pack(h[pick], settled), ref.astype(np.uint32).tobytes(), rid[used].tobytes()))
 
             if many.any():  # of several documents here: known to be shared; salted, not by hash
                 salt += 1
                 put(buckets + (int(h[0]) + salt) % buckets, True, np.flatnonzero(many))
             head = np.flatnonzero(first)
-            b = (h[head] % np.uint64(buckets)).astype(np.int64)
-            o = np.argsort(b, kind="stable")
-            ends = np.flatnonzero(np.append(np.diff(b[o]) != 0, True)) + 1
+            b = (h[head] >> np.uint64(CODE)).astype(np.int64)  # in order, as codes are
+            ends = np.flatnonzero(np.append(np.diff(b) != 0, True)) + 1
             for s, e in zip(np.append(0, ends[:-1]), ends):
-                pick = head[o[s:e]]
-                # An entry of a hash that is settled here tells others that it is shared, by the doc 0xff...
-                put(int(b[o[s]]), False, np.sort(pick))
+                # A hash that is settled here is sent too, so that other chunks learn that it is shared.
+                put(int(b[s]), False, head[s:e])
             yield from _rows(_ANCHOR, rows)
     return run
 
@@ -163,8 +175,8 @@ _LIVE = pa.schema([("rid", pa.binary()), ("live", pa.binary())])
 
 
 def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, document numbers and the documents' ids of a bucket's entries."""
-    h = np.frombuffer(b"".join(table["h"].to_pylist()), np.uint64)
+    """Codes, document numbers and the documents' ids of a bucket's entries."""
+    h = _unpack_codes(b"".join(table["h"].to_pylist()), table["settled"][0].as_py(), table["bucket"][0].as_py())
     docs, ref, base = [], [], 0
     for r, d in zip(table["ref"].to_pylist(), table["docs"].to_pylist()):
         ref.append(np.frombuffer(r, np.uint32).astype(np.int64) + base)
@@ -197,7 +209,8 @@ def _shared_anchors(table: pa.Table) -> pa.Table:
 
 
 _STRETCH = pa.schema([("bucket", pa.int64()), ("settled", pa.bool_()), ("h", pa.binary()), ("ref", pa.binary()),
-                      ("docs", pa.binary()), ("at", pa.binary()), ("text", pa.binary())])
+                      ("docs", pa.binary()), ("at", pa.binary()), ("ord", pa.binary()), ("text", pa.binary())])
+_PLACE = np.dtype([("at", "<i4"), ("lo", "i1"), ("hi", "i1")])  # Arrow's strings are shorter than 2 GB
 _SPANS = pa.schema([("rid", pa.binary()), ("spans", pa.binary())])
 
 
@@ -239,7 +252,7 @@ def _emit_stretches(buckets: int):
         for cols, data, off in _chunks(batches, ["rid", "ord", "live"]):
             rid, when = _fixed(cols["rid"], 16), cols["ord"].to_numpy(zero_copy_only=False)
             where, h, owner = anchors(data, off)
-            doc = _doc_of(where, off)
+            h, doc = _codes(h, buckets), _doc_of(where, off)
             live = np.zeros(len(where), bool)
             span = np.searchsorted(doc, np.arange(len(off)))
             for d, hs in enumerate(cols["live"].to_pylist()):
@@ -249,14 +262,12 @@ def _emit_stretches(buckets: int):
             if not len(pick):
                 continue
             starts = np.flatnonzero(owner >= 0)
-            own = owner[starts]
-            o = np.argsort(own, kind="stable")
-            starts, own = starts[o], own[o]
-            a = np.searchsorted(own, pick)
-            e = np.searchsorted(own, pick, "right") - 1
+            first, last = np.empty(len(where), np.int64), np.empty(len(where), np.int64)
+            first[owner[starts][::-1]] = starts[::-1]  # of equal indices the last one written stays
+            last[owner[starts]] = starts
             # An anchor's windows need not be adjacent (its hash may recur): the stretch spans them
             # all, and those in between are windows of the same text too.
-            lo, hi = starts[a] - where[pick], starts[e] - where[pick]
+            lo, hi = first[pick] - where[pick], last[pick] - where[pick]
             rows_ = _cut_stretches(data, where[pick], lo, hi)
             hh, dd, at = h[pick], doc[pick], where[pick] - off[doc[pick]]
             dig = _digest(rows_) ^ ((lo + 64) * 128 + hi + 64).astype(np.uint64)
@@ -270,20 +281,20 @@ def _emit_stretches(buckets: int):
 
             def put(bucket, settled, i, text):
                 used, ref = np.unique(dd[i], return_inverse=True)
-                place = np.stack([at[i], lo[i], hi[i], when[dd[i]]], 1).astype(np.int64)
-                rows.append((bucket, settled, hh[i].tobytes(), ref.astype(np.uint32).tobytes(), rid[used].tobytes(),
-                             place.tobytes(), rows_[i].tobytes() if text else b""))
+                place = np.zeros(len(i), _PLACE)
+                place["at"], place["lo"], place["hi"] = at[i], lo[i], hi[i]
+                rows.append((bucket, settled, _pack(hh[i], settled), ref.astype(np.uint32).tobytes(), rid[used].tobytes(),
+                             place.tobytes(), when[used].tobytes(), rows_[i].tobytes() if text else b""))
 
             if later.any():
                 salt += 1
                 put(buckets + (int(hh[0]) + salt) % buckets, True, order[later], False)
             # The group's earliest, and those of the same id: to be compared with other chunks'.
             rest = order[~later]
-            b = (hh[rest] % np.uint64(buckets)).astype(np.int64)
-            o = np.argsort(b, kind="stable")
-            ends = np.flatnonzero(np.append(np.diff(b[o]) != 0, True)) + 1
+            b = (hh[rest] >> np.uint64(CODE)).astype(np.int64)  # in order, as codes are
+            ends = np.flatnonzero(np.append(np.diff(b) != 0, True)) + 1
             for s, e in zip(np.append(0, ends[:-1]), ends):
-                put(int(b[o[s]]), False, rest[o[s:e]], True)
+                put(int(b[s]), False, rest[s:e], True)
             yield from _rows(_STRETCH, rows)
     return run
 
@@ -333,8 +344,9 @@ def _suffix_order(window: np.ndarray, when: np.ndarray) -> np.ndarray:
 
 def _cover(table: pa.Table) -> pa.Table:
     h, ref, docs = _unpack(table)
-    place = np.frombuffer(b"".join(table["at"].to_pylist()), np.int64).reshape(-1, 4)
-    at, lo, hi, when = place.T
+    place = np.frombuffer(b"".join(table["at"].to_pylist()), _PLACE)
+    at, lo, hi = (place[k].astype(np.int64) for k in ("at", "lo", "hi"))
+    when = np.frombuffer(b"".join(table["ord"].to_pylist()), np.int64)[ref]
     if table["settled"][0].as_py():
         return _by_doc(_SPANS, ref, np.stack([at + lo, at + hi + LEN], 1).view("V16").ravel(), docs)
     text = np.frombuffer(b"".join(table["text"].to_pylist()), np.uint8).reshape(-1, WIDE)
@@ -411,20 +423,23 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ids = stages.write(raw.select("id", "ord", "sha", F.octet_length("text").cast("long").alias("n_bytes")), "ids")
     firsts = stages.write(ids.groupBy("sha").agg(F.min("ord").alias("first"), F.max("n_bytes").alias("n_bytes")), "firsts")
     total = firsts.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(math.ceil(total / 13 / BUCKET), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    long = raw.filter(F.octet_length("text") >= LEN).join(firsts.select("sha", F.col("first").alias("ord")), ["sha", "ord"], "left_semi")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(math.ceil(total / 13 / BUCKET), parts)
     rid = F.substring("sha", 1, 16).alias("rid")
-    entries = long.select(rid, "text").mapInArrow(_emit_anchors(buckets), _ddl(_ANCHOR))
+    # Different texts, once: bucketed by their id, so that the joins below move no text again.
+    long = raw.filter(F.octet_length("text") >= LEN).groupBy(rid).agg(F.min("ord").alias("ord"), F.first("text").alias("text"))
+    texts = stages.bucketed(long, "texts", "rid", parts)
+    entries = texts.select("rid", "text").mapInArrow(_emit_anchors(buckets), _ddl(_ANCHOR))
     live = stages.write(entries.groupBy("bucket").applyInArrow(_shared_anchors, _ddl(_LIVE)), "live")
     by_doc = live.groupBy("rid").agg(F.array_join(F.collect_list(F.hex("live")), "").alias("live"))
-    joined = long.select(rid, "ord", "text").join(by_doc.select("rid", F.unhex("live").alias("live")), "rid")
+    joined = texts.join(by_doc.select("rid", F.unhex("live").alias("live")).hint("merge"), "rid")
     stretches = joined.select("rid", "ord", "live", "text").mapInArrow(_emit_stretches(buckets), _ddl(_STRETCH))
     spans = stages.write(stretches.groupBy("bucket").applyInArrow(_cover, _ddl(_SPANS)), "spans")
     stages.drop("live")
     grouped = spans.groupBy("rid").agg(F.collect_list("spans").alias("spans"))
-    cut = stages.write(long.select(rid, "text").join(grouped, "rid").select("rid", "text", "spans").mapInArrow(
-        _remove, "rid binary, n_removed long, n_spans long, kept_sha256 string, spans array<long>").dropDuplicates(["rid"]), "cut")
-    stages.drop("spans")
+    cut = stages.write(texts.join(grouped.hint("merge"), "rid").select("rid", "text", "spans").mapInArrow(
+        _remove, "rid binary, n_removed long, n_spans long, kept_sha256 string, spans array<long>"), "cut")
+    stages.drop("spans", "texts")
     whole_copy = (F.col("ord") > F.col("first")) & (F.col("n_bytes") >= LEN)
     nothing = F.sha2(F.lit(""), 256)
     zero = F.lit(0).cast("long")
