@@ -23,6 +23,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoint files go when their DataFrame is garbage
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -44,6 +46,7 @@ def cluster_conf(input_bytes: int, executor_cores: int = 4, target_partition_byt
         "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
         "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
         "spark.executor.cores": str(executor_cores),
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
 
 
