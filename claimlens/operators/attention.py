@@ -65,6 +65,23 @@ def softmax_weights(df: DataFrame, keys: list[str], score: str, name: str = "wei
     return j.join(s, keys).withColumn(name, F.col("_e") / F.col("_s")).drop("_mx", "_e", "_s")
 
 
+# exp(score - bound) stays a normal number for scores in [-bound, bound] up to here
+SAFE_BOUND = 300.0
+
+
+def exp_weights(df: DataFrame, keys: list[str], score: str, bound: float, name: str) -> DataFrame:
+    """Softmax numerators of scores in [-bound, bound], up to a factor per group that cancels.
+
+    The model's own bound serves as the shift, without a pass for the maximum; a model whose
+    bound would underflow gets each group's maximum instead."""
+    if bound <= SAFE_BOUND:
+        return df.withColumn(name, F.exp(F.col(score) - F.lit(float(bound))))
+    from claimlens.session import cut_lineage
+    df = cut_lineage(df)  # read for the maximum and again
+    top = df.groupBy(*keys).agg(F.max(score).alias("_mx"))
+    return df.join(top, keys).withColumn(name, F.exp(F.col(score) - F.col("_mx"))).drop("_mx")
+
+
 # ---------------------------------------------------------------- F11 + F12
 def project_tokens(tokens: DataFrame, params: ModelParams, vec: str = "vec") -> DataFrame:
     """Layer norm, then linear_c for claim tokens / linear_e for evidence tokens."""
@@ -109,19 +126,16 @@ def layer_norm_rows(df: DataFrame, params: ModelParams, vec: str = "vec", name:
 # ---------------------------------------------------------------- M1
 def _score_rows(df: DataFrame, params: ModelParams, x: str, ctx: str, w: str, v: str,
                 out: str = "score") -> DataFrame:
-    """tanh([x; ctx] W) v per row plus ``{out}_w`` = exp(score - sum|v|)."""
+    """tanh([x; ctx] W) v per row."""
     bc = broadcast_params(df.sparkSession, params)
-    schema = _schema_with(df, [], [(out, T.DoubleType()), (out + "_w", T.DoubleType())])
+    schema = _schema_with(df, [], [(out, T.DoubleType())])
 
     def fn(it):
         p = bc.value
-        bound = float(np.abs(p[v]).sum())
         for pdf in it:
             if pdf.empty:
                 continue
-            s = D.attention_scores(D.stack(pdf[x]), D.stack(pdf[ctx]), p[w], p[v])
-            pdf[out] = s
-            pdf[out + "_w"] = np.exp(s - bound)
+            pdf[out] = D.attention_scores(D.stack(pdf[x]), D.stack(pdf[ctx]), p[w], p[v])
             yield pdf
 
     return df.mapInPandas(fn, schema)
@@ -180,10 +194,12 @@ def co_attention(proj: DataFrame, params: ModelParams, keep_maps: bool = False,
     scored = _score_rows(evi_tok.join(cbar, "claim_id"), params, "h", "cbar", "co_w1", "co_v1", "a")
     if keep_maps and materialize:
         scored = cut_lineage(scored)  # feeds the pooled vectors and the weight map
-    e_hat = weighted_pool(scored, ["claim_id", "evi_pos"], "h", "a_w", "e_hat")
-    gbar = mean_pool(evi_tok, ["claim_id", "evi_pos"], "h", "gbar")
+    weighted = exp_weights(scored, ["claim_id", "evi_pos"], "a", float(np.abs(params["co_v1"]).sum()), "a_w")
+    h = array_to_vector(F.col("h"))
+    summ = weighted.groupBy("claim_id", "evi_pos").agg(  # mean and weighted mean from one exchange
+        Summarizer.mean(h).alias("_g"), Summarizer.mean(h, F.col("a_w")).alias("_e")).select(
+        "claim_id", "evi_pos", vector_to_array("_g").alias("gbar"), vector_to_array("_e").alias("e_hat"))
     cm = claim_matrices(claim_tok)
-    summ = gbar.join(e_hat, ["claim_id", "evi_pos"])
     cols = ["claim_id", "cmat"] + (["ctok"] if keep_maps else [])
     slots = claim_side(summ.join(cm.select(*cols), "claim_id"), params, "gbar", keep_maps)
     out = {"slots": slots, "claims": cm.join(cbar, "claim_id")}
@@ -266,19 +282,17 @@ def additive_attention(rows: DataFrame, key: str, x: str, w: np.ndarray, v: np.n
     norm here has unit gain and zero bias. -> (key, pooled)."""
     spark = rows.sparkSession
     bc = spark.sparkContext.broadcast((w, v))
-    schema = _schema_with(rows, [], [("_s", T.DoubleType()), ("_sw", T.DoubleType())])
+    schema = _schema_with(rows, [], [("_s", T.DoubleType())])
 
     def fn(it):
         wm, vv = bc.value
-        bound = float(np.abs(vv).sum())
         for pdf in it:
             if pdf.empty:
                 continue
             z = D.layer_norm(D.stack(pdf[x]) @ wm, 1.0, 0.0, eps)
-            s = np.tanh(z) @ vv[:, 0]
-            pdf["_s"] = s
-            pdf["_sw"] = np.exp(s - bound)
+            pdf["_s"] = np.tanh(z) @ vv[:, 0]
             yield pdf
 
-    return weighted_pool(rows.mapInPandas(fn, schema), [key], x, "_sw", "pooled")
+    scored = exp_weights(rows.mapInPandas(fn, schema), [key], "_s", float(np.abs(v).sum()), "_sw")
+    return weighted_pool(scored, [key], x, "_sw", "pooled")
 
