@@ -209,6 +209,43 @@ def co_attention(proj: DataFrame, params: ModelParams, keep_maps: bool = False,
     return out
 
 
+def co_attention_heads(proj: DataFrame, w1: np.ndarray, v1: np.ndarray, w2: np.ndarray, v2: np.ndarray) -> DataFrame:
+    """M1 with several heads: (claim_id, evi_pos, c_hat, e_hat), each head's pooled vector after the other's.
+
+    ``v1`` and ``v2`` have a column per head; a head is one more group column of the softmax."""
+    claim_tok = proj.where(F.col("evi_pos") < 0).select("claim_id", "tok_pos", "h")
+    evi_tok = proj.where(F.col("evi_pos") >= 0)
+    cbar = mean_pool(claim_tok, ["claim_id"], "h", "ctx")
+    gbar = mean_pool(evi_tok, ["claim_id", "evi_pos"], "h", "ctx")
+    e_hat = _pool_heads(evi_tok.join(cbar, "claim_id"), w1, v1, "e_hat")
+    c_hat = _pool_heads(gbar.join(claim_tok, "claim_id"), w2, v2, "c_hat")
+    return c_hat.join(e_hat, ["claim_id", "evi_pos"])
+
+
+def _pool_heads(rows: DataFrame, w: np.ndarray, v: np.ndarray, name: str) -> DataFrame:
+    """Per (claim, evidence) the softmax-weighted sums of ``h`` under each head, one after the other."""
+    bc = rows.sparkSession.sparkContext.broadcast((w, v))
+    schema = _schema_with(rows, ["ctx"], [("_s", VEC)])
+
+    def fn(it):
+        wm, vm = bc.value
+        for pdf in it:
+            if pdf.empty:
+                continue
+            s = np.tanh(np.hstack([D.stack(pdf["h"]), D.stack(pdf["ctx"])]) @ wm) @ vm
+            out = pdf.drop(columns=["ctx"])
+            out["_s"] = D.unstack(s)
+            yield out
+
+    keys = ["claim_id", "evi_pos", "_head"]
+    each = rows.mapInPandas(fn, schema).select("claim_id", "evi_pos", "h", F.posexplode("_s").alias("_head", "_a"))
+    weighted = exp_weights(each, keys, "_a", float(np.abs(v).sum(0).max()), "_w")
+    pooled = weighted_pool(weighted, keys, "h", "_w", "_p")
+    heads = F.array_sort(F.collect_list(F.struct("_head", "_p")))  # as many entries as heads
+    return pooled.groupBy("claim_id", "evi_pos").agg(heads.alias("_l")).select(
+        "claim_id", "evi_pos", F.flatten(F.transform("_l", lambda x: x["_p"])).alias(name))
+
+
 # ---------------------------------------------------------------- M3
 def affinity_rows(slots: DataFrame, params: ModelParams, c: str = "c_hat", e: str = "e_hat",
                   name: str = "affinity") -> DataFrame:

@@ -202,6 +202,52 @@ def q_explain(spark, sf_dir):
     return lv.select("claim_id", "evi_pos", "side", "tok_pos", r6("w").alias("weight"), "level")
 
 
+HEADS = 2
+
+
+def _heads_sql():
+    mats = " UNION ALL ".join(_extra_sql(m, r, c, n) for m, r, c, n in (
+        (23, 2 * H, H, "w1"), (24, H, HEADS, "v1"), (25, 2 * H, H, "w2"), (26, H, HEADS, "v2")))
+
+    def side(name, w, v, tokens):  # tokens: claim_id, evi_pos, tok_pos, j, x (own), y (context)
+        return f"""
+SELECT claim_id, evi_pos, '{name}' AS side, k * {H} + j AS j, round(sum(wt * x) / sum(wt), 6) AS v FROM (
+  SELECT t.claim_id, t.evi_pos, t.j, t.x, s.k, exp(s.sc) AS wt FROM ({tokens}) t JOIN (
+    SELECT claim_id, evi_pos, tok_pos, vv.j AS k, sum(tanh(z) * vv.v) AS sc FROM (
+      SELECT t.claim_id, t.evi_pos, t.tok_pos, a.j AS o, sum(t.x * a.v + t.y * b.v) AS z
+      FROM ({tokens}) t JOIN hp a ON a.name = '{w}' AND a.i = t.j JOIN hp b ON b.name = '{w}' AND b.i = t.j + {H} AND b.j = a.j
+      GROUP BY t.claim_id, t.evi_pos, t.tok_pos, a.j) z JOIN hp vv ON vv.name = '{v}' AND vv.i = z.o
+    GROUP BY claim_id, evi_pos, tok_pos, vv.j) s USING (claim_id, evi_pos, tok_pos))
+GROUP BY claim_id, evi_pos, k, j"""
+
+    evi = "SELECT h.claim_id, h.evi_pos, h.tok_pos, h.j, h.h AS x, c.v AS y FROM hh h JOIN cbar c USING (claim_id, j) WHERE h.evi_pos >= 0"
+    cla = "SELECT g.claim_id, g.evi_pos, h.tok_pos, h.j, h.h AS x, g.v AS y FROM gbar g JOIN hh h USING (claim_id, j) WHERE h.evi_pos < 0"
+    return with_views(side("evidence", "w1", "v1", evi) + "\nUNION ALL\n" + side("claim", "w2", "v2", cla),
+                      "f_tokens", "f_tok_dims", "f_token_sources", "f_evidence_meta", params=SS.PARAMS,
+                      ctes=SS.CHAIN[: SS.ORDER.index("gbar") + 1] + [("hp", mats)])
+
+
+def _extra(m, rows, cols):
+    return formula_matrix(m, rows, cols)
+
+
+def _extra_sql(m, rows, cols, name):
+    return (f"SELECT '{name}' AS name, CAST(r.i AS INTEGER) AS i, CAST(c.j AS INTEGER) AS j, "
+            f"sin(1 + 31 * r.i + 17 * c.j + {101 * m}) / sqrt({rows}) AS v "
+            f"FROM range(0, {rows}) r(i), range(0, {cols}) c(j)")
+
+
+@register("co_attention_heads", _heads_sql())
+def q_co_heads(spark, sf_dir):
+    """M1 with two heads: both sides' pooled vectors, all components."""
+    h = AT.project_tokens(FX.tokens(spark, sf_dir), params(spark, sf_dir))
+    co = AT.co_attention_heads(h, _extra(23, 2 * H, H), _extra(24, H, HEADS), _extra(25, 2 * H, H), _extra(26, H, HEADS))
+    both = co.select("claim_id", "evi_pos", F.explode(F.array(
+        F.struct(F.lit("claim").alias("side"), F.col("c_hat").alias("v")),
+        F.struct(F.lit("evidence").alias("side"), F.col("e_hat").alias("v")))).alias("s")).select("claim_id", "evi_pos", "s.*")
+    return _long(both, ["claim_id", "evi_pos", "side"], "v", "j", "v")
+
+
 # ------------------------------------------------------------------ L2 / L3 / M11
 LISTNET_CTE = ("ln_slots", """
 SELECT a.claim_id, a.affinity AS s, coalesce(m.correlation, -1.0) AS t
@@ -280,21 +326,11 @@ def q_evaluate(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ M2 / M5
-def _extra(m, rows, cols):
-    return formula_matrix(m, rows, cols)
-
-
 def _mac_params():
     # Fixed fixture numbering of the mean-attention maps: matrices 17-20.
     return (_extra(17, H, H), _extra(18, 1, H)[0], _extra(19, H, H), _extra(20, 1, H)[0])
 
 
-def _extra_sql(m, rows, cols, name):
-    return (f"SELECT '{name}' AS name, CAST(r.i AS INTEGER) AS i, CAST(c.j AS INTEGER) AS j, "
-            f"sin(1 + 31 * r.i + 17 * c.j + {101 * m}) / sqrt({rows}) AS v "
-            f"FROM range(0, {rows}) r(i), range(0, {cols}) c(j)")
-
-
 def _mac_sql():
     extra = " UNION ALL ".join([_extra_sql(17, H, H, "l1_w"), _extra_sql(18, 1, H, "l1_b"),
                                 _extra_sql(19, H, H, "l2_w"), _extra_sql(20, 1, H, "l2_b")])
