@@ -37,7 +37,7 @@ class Stages:
 
     def write(self, df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
         path = shared(self.spark, name)
-        (df.coalesce(partitions) if partitions else df).write.parquet(path)
+        (df.coalesce(partitions) if partitions else df).write.option("compression", "zstd").parquet(path)
         self.drop(name)
         self.paths[name] = path
         self.release()
@@ -53,7 +53,7 @@ class Stages:
         """``df`` written as a table bucketed and sorted by ``key``: joins on it don't move it again."""
         path = shared(self.spark, name)
         table_name = "llm_" + uuid.uuid4().hex
-        df.write.option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(table_name)
+        df.write.option("path", path).option("compression", "zstd").bucketBy(buckets, key).sortBy(key).saveAsTable(table_name)
         self.drop(name)
         self.paths[name], self.tables[name] = path, table_name
         return self.spark.table(table_name)
