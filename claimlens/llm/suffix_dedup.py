@@ -85,6 +85,7 @@ def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return where, h[where] >> U(5), owner
 
 
+REF = np.uint16  # a chunk has about a megabyte and each of its texts LEN bytes at least
 CODE = 40  # bits of a hash that are kept beside its bucket: two anchors of a bucket meet by chance once in half a million
 
 
@@ -156,7 +157,7 @@ def _emit_anchors(buckets: int):
 
             def put(bucket, settled, pick):
                 used, ref = np.unique(doc[pick], return_inverse=True)
-                rows.append((bucket, settled, _pack(h[pick], settled), ref.astype(np.uint32).tobytes(), rid[used].tobytes()))
+                rows.append((bucket, settled, _pack(h[pick], settled), ref.astype(REF).tobytes(), rid[used].tobytes()))
 
             if many.any():  # of several documents here: known to be shared; salted, not by hash
                 salt += 1
@@ -179,7 +180,7 @@ def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h = _unpack_codes(b"".join(table["h"].to_pylist()), table["settled"][0].as_py(), table["bucket"][0].as_py())
     docs, ref, base = [], [], 0
     for r, d in zip(table["ref"].to_pylist(), table["docs"].to_pylist()):
-        ref.append(np.frombuffer(r, np.uint32).astype(np.int64) + base)
+        ref.append(np.frombuffer(r, REF).astype(np.int64) + base)
         docs.append(np.frombuffer(d, np.uint8).reshape(-1, 16))
         base += len(docs[-1])
     return h, np.concatenate(ref), np.concatenate(docs)
@@ -283,7 +284,7 @@ def _emit_stretches(buckets: int):
                 used, ref = np.unique(dd[i], return_inverse=True)
                 place = np.zeros(len(i), _PLACE)
                 place["at"], place["lo"], place["hi"] = at[i], lo[i], hi[i]
-                rows.append((bucket, settled, _pack(hh[i], settled), ref.astype(np.uint32).tobytes(), rid[used].tobytes(),
+                rows.append((bucket, settled, _pack(hh[i], settled), ref.astype(REF).tobytes(), rid[used].tobytes(),
                              place.tobytes(), when[used].tobytes(), rows_[i].tobytes() if text else b""))
 
             if later.any():
@@ -383,8 +384,9 @@ def _cover(table: pa.Table) -> pa.Table:
         count = np.add.reduceat(hit, begin)
         for m, k in zip(members[count[key] > 0], key[count[key] > 0]):
             w = o[begin[k]:stop[k]][hit[begin[k]:stop[k]]] + at[m]
-            doc.append(np.full(len(w), ref[m]))
-            spans.append(np.stack([w, w + LEN], 1))
+            new = np.append(True, np.diff(w) > 1)  # neighbouring windows make one span
+            spans.append(np.stack([w[new], w[np.append(new[1:], True)] + LEN], 1))
+            doc.append(np.full(len(spans[-1]), ref[m]))
     spans = np.concatenate(spans)
     return _by_doc(_SPANS, np.concatenate(doc), np.ascontiguousarray(spans).view("V16").ravel(), docs)
 
