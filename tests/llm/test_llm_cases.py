@@ -387,6 +387,19 @@ def test_html_structure():
     assert html_extract.settled_text("<article><p>cut off <b>he") == "cut off he"
 
 
+def test_html_names_do_not_hide_the_article(spark):
+    article = "<article><div class='entry-header'><h1>Title</h1></div><p>Body</p><div class='post-comments'>nice</div></article>"
+    for start in ("<body class='single no-sidebar'>", "<div class='page has-sidebar'>", "<div id=wrapper class='with-comments'>",
+                  "<div class='nav-fixed'>", "<div class='menu'>", "<html class=widget><body class=search>"):
+        assert html_extract.settled_text(f"{start}{article}<div class='related-posts'><article>teaser</article></div>" if "menu" not in start
+                                         else start + article) == "Title\nBody"
+    assert html_extract.settled_text(f"<main><p>a</p><div class='side-bar'>b</div></main><ol class='comment-list'><li>{article}") == "a"
+    pages = spark.createDataFrame([(1, "http://n.example/", "<div class='page has-sidebar'><p>open text</p><div class='ad'>buy</div></div>"),
+                                   (2, "http://n.example/2", "<div class='social'><p>all there is</p></div><footer>f</footer>")],
+                                  "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == {1: "open text", 2: "all there is"}
+
+
 def test_html_host_suffix_array(spark):
     menu = "home news sports weather about contact imprint"
     own = lambda k: " ".join(f"only{k}say{j}" for j in range(9))
