@@ -417,6 +417,24 @@ def test_html_host_suffix_array(spark):
     assert found[62] == "Head & more\nBold text.\nSecond <p>\nLast é"
 
 
+def test_html_runs_count_over_the_whole_host(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "SHARD_PAGES", 2)
+    own = lambda k: " ".join(f"only{k}say{j}" for j in range(9))
+    notice, phrase = "the office stays closed on all public holidays", "at the end of the day"
+    long_ = " ".join(f"line{j}" for j in range(25))
+    pages = []
+    for k in range(24):
+        page = f"<p>{own(k)}</p>"
+        if k % 8 == 1:
+            page += f"<p>{notice}</p><p>a{k} b{k} {phrase} c{k}</p><p>d{k} {long_} e{k}</p>"
+        pages.append((k, f"http://big.example/{k}", page))
+    pages += [(100, "http://big.example/x", f"<p>twice only here said again {own(100)}</p>")] * 4
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for k in range(24):
+        assert got[k] == own(k) + (f"\na{k} b{k} {phrase} c{k}\nd{k} e{k}" if k % 8 == 1 else "")
+    assert got[100] == f"twice only here said again {own(100)}"
+
+
 def test_covered_runs_need_distinct_pages():
     import numpy as np
     run = [1, 2, 3, 4, 5, 6]
