@@ -393,7 +393,11 @@ def test_html_names_do_not_hide_the_article(spark):
                   "<div class='nav-fixed'>", "<div class='menu'>", "<html class=widget><body class=search>"):
         assert html_extract.settled_text(f"{start}{article}<div class='related-posts'><article>teaser</article></div>" if "menu" not in start
                                          else start + article) == "Title\nBody"
-    assert html_extract.settled_text(f"<main><p>a</p><div class='side-bar'>b</div></main><ol class='comment-list'><li>{article}") == "a"
+    assert html_extract.sorted_blocks(f"<main><p>a</p><div class='promo'>{article}</div>") == [
+        ("a", "judge"), ("Title", "keep"), ("Body", "keep"), ("nice", "outside")]
+    assert {k for t, k in html_extract.sorted_blocks(f"<main><p>a</p><div class='side-bar'>b</div></main><ol class='comment-list'><li>{article}") if t != "a"} \
+        == {"outside"}
+    assert html_extract.settled_text(f"<article><p>a</p><div class='side-bar'>b</div></article><ol class='comment-list'><li>{article}") == "a"
     pages = spark.createDataFrame([(1, "http://n.example/", "<div class='page has-sidebar'><p>open text</p><div class='ad'>buy</div></div>"),
                                    (2, "http://n.example/2", "<div class='social'><p>all there is</p></div><footer>f</footer>")],
                                   "page_id long, url string, html string")
@@ -435,6 +439,28 @@ def test_html_runs_count_over_the_whole_host(spark, monkeypatch):
     assert got[100] == f"twice only here said again {own(100)}"
 
 
+def test_html_layout_in_main_is_told_by_the_host(spark):
+    own = lambda k: " ".join(f"only{k}say{j}" for j in range(9))
+    menu, share = "<div class=x1><ul><li>home<li>news<li>sports<li>weather today<li>contact us</ul></div>", "send this page to all your friends"
+    pages = []
+    for k in range(4):
+        inner = f"<p>{own(k)}</p>"
+        for j, (a, b) in enumerate((("<main>", "</main>"), ("<div class=main-content>", "</div>"), ("<main><article>", "</article></main>"))):
+            pages.append((10 * k + j, f"http://m{j}.example/{k}", f"{a if j < 2 else '<main>'}{menu}{inner if j < 2 else '<article>' + inner}"
+                          f"{'</article>' if j == 2 else ''}<div class=x2>{share}</div>{b if j < 2 else '</main>'}<footer>f</footer>"))
+    pages += [(40 + k, f"http://a.example/{k}", f"<article><p>{share}</p><p>{own(k)}</p></article>") for k in range(4)]
+    pages.append((50, "http://one.example/", f"<main>{menu}<p>{own(5)}</p></main>"))
+    # Menu text outside the articles of other pages is evidence; repeats in their articles are not.
+    pages += [(60, "http://e.example/", f"<main>{menu}<p>{own(6)}</p><p>{share}</p></main>")]
+    pages += [(61 + k, f"http://e.example/{k}", f"<nav>{menu}</nav><article><p>{share}</p></article>") for k in range(3)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for k in range(4):
+        assert [got[10 * k + j] for j in range(3)] == [own(k)] * 3
+        assert got[40 + k] == f"{share}\n{own(k)}"
+    assert got[50] == f"home\nnews\nsports\nweather today\ncontact us\n{own(5)}"
+    assert got[60] == f"{own(6)}\n{share}" and got[61] == share
+
+
 def test_covered_runs_need_distinct_pages():
     import numpy as np
     run = [1, 2, 3, 4, 5, 6]
