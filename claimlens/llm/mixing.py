@@ -9,8 +9,9 @@ t a_s / A to within less than one block.
 The windows repeat after A slots, so the schedule is worked out once for A slots
 (a table of A rows whose size depends on the weights alone) and block j of
 source s gets slot (j div a_s) A + table[s, j mod a_s]; no step walks over the
-blocks. All rows stay: when a source has run out, its slots stay empty and the
-others keep their order and ratios.
+blocks. A grows with the number of sources, the work per slot with the number of
+different weights only. All rows stay: when a source has run out, its slots stay
+empty and the others keep their order and ratios.
 
 A row's place inside its source comes from the md5 of its id, counted in small
 hash ranges, so a source with a third of all rows is never sorted in one task.
@@ -25,22 +26,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimlens.llm.common import Stages
+from claimlens.llm.common import Stages, let
 
 BLOCK_ROWS = 64
-#: Slots that a period has, about (each source gets at least one).
+#: Slots that a period has, about (each source gets at least one) ...
 RESOLUTION = 1000
+#: ... or so many a source if there are many.
+SOURCE_UNITS = 50
 #: Rows in a hash range of a source.
 RANGE_ROWS = 1024
 
 
 def weights(counts: DataFrame, resolution: int = RESOLUTION) -> DataFrame:
-    """(source, n_rows, units): target weights as the square root of the rows, in
-    whole units of 1 / ``resolution``, so that large sources don't drown small ones."""
+    """(source, n_rows, units): target weights as the square root of the rows, so that large
+    sources don't drown small ones, in whole units of 1 / ``resolution``, rounded down. With so many
+    sources that ``SOURCE_UNITS`` a source are more than RESOLUTION, there are as many units
+    and they are dealt by largest remainder. Each source gets at least one."""
     root = F.floor(F.sqrt(F.col("n_rows") * 1_000_000)).cast("long")
+    # A row a source: windows over all of them are as small as their number.
     total = Window.partitionBy()
-    return counts.withColumn("root", root).withColumn("all_roots", F.sum("root").over(total)).select(
-        "source", "n_rows", F.greatest(F.lit(1).cast("long"), F.expr(f"{resolution} * root div all_roots")).alias("units"))
+    many = F.count("*").over(total) * SOURCE_UNITS
+    shares = counts.withColumn("root", root).withColumn("all_roots", F.sum("root").over(total)).withColumn(
+        "res", F.when(many > RESOLUTION, F.greatest(many, F.lit(resolution))).otherwise(resolution).cast("long"))
+    whole = shares.withColumn("least", F.expr("res * root div all_roots")).withColumn("rest", F.expr("res * root % all_roots"))
+    place = F.row_number().over(total.orderBy(F.desc("rest"), "source"))
+    left = F.when(F.col("res") > resolution, F.col("res") - F.sum("least").over(total)).otherwise(0)
+    return whole.withColumn("more", F.when(place <= left, 1).otherwise(0)).select(
+        "source", "n_rows", F.greatest(F.lit(1).cast("long"), F.col("least") + F.col("more")).cast("long").alias("units"))
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -50,32 +62,55 @@ def _div(a: Column, b: Column) -> Column:
 def schedule(units: DataFrame) -> DataFrame:
     """(source, turn, slot, period): the slots of one period by earliest deadline first.
 
-    ``units`` is a table of (source, units), one row a source. One fold over the
-    period's slots keeps each source's next turn; in each slot the released turn
-    with the earliest deadline runs, ties going to the source that sorts first."""
-    one = units.agg(F.array_sort(F.collect_list(F.struct(F.col("source").isNotNull().alias("named"), "source", "units")))
-                    .alias("s")).filter(F.size("s") > 0).withColumn("period", F.aggregate(
-                        "s", F.lit(0).cast("long"), lambda acc, x: acc + x["units"]))
+    ``units`` is a table of (source, units), one row a source. Sources of equal units are
+    one class: their turns have the same windows and run in the order of the sources, so a
+    class's state is the number of its turns that ran. One fold over the period's slots, in
+    chunks, keeps it; in each slot the released turn with the earliest deadline runs, ties
+    going to the source that sorts first. The runs of a class are dealt to its sources by a join."""
+    named = units.select(F.col("source").isNotNull().alias("named"), "source", F.col("units").cast("long").alias("units"))
+    numbered = named.withColumn("i", (F.row_number().over(Window.orderBy("named", "source")) - 1).cast("long")).withColumn(
+        "p", (F.row_number().over(Window.partitionBy("units").orderBy("named", "source")) - 1).cast("long"))
+    classes = numbered.groupBy("units").agg(F.array_sort(F.collect_list("i")).alias("members"))
+    one = classes.agg(F.array_sort(F.collect_list(F.struct(
+        "units", F.size("members").cast("long").alias("m"), "members"))).alias("s")).filter(F.size("s") > 0).withColumn(
+            "period", F.aggregate("s", F.lit(0).cast("long"), lambda acc, x: acc + x["units"] * x["m"])).withColumn(
+            "sources", F.aggregate("s", F.lit(0).cast("long"), lambda acc, x: acc + x["m"])).withColumn(
+            "chunk", F.ceil(F.sqrt("period")).cast("long"))
 
     def step(state: Column, t: Column) -> Column:
-        # key = deadline * number of sources + source, of what is released and not yet through
-        turn = lambda i: F.get(state["next"], i)
-        keys = F.transform("s", lambda x, i: F.when(
-            (turn(i) < x["units"]) & (_div(turn(i) * F.col("period"), x["units"]) <= t),
-            _div((turn(i) + 1) * F.col("period") + x["units"] - 1, x["units"]) * F.size("s") + i))
-        chosen = F.pmod(F.array_min(keys), F.size("s")).cast("int")
-        return F.get(F.transform(F.array(chosen), lambda c: F.struct(
+        # key = (deadline * number of sources + source) and the class, of what is released and not yet through
+        def key(x: Column, c: Column) -> Column:
+            n = F.get(state["next"], c)
+            turn = _div(n, x["m"])
+            return F.when((turn < x["units"]) & (_div(turn * F.col("period"), x["units"]) <= t), F.struct(
+                (_div((turn + 1) * F.col("period") + x["units"] - 1, x["units"]) * F.col("sources")
+                 + F.get(x["members"], (n % x["m"]).cast("int"))).alias("k"), c.alias("c")))
+
+        return let(F.array_min(F.transform("s", key))["c"], lambda c: F.struct(
             F.transform(state["next"], lambda n, i: n + F.when(i == c, 1).otherwise(0)).alias("next"),
-            F.concat(state["ran"], F.array(c)).alias("ran"))), F.lit(0))
+            F.concat(state["ran"], F.array(c)).alias("ran")))
+
+    none = F.array().cast("array<int>")
+
+    def chunk(state: Column, first: Column) -> Column:
+        slots = F.sequence(first, F.least(first + F.col("chunk"), F.col("period")) - 1)
+        return let(F.aggregate(slots, F.struct(state["next"].alias("next"), none.alias("ran")), step), lambda x: F.struct(
+            x["next"].alias("next"), F.concat(state["ran"], F.array(x["ran"])).alias("ran")))
 
     start = F.struct(F.transform("s", lambda x: F.lit(0).cast("long")).alias("next"),
-                     F.array().cast("array<int>").alias("ran"))
-    ran = one.select("s", "period", F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("period") - 1), start, step)["ran"]
-                     .alias("ran"))
-    slots = ran.select("s", "period", F.posexplode("ran").alias("slot", "i"))
-    w = Window.partitionBy("i").orderBy("slot")
-    return slots.select(F.get("s", F.col("i"))["source"].alias("source"), (F.row_number().over(w) - 1).cast("long").alias("turn"),
-                        F.col("slot").cast("long").alias("slot"), "period")
+                     F.array().cast("array<array<int>>").alias("ran"))
+    firsts = F.sequence(F.lit(0).cast("long"), F.col("period") - 1, F.col("chunk"))
+    ran = one.select("s", "period", F.flatten(F.aggregate(firsts, start, chunk)["ran"]).alias("ran"))
+    units_of = F.transform("s", lambda x: x["units"])
+    slots = ran.select(units_of.alias("u"), "period", F.posexplode("ran").alias("slot", "c")).select(
+        F.get("u", F.col("c")).alias("units"), "period", "slot")
+    nth = (F.row_number().over(Window.partitionBy("units").orderBy("slot")) - 1).cast("long")
+    of = numbered.select(F.col("units").alias("_u"), "source", "p")
+    sizes = classes.select(F.col("units").alias("_u"), F.size("members").cast("long").alias("_m"))
+    turns = slots.withColumn("nth", nth).join(sizes, F.col("units") == F.col("_u")).drop("_u").select(
+        "units", "slot", "period", F.expr("nth % _m").alias("_p"), F.expr("nth div _m").alias("turn"))
+    return turns.join(of, (F.col("units") == F.col("_u")) & (F.col("_p") == F.col("p"))).select(
+        "source", F.col("turn").cast("long").alias("turn"), F.col("slot").cast("long").alias("slot"), "period")
 
 
 def _place(rows: DataFrame, units: DataFrame, stages: Stages, block_rows: int) -> DataFrame:

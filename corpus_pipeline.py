@@ -34,8 +34,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, and the ids and digests of each text."""
-    return sentencepiece_bpe.encode_rows(docs, ["doc_id", "lang", "source"], digests=True)
+    """doc_id, lang, source, and the ids and digests of each text, in the order of the Pfair slots:
+    reading files doesn't keep an order, so the same slots are worked out again."""
+    return sentencepiece_bpe.encode_rows(mixing.mix(docs), ["doc_id", "lang", "source"], digests=True)
 
 
 STAGES = [("quality rules", quality_rules), ("exact dedup", exact_copies), ("MinHash near-dedup", near_copies),

@@ -183,6 +183,43 @@ def test_mixing_deviation_is_below_one_block(spark):
             assert abs(seen[s] * total - (t + 1) * u) < total
 
 
+def test_mixing_weights_of_many_sources(spark):
+    counts = spark.createDataFrame([("big", 10_000_000), *((f"s{k}", 10_000) for k in range(300))], "source string, n_rows long")
+    units = {r.source: r.units for r in mixing.weights(counts).collect()}
+    total = sum(units.values())
+    share = 10_000_000 ** 0.5 / (10_000_000 ** 0.5 + 300 * 100)
+    assert total == 301 * mixing.SOURCE_UNITS and abs(units["big"] / total - share) < 1 / total
+    assert {units[f"s{k}"] for k in range(300)} <= {45, 46}
+
+
+def test_pipeline_ends_in_mixed_order(spark, tmp_path):
+    import corpus_pipeline
+    docs = spark.createDataFrame([(i, f"text {i}", "en", f"s{i % 3}") for i in range(900)],
+                                 "doc_id long, text string, lang string, source string").repartition(5)
+    corpus_pipeline.encoded(spark, docs, "").write.parquet(str(tmp_path / "out"))
+    got = [i for f in sorted((tmp_path / "out").glob("part-*")) for i in (r.doc_id for r in spark.read.parquet(str(f)).collect())]
+    assert got == [r.doc_id for r in mixing.mixed_slots(docs).orderBy("slot", "place").collect()] and len(got) == 900
+
+
+def schedule_brute(units):
+    """Earliest deadline first, a source at a time; ties go to the source that sorts first, null before all."""
+    names = sorted(units, key=lambda s: (s is not None, s or ""))
+    total, done, out = sum(units.values()), dict.fromkeys(units, 0), []
+    for t in range(total):
+        _, _, s = min((-(-(done[s] + 1) * total // units[s]), i, s) for i, s in enumerate(names)
+                      if done[s] < units[s] and done[s] * total // units[s] <= t)
+        out.append((s, done[s], t, total))
+        done[s] += 1
+    return sorted(out, key=lambda r: r[2])
+
+
+def test_mixing_schedule_equals_brute_force(spark):
+    for units in ({"a": 7, None: 3, "c": 3, "d": 1, "e": 7, "f": 3}, {"only": 4}, {f"s{k % 7}{k}": 1 + k % 5 * 3 for k in range(60)}):
+        table = spark.createDataFrame(list(units.items()), "source string, units long")
+        got = sorted((tuple(r) for r in mixing.schedule(table).collect()), key=lambda r: r[2])
+        assert got == schedule_brute(units)
+
+
 def test_sentencepiece_equals_the_library(docs, rows):
     m = sentencepiece_bpe.model(sentencepiece_bpe.default_model())
     got = sentencepiece_bpe.encode_rows(docs, ["doc_id", "row", "kept"]).collect()
