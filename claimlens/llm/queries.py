@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from claimlens.llm import (
-    exact_dedup, html_extract, line_dedup, minhash, mixing, oracles, pii_crf, quality, sentencepiece_bpe,
+    exact_dedup, html_extract, line_dedup, minhash, mixing, oracles, periodic_runs, pii_crf, quality, sentencepiece_bpe,
     suffix_dedup, token_counts)
 from claimlens.llm.common import table
 
@@ -81,3 +81,8 @@ def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_pii_crf")
 def op9_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_crf.personal_data(table(spark, sf_dir, "documents"))
+
+
+@register("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
