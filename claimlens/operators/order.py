@@ -33,7 +33,8 @@ def _with_offsets(ranged: DataFrame, offsets: dict[str, list[int]]) -> DataFrame
     partition that is broadcast (16 bytes a partition and entry), however many there are."""
     names = list(offsets)
     per_part = ranged.sparkSession.createDataFrame(
-        pd.DataFrame({"_part": range(len(offsets[names[0]])), **offsets}).astype("int64"))
+        pd.DataFrame({"_part": range(len(offsets[names[0]])), **offsets}).astype("int64"),
+        ", ".join(f"{c} long" for c in ["_part", *names]))
     return ranged.withColumn("_part", F.spark_partition_id().cast("long")) \
         .join(F.broadcast(per_part), "_part").drop("_part")
 
