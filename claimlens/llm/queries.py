@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from claimlens.llm import (
-    exact_dedup, html_extract, line_dedup, minhash, mixing, oracles, periodic_runs, pii_crf, quality, sentencepiece_bpe,
-    suffix_dedup, token_counts)
+    conversation_repair, exact_dedup, html_extract, line_dedup, minhash, mixing, oracles, periodic_runs, permutation_index, pii_crf,
+    quality, sentencepiece_bpe, suffix_dedup, token_counts)
 from claimlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,13 @@ def op9_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op12_periodic_runs")
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
+
+
+@register("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_digests(table(spark, sf_dir, "conversations"))
+
+
+@register("op11_permutation_index")
+def op11_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.every_twentieth(table(spark, sf_dir, "embeddings"))
