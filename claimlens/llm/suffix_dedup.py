@@ -10,16 +10,27 @@ only suffixes that can match are sorted, in independent buckets:
    one). Anchor hashes meet in buckets; a hash of one document only is dropped.
 3. For each other anchor, the windows that it stands for go to the bucket of its
    hash, as one stretch of at most 74 bytes. Equal stretches are told by their
-   bytes: all but the earliest document's are covered. Different stretches of an
-   anchor give a suffix array of their windows; the previous and the next smaller
-   document in suffix order are the candidates for the longest previous factor,
-   and a window whose factor is 50 bytes or more is covered.
+   bytes: all but the earliest document's are covered. Of an anchor's different
+   stretches, the windows with the same hash as another give a suffix array; the
+   previous and the next smaller document in suffix order are the candidates for the
+   longest previous factor, and a window whose factor is 50 bytes or more is covered.
 4. Covered windows, joined into runs per document, are cut out of the texts.
 
 What a chunk of documents can settle by itself (an anchor or a stretch of several
 of its documents) is settled before the shuffle, so a passage in a third of all
 documents sends each bucket one entry a chunk, not one a document.
 
+An anchor of more than ``HOT`` documents may have as many different stretches (a
+phrase that a third of all documents use, each in other words): its windows go to the
+buckets of their own hashes instead, each chunk's earliest of equal ones, so no task
+holds them all. At most ``MAX_HOT`` such anchors (8 bytes each) are told to all tasks;
+with more of them the bar rises by powers of two, so an anchor that isn't among them has
+HOT documents or less, or less than two millionths of all (anchor, document) pairs.
+
+The number of buckets follows from the texts' bytes alone. Buckets answer by blocks of
+documents, not by document: a row holds the ids, counts and values of one bucket's
+documents in one block, and each block's rows are then joined into one a document.
+
 Cases: null texts are empty; texts under 50 bytes stay whole, copies too; a null
 id counts as later than all others; texts with the same id don't remove from each
 other; repeated rows all show the same result; empty input gives an empty result.
@@ -38,8 +49,10 @@ from claimlens.llm.common import Stages, whole
 
 LEN = 50
 KMER = 26
-#: Anchors that a bucket has on average.
-BUCKET = 2_000_000
+#: Anchors that a bucket has on average; bytes of the texts of a block of documents.
+BUCKET, BLOCK = 1_000_000, 32 << 20
+#: See above.
+HOT, MAX_HOT = 8192, 1 << 20
 LATE = (1 << 63) - 1
 _BASE = 0xD1342543DE82EF95
 REACH = LEN - KMER  # windows of an anchor start at most so far before it
@@ -132,7 +145,7 @@ def _rows(schema: pa.Schema, rows: list[tuple]):
 
 
 _ANCHOR = pa.schema([("bucket", pa.int64()), ("settled", pa.bool_()), ("h", pa.binary()), ("ref", pa.binary()),
-                     ("docs", pa.binary())])
+                     ("docs", pa.binary()), ("n", pa.binary())])
 
 
 def _emit_anchors(buckets: int):
@@ -155,24 +168,27 @@ def _emit_anchors(buckets: int):
             many = np.repeat(size > 1, size)
             rows = []
 
-            def put(bucket, settled, pick):
+            def put(bucket, settled, pick, n):
                 used, ref = np.unique(doc[pick], return_inverse=True)
-                rows.append((bucket, settled, _pack(h[pick], settled), ref.astype(REF).tobytes(), rid[used].tobytes()))
+                rows.append((bucket, settled, _pack(h[pick], settled), ref.astype(REF).tobytes(), rid[used].tobytes(), n))
 
             if many.any():  # of several documents here: known to be shared; salted, not by hash
                 salt += 1
-                put(buckets + (int(h[0]) + salt) % buckets, True, np.flatnonzero(many))
+                put(buckets + (int(h[0]) + salt) % buckets, True, np.flatnonzero(many), b"")
             head = np.flatnonzero(first)
             b = (h[head] >> np.uint64(CODE)).astype(np.int64)  # in order, as codes are
             ends = np.flatnonzero(np.append(np.diff(b) != 0, True)) + 1
             for s, e in zip(np.append(0, ends[:-1]), ends):
                 # A hash that is settled here is sent too, so that other chunks learn that it is shared.
-                put(int(b[s]), False, head[s:e])
+                put(int(b[s]), False, head[s:e], size[s:e].astype(REF).tobytes())
             yield from _rows(_ANCHOR, rows)
     return run
 
 
-_LIVE = pa.schema([("rid", pa.binary()), ("live", pa.binary())])
+#: By block: the documents' ids, how many values each has, and the values one document after the other;
+#: with block null a hot anchor and its documents.
+_BY_BLOCK = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("sizes", pa.binary()), ("value", pa.binary()),
+                       ("hot", pa.int64()), ("n", pa.int64())])
 
 
 def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,33 +202,68 @@ def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, np.concatenate(ref), np.concatenate(docs)
 
 
-def _by_doc(schema: pa.Schema, doc: np.ndarray, value: np.ndarray, docs: np.ndarray):
-    """A row for each document: its id, and its values one after the other."""
-    if not len(doc):
-        return schema.empty_table()
-    order = np.argsort(doc, kind="stable")
+def _by_block(doc: np.ndarray, value: np.ndarray, docs: np.ndarray, blocks: int, hot: tuple = ((), ())) -> pa.Table:
+    """The values of documents, a row for each block that has any; and the hot anchors."""
+    block = np.ascontiguousarray(docs[:, :8]).view(np.uint64).ravel() % np.uint64(blocks)
+    order = np.lexsort((doc, block[doc]))
     doc, value = doc[order], value[order]
-    at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    ends = np.append(at[1:], len(doc))
-    return pa.table([pa.array([docs[doc[s]].tobytes() for s in at], pa.binary()),
-                     pa.array([value[s:e].tobytes() for s, e in zip(at, ends)], pa.binary())], schema=schema)
+    at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+    size, own = np.diff(np.append(at, len(doc))).astype(np.int32), block[doc[at]]
+    cuts = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else []
+    rows = [(int(own[s]), docs[doc[at[s:e]]].tobytes(), size[s:e].tobytes(), value[at[s]:at[e] if e < len(at) else len(doc)].tobytes(),
+             None, None) for s, e in zip(cuts, [*cuts[1:], len(own)])]
+    rows += [(None, None, None, None, int(h), int(n)) for h, n in zip(*hot)]
+    return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_BY_BLOCK)], schema=_BY_BLOCK)
+
+
+def _join_blocks(width: int, join):
+    """Of one block's rows: one row a document, (rid, join(values))."""
+    schema = pa.schema([("rid", pa.binary()), ("value", pa.binary())])
+
+    def run(table: pa.Table) -> pa.Table:
+        docs = np.frombuffer(b"".join(table["docs"].to_pylist()), "V16")
+        size = np.frombuffer(b"".join(table["sizes"].to_pylist()), np.int32)
+        value = np.frombuffer(b"".join(table["value"].to_pylist()), f"V{width}")
+        used, doc = np.unique(docs, return_inverse=True)
+        doc = np.repeat(doc, size)
+        order = np.argsort(doc, kind="stable")
+        value, at = value[order], np.searchsorted(doc[order], np.arange(len(used) + 1))
+        return pa.table([pa.array([x.tobytes() for x in used], pa.binary()),
+                         pa.array([join(value[s:e].tobytes()) for s, e in zip(at, at[1:])], pa.binary())], schema=schema)
+    return run
 
 
-def _shared_anchors(table: pa.Table) -> pa.Table:
-    h, ref, docs = _unpack(table)
-    if table["settled"][0].as_py():
-        return _by_doc(_LIVE, ref, h, docs)
-    order = np.argsort(h, kind="stable")
-    h, ref = h[order], ref[order]
-    same = h[1:] == h[:-1]
-    live = np.append(same, False) | np.append(False, same)  # entries of two chunks: of two documents
-    return _by_doc(_LIVE, ref[live], h[live], docs)
+def _shared_anchors(blocks: int, most: int):
+    def run(table: pa.Table) -> pa.Table:
+        h, ref, docs = _unpack(table)
+        if table["settled"][0].as_py():
+            return _by_block(ref, h, docs, blocks)
+        n = np.frombuffer(b"".join(table["n"].to_pylist()), REF).astype(np.int64)
+        order = np.argsort(h, kind="stable")
+        h, ref, n = h[order], ref[order], n[order]
+        same = h[1:] == h[:-1]
+        live = np.append(same, False) | np.append(False, same)  # entries of two chunks: of two documents
+        first = np.flatnonzero(np.append(True, ~same))
+        n = np.add.reduceat(n, first)
+        return _by_block(ref[live], h[live], docs, blocks, (h[first][n > most], n[n > most]))
+    return run
+
+
+def _hot_anchors(live: DataFrame) -> np.ndarray:
+    """Codes of the hot anchors, MAX_HOT at most."""
+    hot = live.filter("block IS NULL").select("hot", "n", F.floor(F.log2("n")).alias("power"))
+    bar, total = 64, 0
+    for r in hot.groupBy("power").count().orderBy(F.desc("power")).collect():  # a row for each power of two
+        total += r["count"]
+        if total > MAX_HOT:
+            break
+        bar = r["power"]
+    return np.sort(np.array([r.hot for r in hot.filter(F.col("power") >= bar).select("hot").collect()], np.int64).astype(np.uint64))
 
 
 _STRETCH = pa.schema([("bucket", pa.int64()), ("settled", pa.bool_()), ("h", pa.binary()), ("ref", pa.binary()),
                       ("docs", pa.binary()), ("at", pa.binary()), ("ord", pa.binary()), ("text", pa.binary())])
 _PLACE = np.dtype([("at", "<i4"), ("lo", "i1"), ("hi", "i1")])  # Arrow's strings are shorter than 2 GB
-_SPANS = pa.schema([("rid", pa.binary()), ("spans", pa.binary())])
 
 
 def _same(*keys: np.ndarray) -> np.ndarray:
@@ -247,7 +298,15 @@ def _digest(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _emit_stretches(buckets: int):
+def _window_hashes(text: np.ndarray) -> np.ndarray:
+    """Hashes of all windows of rows of WIDE bytes."""
+    from claimlens.llm.hashing import U, mixed, powers
+    total = np.zeros((len(text), WIDE + 1), U)
+    np.cumsum((text.astype(U) + U(1)) * powers(_BASE, WIDE), axis=1, out=total[:, 1:])
+    return mixed((total[:, LEN:] - total[:, :-LEN]) * powers(pow(_BASE, -1, 1 << 64), REACH + 1))
+
+
+def _emit_stretches(buckets: int, hot: np.ndarray):
     def run(batches):
         salt = 0
         for cols, data, off in _chunks(batches, ["rid", "ord", "live"]):
@@ -269,33 +328,52 @@ def _emit_stretches(buckets: int):
             # An anchor's windows need not be adjacent (its hash may recur): the stretch spans them
             # all, and those in between are windows of the same text too.
             lo, hi = first[pick] - where[pick], last[pick] - where[pick]
-            rows_ = _cut_stretches(data, where[pick], lo, hi)
-            hh, dd, at = h[pick], doc[pick], where[pick] - off[doc[pick]]
-            dig = _digest(rows_) ^ ((lo + 64) * 128 + hi + 64).astype(np.uint64)
-            order = np.lexsort((when[dd], dig, hh))
-            same = _same(hh[order], dig[order]) & (rows_[order[1:]] == rows_[order[:-1]]).all(1) \
-                & _same(lo[order], hi[order])
-            head = np.append(True, ~same)
-            group = np.cumsum(head) - 1
-            later = when[dd[order]] > when[dd[order]][head][group]
             rows = []
 
-            def put(bucket, settled, i, text):
+            def settle(hh, dd, at, lo, hi, text):
+                """Of equal stretches all but the earliest document's are settled; the others' indices."""
+                nonlocal salt
+                dig = _digest(text) ^ ((lo + 64) * 128 + hi + 64).astype(np.uint64)
+                order = np.lexsort((when[dd], dig, hh))
+                same = _same(hh[order], dig[order]) & (text[order[1:]] == text[order[:-1]]).all(1) & _same(lo[order], hi[order])
+                head = np.append(True, ~same)
+                group = np.cumsum(head) - 1
+                later = when[dd[order]] > when[dd[order]][head][group]
+                if later.any():
+                    salt += 1
+                    put(buckets + (int(hh[0]) + salt) % buckets, True, order[later], hh, dd, at, lo, hi, None)
+                return order[~later]  # the earliest, and those of the same id: to be compared with other chunks'
+
+            def put(bucket, settled, i, hh, dd, at, lo, hi, text):
                 used, ref = np.unique(dd[i], return_inverse=True)
                 place = np.zeros(len(i), _PLACE)
                 place["at"], place["lo"], place["hi"] = at[i], lo[i], hi[i]
                 rows.append((bucket, settled, _pack(hh[i], settled), ref.astype(REF).tobytes(), rid[used].tobytes(),
-                             place.tobytes(), when[used].tobytes(), rows_[i].tobytes() if text else b""))
-
-            if later.any():
-                salt += 1
-                put(buckets + (int(hh[0]) + salt) % buckets, True, order[later], False)
-            # The group's earliest, and those of the same id: to be compared with other chunks'.
-            rest = order[~later]
-            b = (hh[rest] >> np.uint64(CODE)).astype(np.int64)  # in order, as codes are
-            ends = np.flatnonzero(np.append(np.diff(b) != 0, True)) + 1
-            for s, e in zip(np.append(0, ends[:-1]), ends):
-                put(int(b[s]), False, rest[s:e], True)
+                             place.tobytes(), when[used].tobytes(), b"" if text is None else text[i].tobytes()))
+
+            def send(i, hh, *more):
+                """To the buckets of their codes; i is in the codes' order."""
+                b = (hh[i] >> np.uint64(CODE)).astype(np.int64)
+                ends = np.flatnonzero(np.append(np.diff(b) != 0, True)) + 1
+                for s, e in zip(np.append(0, ends[:-1]), ends):
+                    put(int(b[s]), False, i[s:e], hh, *more)
+
+            of = (h[pick], doc[pick], where[pick] - off[doc[pick]], lo, hi, _cut_stretches(data, where[pick], lo, hi))
+            rest = settle(*of)
+            common = np.zeros(len(rest), bool)
+            if len(hot):
+                common = hot[np.minimum(np.searchsorted(hot, of[0][rest]), len(hot) - 1)] == of[0][rest]
+            if not common.all():
+                send(rest[~common], *of)
+            if common.any():  # by their windows
+                i = rest[common]
+                n = (hi - lo + 1)[i]
+                k, w = np.repeat(i, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                w += lo[k]
+                own = _window_hashes(of[5][i])[np.repeat(np.arange(len(i)), n), w + REACH]
+                zero = np.zeros(len(k), np.int64)
+                of = (_codes(own, buckets), of[1][k], of[2][k] + w, zero, zero, _cut_stretches(data, where[pick][k] + w, zero, zero))
+                send(settle(*of), *of)
             yield from _rows(_STRETCH, rows)
     return run
 
@@ -343,13 +421,18 @@ def _suffix_order(window: np.ndarray, when: np.ndarray) -> np.ndarray:
     return np.lexsort([when, *(words[:, k] for k in range(words.shape[1] - 1, -1, -1))])
 
 
-def _cover(table: pa.Table) -> pa.Table:
+def _cover(blocks: int):
+    return lambda table: _by_block(*_covered(table), blocks)
+
+
+def _covered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document numbers, spans and the documents' ids of what a bucket covers."""
     h, ref, docs = _unpack(table)
     place = np.frombuffer(b"".join(table["at"].to_pylist()), _PLACE)
     at, lo, hi = (place[k].astype(np.int64) for k in ("at", "lo", "hi"))
     when = np.frombuffer(b"".join(table["ord"].to_pylist()), np.int64)[ref]
     if table["settled"][0].as_py():
-        return _by_doc(_SPANS, ref, np.stack([at + lo, at + hi + LEN], 1).view("V16").ravel(), docs)
+        return ref, np.stack([at + lo, at + hi + LEN], 1).view("V16").ravel(), docs
     text = np.frombuffer(b"".join(table["text"].to_pylist()), np.uint8).reshape(-1, WIDE)
     dig = _digest(text) ^ ((lo + 64) * 128 + hi + 64).astype(np.uint64)
     order = np.lexsort((when, dig, h))
@@ -374,9 +457,16 @@ def _cover(table: pa.Table) -> pa.Table:
         n = (hi - lo + 1)[part]
         row = np.repeat(np.arange(len(part)), n)
         o = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[part][row]
-        window = text[part[row][:, None], (o + REACH)[:, None] + np.arange(LEN)[None]]
-        lpf = longest_previous_factor(window, when[part[row]])
-        hit = lpf >= LEN
+        # A window whose hash no other one has isn't anywhere else.
+        own = _window_hashes(text[part])[row, o + REACH]
+        by = np.argsort(own)
+        twice = np.append(False, own[by[1:]] == own[by[:-1]])
+        two = np.sort(by[twice | np.append(twice[1:], False)])
+        hit = np.zeros(len(row), bool)
+        if not len(two):
+            continue
+        window = text[part[row[two]][:, None], (o[two] + REACH)[:, None] + np.arange(LEN)[None]]
+        hit[two] = longest_previous_factor(window, when[part[row[two]]]) >= LEN
         # An earlier text's window covers this group's earliest documents (its later ones are covered whole).
         members = np.flatnonzero(~later & np.isin(group, group[part]))
         key = np.searchsorted(group[part], group[members])
@@ -388,7 +478,7 @@ def _cover(table: pa.Table) -> pa.Table:
             spans.append(np.stack([w[new], w[np.append(new[1:], True)] + LEN], 1))
             doc.append(np.full(len(spans[-1]), ref[m]))
     spans = np.concatenate(spans)
-    return _by_doc(_SPANS, np.concatenate(doc), np.ascontiguousarray(spans).view("V16").ravel(), docs)
+    return np.concatenate(doc), np.ascontiguousarray(spans).view("V16").ravel(), docs
 
 
 def runs(spans: np.ndarray) -> np.ndarray:
@@ -405,7 +495,7 @@ def _remove(batches):
         rows = []
         for rid, text, blobs in zip(*(batch.column(k) for k in range(3))):
             data = (text.as_py() or "").encode()
-            cut = runs(np.frombuffer(b"".join(blobs.as_py()), np.int64).reshape(-1, 2))
+            cut = np.frombuffer(blobs.as_py(), np.int64).reshape(-1, 2)
             kept, upto = [], 0
             for s, e in cut.tolist():
                 kept.append(data[upto:s])
@@ -417,8 +507,10 @@ def _remove(batches):
                                     ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64()))]), rows)
 
 
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end, start, ... in bytes)."""
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_docs: int = HOT) -> DataFrame:
+    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end, start, ... in bytes).
+
+    Anchors of more than ``hot_docs`` documents are worked on by window; the result is the same."""
     stages = Stages(docs.sparkSession)
     raw = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LATE)).alias("ord"),
                       whole(text_col).alias("text")).withColumn("sha", F.unhex(F.sha2("text", 256)))
@@ -426,20 +518,22 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     firsts = stages.write(ids.groupBy("sha").agg(F.min("ord").alias("first"), F.max("n_bytes").alias("n_bytes")), "firsts")
     total = firsts.agg(F.sum("n_bytes")).first()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(math.ceil(total / 13 / BUCKET), parts)
+    buckets, blocks = max(1, math.ceil(total / 13 / BUCKET)), max(1, math.ceil(total / BLOCK))
     rid = F.substring("sha", 1, 16).alias("rid")
     # Different texts, once: bucketed by their id, so that the joins below move no text again.
     long = raw.filter(F.octet_length("text") >= LEN).groupBy(rid).agg(F.min("ord").alias("ord"), F.first("text").alias("text"))
     texts = stages.bucketed(long, "texts", "rid", parts)
     entries = texts.select("rid", "text").mapInArrow(_emit_anchors(buckets), _ddl(_ANCHOR))
-    live = stages.write(entries.groupBy("bucket").applyInArrow(_shared_anchors, _ddl(_LIVE)), "live")
-    by_doc = live.groupBy("rid").agg(F.array_join(F.collect_list(F.hex("live")), "").alias("live"))
-    joined = texts.join(by_doc.select("rid", F.unhex("live").alias("live")).hint("merge"), "rid")
-    stretches = joined.select("rid", "ord", "live", "text").mapInArrow(_emit_stretches(buckets), _ddl(_STRETCH))
-    spans = stages.write(stretches.groupBy("bucket").applyInArrow(_cover, _ddl(_SPANS)), "spans")
+    live = stages.write(entries.groupBy("bucket").applyInArrow(_shared_anchors(blocks, hot_docs), _ddl(_BY_BLOCK)), "live")
+    hot = _hot_anchors(live)
+    by_doc = live.filter("block IS NOT NULL").groupBy("block").applyInArrow(_join_blocks(8, bytes), "rid binary, value binary")
+    joined = texts.join(by_doc.withColumnRenamed("value", "live").hint("merge"), "rid")
+    stretches = joined.select("rid", "ord", "live", "text").mapInArrow(_emit_stretches(buckets, hot), _ddl(_STRETCH))
+    spans = stages.write(stretches.groupBy("bucket").applyInArrow(_cover(blocks), _ddl(_BY_BLOCK)), "spans")
     stages.drop("live")
-    grouped = spans.groupBy("rid").agg(F.collect_list("spans").alias("spans"))
-    cut = stages.write(texts.join(grouped.hint("merge"), "rid").select("rid", "text", "spans").mapInArrow(
+    joined_runs = lambda raw: runs(np.frombuffer(raw, np.int64).reshape(-1, 2)).tobytes()
+    by_doc = spans.groupBy("block").applyInArrow(_join_blocks(16, joined_runs), "rid binary, value binary")
+    cut = stages.write(texts.join(by_doc.hint("merge"), "rid").select("rid", "text", "value").mapInArrow(
         _remove, "rid binary, n_removed long, n_spans long, kept_sha256 string, spans array<long>"), "cut")
     stages.drop("spans", "texts")
     whole_copy = (F.col("ord") > F.col("first")) & (F.col("n_bytes") >= LEN)

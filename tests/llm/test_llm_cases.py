@@ -278,8 +278,49 @@ def test_suffix_dedup_of_random_pieces(spark, monkeypatch):
     parts = ["".join(random.choices("ab ", k=random.randint(20, 90))) for _ in range(12)] + ["é" * 40, "z" * 70]
     rows = [(random.randint(0, 30), "".join(random.choices(parts, k=random.randint(0, 6)))) for _ in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = suffix_dedup.removed_spans(docs)
-    assert sorted((tuple(r)[:5] for r in got.collect()), key=repr) == removed_brute(rows)
+    for hot in (suffix_dedup.HOT, 0, 3):  # all anchors by window, or those of more than three documents
+        got = suffix_dedup.removed_spans(docs, hot_docs=hot)
+        assert sorted((tuple(r)[:5] for r in got.collect()), key=repr) == removed_brute(rows)
+
+
+def test_suffix_dedup_of_a_common_phrase(spark):
+    """100,000 documents with the same 26 bytes in other words each; every thousandth repeats one from before."""
+    phrase = "as everybody here may know"
+    own = lambda k: hashlib.md5(str(k).encode()).hexdigest()
+    rows = [(k, f"{own(k)}{phrase}{own(-k - 1)}") for k in range(100_000)]
+    rows += [(100_000 + k, f"{k} {own(k)}{phrase} {k}") for k in range(0, 100_000, 1000)]
+    got = {r.doc_id: r for r in suffix_dedup.removed_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert len(got) == len(rows)
+    assert all(got[k].n_removed == 0 for k in range(100_000))
+    for k, text in rows[100_000:]:
+        begin = len(f"{k - 100_000} ")
+        assert got[k].spans == [begin, begin + 32 + len(phrase)] and got[k].n_bytes == len(text)
+
+
+@pytest.mark.parametrize("parts", [3, 24])
+def test_suffix_dedup_rows_follow_the_documents(spark, monkeypatch, parts):
+    """The stages between hold a row for each bucket and block of documents, whatever the partitions."""
+    from claimlens.llm.common import Stages
+    write, counted = Stages.write, {}
+
+    def counting(self, df, name, *more):
+        out = write(self, df, name, *more)
+        counted[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Stages, "write", counting)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        made = []
+        for n in (300, 1500):
+            rows = [(k, f"{k} " + "a line that all the documents of this test repeat in full, so it goes. " * 2 + f"{k * k}") for k in range(n)]
+            found = suffix_dedup.removed_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+            assert found.filter("n_removed > 100").count() == n - 1
+            made.append({name: counted[name] for name in ("live", "spans")})
+        assert all(big <= 4 for big in made[1].values()), made
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
 
 
 def test_longest_previous_factor():
