@@ -177,9 +177,8 @@ def passages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def params_for(spark: SparkSession, sf_dir: str, model_type: int = 3) -> ModelParams:
-    """F_params sized by the fixture: source vocabularies decide table rows."""
-    return fixture_params(model_type=model_type, claim_src_num=8, evidence_src_num=6,
-                          **FIXTURE_DIMS)
+    """F_params' matrices; its source tables are ``source_tables.formula_tables`` of the vocabularies."""
+    return fixture_params(model_type=model_type, **FIXTURE_DIMS)
 
 
 __all__ = ["rows", "ranked", "ranked_lists", "scores", "pred", "tokens", "token_sources",

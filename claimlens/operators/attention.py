@@ -163,11 +163,12 @@ def claim_side(rows: DataFrame, params: ModelParams, ctx: str, keep_map: bool =
             if pdf.empty:
                 continue
             mats = [np.vstack([np.asarray(t, dtype=np.float64) for t in H]) for H in pdf["cmat"].values]
-            chat, maps = D.segment_attention(mats, D.stack(pdf[ctx]), w, v)
+            lens = np.array([len(m) for m in mats])
+            chat, maps = D.segment_attention(np.vstack(mats), lens, D.stack(pdf[ctx]), w, v)
             out = pdf.drop(columns=["cmat"])
             out["c_hat"] = list(chat)
             if keep_map:
-                out["claim_map"] = maps
+                out["claim_map"] = np.split(maps, np.cumsum(lens)[:-1])
             yield out
 
     return rows.mapInPandas(fn, schema)

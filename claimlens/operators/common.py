@@ -1,4 +1,4 @@
-"""Small shared helpers: size-checked broadcast."""
+"""Small shared helpers: size-checked broadcasts."""
 
 from __future__ import annotations
 
@@ -22,3 +22,8 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     if size is not None and size <= limit:
         return F.broadcast(df)
     return df
+
+
+def broadcast_counted(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """Broadcast hint only if the rows, counted by a job, of ``row_bytes`` each are under the limit."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df

@@ -26,8 +26,11 @@ from claimlens.functions.text import tokenize
 SPECIAL_FIRST = "[cls]"
 
 
-def hash_vector(token: Column, dim: int) -> Column:
-    h = F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint") % 100003
+def token_hash(token: Column) -> Column:
+    return F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint") % 100003
+
+
+def hash_vector(h: Column, dim: int) -> Column:
     return F.array(*[F.sin(F.lit((k + 1) / 1000.0) * h) for k in range(dim)])
 
 
@@ -39,7 +42,16 @@ def encode_tokens(df: DataFrame, text: str, keys: list[str], dim: int = 16,
         toks = F.concat(F.array(F.lit(SPECIAL_FIRST)), toks)
     ex = df.select(*keys, F.posexplode(toks).alias("tok_pos", "token"))
     return ex.select(*keys, F.col("tok_pos").cast("int").alias("tok_pos"), "token",
-                     hash_vector(F.col("token"), dim).alias("vec"))
+                     hash_vector(token_hash(F.col("token")), dim).alias("vec"))
+
+
+def text_matrix(text: Column, dim: int = 16, special_first: bool = True) -> Column:
+    """Default encoder, a text at a time: (toks: the tokens' places, vals: their vectors one after the other)."""
+    toks = tokenize(F.coalesce(text, F.lit("")))
+    if special_first:
+        toks = F.concat(F.array(F.lit(SPECIAL_FIRST)), toks)
+    vals = F.flatten(F.transform(F.transform(toks, token_hash), lambda h: hash_vector(h, dim)))
+    return F.struct(F.transform(toks, lambda t, i: i).alias("toks"), vals.alias("vals"))
 
 
 _WORKER_ENCODER: dict = {}

@@ -7,16 +7,20 @@ side un-exploded (one row per id), so the join never multiplies rows, and the
 containment test runs as a JVM-side higher-order ``filter`` over the list.
 
 J2 finds the same containment without an id, passages against a corpus, by exact
-anchor candidates (join on the passage's longest interior token, then verify
+candidates (documents with the passage's rarest five-token shingle, then verify
 every candidate).
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.operators.common import maybe_broadcast
+from claimlens.operators.common import broadcast_counted, maybe_broadcast
+from claimlens.session import cut_lineage
 
 
 def match_ranked_evidence(rows: DataFrame, ranked_lists: DataFrame, id_col: str = "id_left",
@@ -55,24 +59,73 @@ def unmatched_claims(rows: DataFrame, ranked_lists: DataFrame, id_col: str = "id
 
 
 # ---------------------------------------------------------------- J2
-def _tokens(col):
-    return F.split(F.trim(col), r"\s+")
+#: Tokens of a shingle; a passage with fewer inner tokens has one shingle of all of them.
+SHINGLE = 5
 
 
-def passage_anchor(text_col) -> "F.Column":
-    """The longest interior whitespace token of a passage (ties: the larger
-    string), or null when the passage has fewer than 3 tokens. An interior
-    token has whitespace on both sides inside the passage, so any document
-    that contains the passage contains it as a whole token."""
-    toks = _tokens(text_col)
-    interior = F.slice(toks, 2, F.size(toks) - 2)
-    ranked = F.array_sort(F.transform(interior, lambda t: F.struct(F.length(t).alias("l"), t.alias("t"))))
-    return F.when(F.size(toks) >= 3, F.element_at(ranked, -1)["t"])
+def _tokens(col):
+    return F.split(F.trim(col), r"\s+")
 
 
-def document_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc id, distinct whitespace token): one row per distinct token."""
-    return docs.select(id_col, F.explode(F.array_distinct(_tokens(F.col(text_col)))).alias("anchor"))
+def _token_hashes(toks):
+    return F.transform(toks, lambda t: F.xxhash64(t))
+
+
+def shingles(hashes: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of all ``width``-token shingles of rows of token hashes, ``size`` tokens each."""
+    out = np.zeros(max(0, len(hashes) - width + 1), np.uint64)
+    for k in range(width):
+        out = (out ^ hashes[k:k + len(out)].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    row = np.repeat(np.arange(len(size)), size)
+    inside = row[:len(out)] == row[width - 1:]
+    return row[:len(out)][inside], out[inside].view(np.int64)
+
+
+def shingle_rows(rows: DataFrame, key: str, widths: list[int]) -> DataFrame:
+    """(key, width, shingle) of rows (key, hashes), for each width. A hash that two shingles share only makes
+    a candidate more, as every candidate is verified."""
+    def run(batches):
+        for b in batches:
+            hashes = b.column(1).flatten().to_numpy(zero_copy_only=False)
+            size = pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
+            for w in widths:
+                row, h = shingles(hashes, size, w)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(np.full(len(h), w, np.int32)), pa.array(h)],
+                                                 names=["key", "width", "shingle"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, "hashes").mapInArrow(run, f"key {kind}, width int, shingle long").withColumnRenamed("key", key)
+
+
+def inner_tokens(passages: DataFrame, item_id: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item, _ptext, _width, hashes): a passage's inner tokens, and the width of its shingles.
+    An inner token has white space on both sides inside the passage, so a document that contains the
+    passage has them as whole tokens, one after the other."""
+    toks = _tokens(F.col(text_col))
+    inner = F.slice(toks, 2, F.greatest(F.size(toks) - 2, F.lit(0)))
+    return passages.select(item_id, F.col(text_col).alias("_ptext"), F.least(F.size(inner), F.lit(SHINGLE)).alias("_width"),
+                           _token_hashes(inner).alias("hashes"))
+
+
+def passage_candidates(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id",
+                       text_col: str = "text") -> DataFrame:
+    """(doc, item, _ptext) of the documents with a passage's rarest shingle, for passages of 3 tokens and more.
+
+    Documents give the distinct shingles that some passage has, too; these are counted over all documents,
+    and a passage is looked for only where its shingle of the fewest documents is (ties: the least hash)."""
+    p = inner_tokens(passages, item_id, text_col).filter("_width > 0").select(
+        F.struct(item_id, "_ptext", F.col("_width").cast("int").alias("own")).alias("p"), "hashes")
+    each = cut_lineage(shingle_rows(p, "p", list(range(1, SHINGLE + 1))).filter("p.own = width").select("p.*", "width", "shingle").distinct())
+    asked = each.select("width", "shingle").distinct()
+    widths = [r[0] for r in asked.select("width").distinct().collect()]  # SHINGLE values at most
+    given = shingle_rows(docs.select(doc_id, _token_hashes(_tokens(F.col(text_col))).alias("hashes")), doc_id, sorted(widths))
+    had = cut_lineage(given.join(broadcast_counted(asked, 16), ["width", "shingle"]).distinct())  # counted and joined
+    counts = had.groupBy("width", "shingle").agg(F.count(F.lit(1)).alias("n"))
+    rarest = each.join(counts, ["width", "shingle"], "left").groupBy(item_id, "_ptext", "width").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle")).alias("a")).filter("a.n > 0")
+    return had.join(rarest.select(item_id, "_ptext", "width", F.col("a.shingle").alias("shingle")), ["width", "shingle"]) \
+        .select(doc_id, item_id, "_ptext").distinct()
 
 
 def match_passages(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id",
@@ -81,9 +134,8 @@ def match_passages(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id",
     """The distinct (item, doc) ids where a passage of the item occurs verbatim in a
     document of the id, whichever the strategy and however ids repeat.
 
-    ``anchor``: exact candidate generation -- documents' distinct tokens joined
-    with the passages' anchor tokens -- then every candidate is verified with
-    ``contains``. Passages under 3 tokens use exact character-gram candidates
+    ``anchor``: exact candidates by the passage's rarest shingle (``passage_candidates``), each
+    verified with ``contains``. Passages under 3 tokens use exact character-gram candidates
     (``match_short_passages``).
     ``broadcast``: nested loop over the passages (cost docs x passages), for a
     caller who knows that there is a handful of them.
@@ -92,12 +144,9 @@ def match_passages(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id",
     d = docs.select(doc_id, F.col(text_col).alias("_dtext"))
     if strategy == "broadcast":
         return d.join(maybe_broadcast(p), F.col("_dtext").contains(F.col("_ptext"))).select(item_id, doc_id).distinct()
-    anchored = p.withColumn("anchor", passage_anchor(F.col("_ptext")))
-    short = anchored.where(F.col("anchor").isNull()).drop("anchor")
-    anchors = anchored.where(F.col("anchor").isNotNull()).select(item_id, "anchor").distinct()
-    cand = document_tokens(docs, doc_id, text_col).join(maybe_broadcast(anchors), "anchor").select(doc_id, item_id).distinct()
-    verified = (cand.join(d, doc_id).join(maybe_broadcast(p), item_id)
-                .where(F.col("_dtext").contains(F.col("_ptext"))).select(item_id, doc_id))
+    cand = passage_candidates(docs, passages, doc_id, item_id, text_col)
+    verified = cand.join(d, doc_id).where(F.col("_dtext").contains(F.col("_ptext"))).select(item_id, doc_id)
+    short = inner_tokens(passages, item_id, text_col).filter("_width = 0").select(item_id, "_ptext")
     rest = match_short_passages(docs, short, doc_id, item_id, text_col)
     return verified.unionByName(rest).distinct()
 

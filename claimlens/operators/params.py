@@ -1,9 +1,10 @@
 """Scoring-model parameters: a small, size-checked set of dense matrices.
 
-Parameters are model-sized (dims x dims, vocabulary x dim), never data-sized,
-so they travel to executors as a broadcast. ``fixture_params`` fills them from
-the closed formula ``sin(1 + 31*i + 17*j + 101*m) / sqrt(rows)`` so that
-Spark, NumPy and the DuckDB oracle hold the same numbers.
+They are model-sized (dims x dims), never data-sized, so they travel to executors
+as a broadcast; the source embeddings, which grow with the sources, are a table
+(``source_tables``). ``fixture_params`` fills them from the closed formula
+``sin(1 + 31*i + 17*j + 101*m) / sqrt(rows)`` so that Spark, NumPy and the DuckDB
+oracle hold the same numbers.
 """
 
 from __future__ import annotations
@@ -12,13 +13,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-# Fixed order of the parameter matrices (numbered m = 0, 1, ... in this order).
+# Fixed order of the parameter matrices (numbered m = 0, 1, ... in this order); the first two
+# are tables of their own.
 PARAM_ORDER = [
     "claim_src", "evidence_src", "ln_gain", "ln_bias",
     "linear_c_w", "linear_c_b", "linear_e_w", "linear_e_b",
     "affinity_w", "co_w1", "co_v1", "co_w2", "co_v2",
     "fc1_w", "fc1_b", "fc3_w", "fc3_b",
 ]
+SOURCE_PARAMS = PARAM_ORDER[:2]
 
 # Broadcast guard: parameters above this size are refused (they are model-sized).
 MAX_PARAM_BYTES = 512 * 1024 * 1024
@@ -70,16 +73,13 @@ class ModelParams:
         return self["ln_bias"][0] @ self["linear_e_w"] + self["linear_e_b"][0]
 
 
-def shapes(model_type: int, emb_dim: int, hidden_dim: int, claim_src_num: int,
-           evidence_src_num: int, claim_src_dim: int, evidence_src_dim: int,
+def shapes(model_type: int, emb_dim: int, hidden_dim: int, claim_src_dim: int, evidence_src_dim: int,
            mlp_hidden: int | None) -> dict:
     h = hidden_dim
     input_dim = 2 * h + (claim_src_dim if model_type in (1, 3) else 0) \
         + (evidence_src_dim if model_type in (2, 3) else 0)
     mh = input_dim // 48 if mlp_hidden is None else mlp_hidden
     return {
-        "claim_src": (claim_src_num, claim_src_dim),
-        "evidence_src": (evidence_src_num, evidence_src_dim),
         "ln_gain": (1, emb_dim), "ln_bias": (1, emb_dim),
         "linear_c_w": (emb_dim, h), "linear_c_b": (1, h),
         "linear_e_w": (emb_dim, h), "linear_e_b": (1, h),
@@ -97,40 +97,31 @@ def formula_matrix(m: int, rows: int, cols: int) -> np.ndarray:
     return np.sin(1.0 + 31.0 * i + 17.0 * j + 101.0 * m) / np.sqrt(rows)
 
 
-def fixture_params(model_type: int = 3, emb_dim: int = 64, hidden_dim: int = 8,
-                   claim_src_num: int = 8, evidence_src_num: int = 6, claim_src_dim: int = 4,
+def fixture_params(model_type: int = 3, emb_dim: int = 64, hidden_dim: int = 8, claim_src_dim: int = 4,
                    evidence_src_dim: int = 4, mlp_hidden: int | None = 3, top_k: int = 5) -> ModelParams:
-    shp = shapes(model_type, emb_dim, hidden_dim, claim_src_num, evidence_src_num,
-                 claim_src_dim, evidence_src_dim, mlp_hidden)
-    mats = {}
-    for m, name in enumerate(PARAM_ORDER):
-        r, c = shp[name]
-        mats[name] = formula_matrix(m, r, c)
+    shp = shapes(model_type, emb_dim, hidden_dim, claim_src_dim, evidence_src_dim, mlp_hidden)
+    mats = {n: formula_matrix(m, *shp[n]) for m, n in enumerate(PARAM_ORDER) if n in shp}
     mats["ln_gain"] = 1.0 + mats["ln_gain"]
     return ModelParams(model_type=model_type, emb_dim=emb_dim, hidden_dim=hidden_dim,
                        claim_src_dim=claim_src_dim, evidence_src_dim=evidence_src_dim,
                        mlp_hidden=shp["fc1_w"][1], top_k=top_k, mats=mats).check_size()
 
 
-def init_params(model_type: int, emb_dim: int, hidden_dim: int, claim_src_num: int,
-                evidence_src_num: int, claim_src_dim: int = 128, evidence_src_dim: int = 192,
+def init_params(model_type: int, emb_dim: int, hidden_dim: int, claim_src_dim: int = 128, evidence_src_dim: int = 192,
                 mlp_hidden: int | None = None, top_k: int = 5, seed: int = 42) -> ModelParams:
-    """Seeded random initialisation for training (uniform +-1/sqrt(fan_in))."""
-    shp = shapes(model_type, emb_dim, hidden_dim, claim_src_num, evidence_src_num,
-                 claim_src_dim, evidence_src_dim, mlp_hidden)
+    """Seeded random initialisation for training (uniform +-1/sqrt(fan_in)); the tables'
+    is ``source_tables.random_tables``."""
+    shp = shapes(model_type, emb_dim, hidden_dim, claim_src_dim, evidence_src_dim, mlp_hidden)
     rng = np.random.default_rng(seed)
     mats = {}
-    for name in PARAM_ORDER:
+    for name in (n for n in PARAM_ORDER if n in shp):
         r, c = shp[name]
-        if name in ("claim_src", "evidence_src"):
-            mats[name] = rng.standard_normal((r, c))
-        elif name == "ln_gain":
+        if name == "ln_gain":
             mats[name] = np.ones((r, c))
         elif name == "ln_bias":
             mats[name] = np.zeros((r, c))
         else:
-            fan_in = r if r > 1 else c
-            bound = 1.0 / np.sqrt(max(fan_in, 1))
+            bound = 1.0 / np.sqrt(max(r if r > 1 else c, 1))
             mats[name] = rng.uniform(-bound, bound, (r, c))
     return ModelParams(model_type=model_type, emb_dim=emb_dim, hidden_dim=hidden_dim,
                        claim_src_dim=claim_src_dim, evidence_src_dim=evidence_src_dim,

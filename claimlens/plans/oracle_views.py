@@ -7,7 +7,7 @@ oracle is one self-contained SQL string over the pre-registered tables.
 from __future__ import annotations
 
 from claimlens.fixtures import HISTORY_METRICS
-from claimlens.operators.params import PARAM_ORDER, shapes
+from claimlens.operators.params import PARAM_ORDER, SOURCE_PARAMS, shapes
 
 _METRIC_CASE = "CASE event_type " + " ".join(
     f"WHEN '{k}' THEN '{v}'" for k, v in HISTORY_METRICS.items()) + " END"
@@ -70,14 +70,21 @@ DEPS = {
 }
 
 
-def params_view(model_type: int = 3, emb_dim: int = 64, hidden_dim: int = 8,
-                claim_src_num: int = 8, evidence_src_num: int = 6, claim_src_dim: int = 4,
-                evidence_src_dim: int = 4, mlp_hidden: int = 3) -> str:
-    """F_params as rows (name, i, j, v), built with range() from the formula."""
-    shp = shapes(model_type, emb_dim, hidden_dim, claim_src_num, evidence_src_num,
-                 claim_src_dim, evidence_src_dim, mlp_hidden)
+def params_view(model_type: int = 3, emb_dim: int = 64, hidden_dim: int = 8, claim_src_dim: int = 4,
+                evidence_src_dim: int = 4, mlp_hidden: int = 3, top_k: int = 5,
+                sources: tuple[str, str] = ("f_token_sources", "f_evidence_meta")) -> str:
+    """F_params as rows (name, i, j, v), built with range() from the formula; the source tables have a
+    row for each source of the views ``sources`` (claims', evidences') and row 0."""
+    shp = shapes(model_type, emb_dim, hidden_dim, claim_src_dim, evidence_src_dim, mlp_hidden)
     parts = []
     for m, name in enumerate(PARAM_ORDER):
+        if name in SOURCE_PARAMS:
+            kind = name.removesuffix("_src")
+            view, dim = (sources[0], claim_src_dim) if kind == "claim" else (sources[1], evidence_src_dim)
+            rows = f"(SELECT unnest(range(n)) AS i, n FROM (SELECT count(DISTINCT {kind}_source) + 1 AS n FROM {view}))"
+            parts.append(f"SELECT '{name}' AS name, CAST(r.i AS INTEGER) AS i, CAST(c.j AS INTEGER) AS j, "
+                         f"sin(1 + 31 * r.i + 17 * c.j + {101 * m}) / sqrt(r.n) AS v FROM {rows} r, range(0, {dim}) c(j)")
+            continue
         r, c = shp[name]
         if r * c == 0:
             continue

@@ -11,20 +11,31 @@ from claimlens.operators import attention as AT
 from claimlens.operators import metrics as MX
 from claimlens.operators.losses import bce_terms, joint_loss, listnet_per_claim
 from claimlens.operators.params import formula_matrix
-from claimlens.operators.scoring import evidence_slots, score_claims
+from claimlens.operators.scoring import evidence_slots, score_claims, source_vocab
+from claimlens.operators.source_tables import formula_tables
 from claimlens.plans import scoring_sql as SS
 from claimlens.plans.oracle_views import with_views
-from claimlens.plans.registry import r6, register
+from claimlens.plans.registry import r6, register, scratch
 from claimlens.plans.scoring_sql import H, chain_sql
+from claimlens.session import cut_lineage
+from claimlens.sources import files as IO
 
 
 def params(spark, sf_dir):
     return FX.params_for(spark, sf_dir, 3)
 
 
-def scored(spark, sf_dir, keep_maps=False):
-    return score_claims(FX.tokens(spark, sf_dir), FX.token_sources(spark, sf_dir),
-                        FX.evidence_meta(spark, sf_dir), params(spark, sf_dir), keep_maps=keep_maps)
+def model(spark, sf_dir):
+    """(parameters, vocabularies, source tables); the tables are stored and read back, as a model's are, so Spark knows their sizes."""
+    p, path = params(spark, sf_dir), scratch(spark, "model")
+    IO.write_vocab(source_vocab(FX.token_sources(spark, sf_dir), FX.evidence_meta(spark, sf_dir)), path + "/vocab")
+    vocab = IO.read_vocab(spark, path + "/vocab")
+    formula_tables(vocab, p).write.parquet(path + "/tables")
+    return p, vocab, spark.read.parquet(path + "/tables")
+
+
+def scored(spark, sf_dir):
+    return score_claims(FX.tokens(spark, sf_dir), FX.token_sources(spark, sf_dir), FX.evidence_meta(spark, sf_dir), *model(spark, sf_dir))
 
 
 def _long(df, keys, col, idx="j", val="v"):
@@ -130,14 +141,14 @@ def q_co_attention(spark, sf_dir):
 @register("affinity", chain_sql(
     "SELECT claim_id, evi_pos, round(affinity, 6) AS affinity FROM aff", "aff"))
 def q_affinity(spark, sf_dir):
-    s = evidence_slots(FX.tokens(spark, sf_dir), params(spark, sf_dir))["slots"]
+    s = evidence_slots(FX.tokens(spark, sf_dir), params(spark, sf_dir))
     return s.select("claim_id", "evi_pos", r6("affinity").alias("affinity"))
 
 
 @register("topk_evidence", chain_sql(
     "SELECT claim_id, evi_pos, CAST(rank AS INTEGER) AS rank FROM topk", "topk"))
 def q_topk(spark, sf_dir):
-    s = evidence_slots(FX.tokens(spark, sf_dir), params(spark, sf_dir))["slots"]
+    s = evidence_slots(FX.tokens(spark, sf_dir), params(spark, sf_dir))
     return AT.topk_rows(s, "claim_id", "affinity", "evi_pos", 5).select("claim_id", "evi_pos", "rank")
 
 
@@ -162,7 +173,7 @@ def q_score(spark, sf_dir):
     return s.select("claim_id", r6("logit").alias("logit"), r6("prob").alias("prob"), "prediction")
 
 
-# ------------------------------------------------------------------ W5 / M10
+# ------------------------------------------------------------------ W5
 @register("attention_levels", chain_sql("""
 SELECT claim_id, evi_pos, tok_pos,
        CAST(floor(CASE WHEN hi = lo THEN 0.0 ELSE (alpha - lo) / (hi - lo) * 0.99 END * 6) AS INTEGER) AS level
@@ -175,33 +186,6 @@ def q_levels(spark, sf_dir):
     return lv.select("claim_id", "evi_pos", "tok_pos", "level")
 
 
-EXPLAIN_SQL = """
-SELECT claim_id, evi_pos, side, tok_pos, round(w, 6) AS weight,
-       CAST(floor(CASE WHEN hi = lo THEN 0.0 ELSE (w - lo) / (hi - lo) * 0.99 END * 6) AS INTEGER) AS level
-FROM (SELECT *, min(w) OVER (PARTITION BY claim_id, evi_pos, side) AS lo,
-             max(w) OVER (PARTITION BY claim_id, evi_pos, side) AS hi
-      FROM (SELECT claim_id, evi_pos, 'claim' AS side, tok_pos, beta AS w FROM cwn
-            WHERE tok_pos > 0 AND evi_pos < (SELECT n FROM n_ev WHERE n_ev.claim_id = cwn.claim_id)
-            UNION ALL
-            SELECT claim_id, evi_pos, 'evidence', tok_pos, alpha FROM ewn WHERE tok_pos > 0))"""
-
-
-@register("explain_attention", chain_sql(EXPLAIN_SQL, "chat"))
-def q_explain(spark, sf_dir):
-    """Per real evidence, claim-side and evidence-side weights per token,
-    first position cut (the encoder's special token), levels per text."""
-    es = evidence_slots(FX.tokens(spark, sf_dir), params(spark, sf_dir), keep_maps=True)
-    real = es["slots"].where(~F.col("padded"))
-    cl = real.select("claim_id", "evi_pos", F.lit("claim").alias("side"),
-                     F.explode(F.arrays_zip("ctok", "claim_map")).alias("z")) \
-        .select("claim_id", "evi_pos", "side", F.col("z.ctok").alias("tok_pos"), F.col("z.claim_map").alias("w"))
-    ev = es["evidence_map"].select("claim_id", "evi_pos", F.lit("evidence").alias("side"), "tok_pos",
-                                   F.col("weight").alias("w"))
-    both = cl.unionByName(ev).where(F.col("tok_pos") > 0)
-    lv = AT.attention_levels(both, ["claim_id", "evi_pos", "side"], "w", 6)
-    return lv.select("claim_id", "evi_pos", "side", "tok_pos", r6("w").alias("weight"), "level")
-
-
 HEADS = 2
 
 
@@ -316,9 +300,9 @@ def q_evaluate(spark, sf_dir):
     """Score a labelled split, threshold the probability, the whole report: counts,
     precision, recall and F1 per class, macro and micro F1, accuracy, AUC. The outcome
     histograms are ``logit_histogram``, the matrix is ``confusion_matrix``."""
-    s = scored(spark, sf_dir)["scores"].select(
-        F.lit(0).alias("g"), "label", "prob", (F.col("prob") > 0.5).cast("int").alias("prediction"))
-    rep = MX.prf_from_counts(MX.confusion_counts(s, ["g"])).join(MX.accuracy(s, ["g"]), "g") \
+    s = cut_lineage(scored(spark, sf_dir)["scores"].select(
+        F.lit(0).alias("g"), "label", "prob", (F.col("prob") > 0.5).cast("int").alias("prediction")))  # counted and sorted
+    rep = MX.prf_from_counts(MX.confusion_counts(s, ["g"])).withColumn("accuracy", (F.col("tp_0") + F.col("tp_1")) / F.col("n")) \
         .join(MX.roc_auc(s, ["g"], score="prob"), "g")
     cells = [f"{c}_{k}" for c in ("tp", "fp", "fn") for k in (0, 1)]
     rates = ["accuracy", "auc", "f1_macro", "f1_micro", *(f"{m}_{k}" for m in ("precision", "recall", "f1") for k in (0, 1))]

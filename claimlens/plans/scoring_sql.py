@@ -14,9 +14,7 @@ H = FIXTURE_DIMS["hidden_dim"]
 CSD = FIXTURE_DIMS["claim_src_dim"]
 ESD = FIXTURE_DIMS["evidence_src_dim"]
 K = FIXTURE_DIMS["top_k"]
-PARAMS = dict(model_type=3, emb_dim=FIXTURE_DIMS["emb_dim"], hidden_dim=H, claim_src_num=8,
-              evidence_src_num=6, claim_src_dim=CSD, evidence_src_dim=ESD,
-              mlp_hidden=FIXTURE_DIMS["mlp_hidden"])
+PARAMS = dict(FIXTURE_DIMS)
 
 CHAIN = [
     ("st", """SELECT claim_id, evi_pos, tok_pos, avg(x) AS mu, stddev_samp(x) AS sd

@@ -3,15 +3,18 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from claimlens import fixtures as FX
+from claimlens.functions.text import tokenize
 from claimlens.operators import vocab as VB
 from claimlens.operators.encode import encode_tokens
 from claimlens.operators.match import match_passages
 from claimlens.operators.params import fixture_params
-from claimlens.operators.predict import predict_requests
+from claimlens.operators.explain import explain_tokens
+from claimlens.operators.predict import predict_requests, request_tables
+from claimlens.operators.scoring import pair_slots, sides
+from claimlens.operators.source_tables import formula_tables
 from claimlens.plans.ingest import claim_examples
 from claimlens.plans import scoring_sql as SS
 from claimlens.plans.oracle_views import with_views
@@ -54,44 +57,23 @@ def q_encode(spark, sf_dir):
 
 
 def _params_sql() -> str:
-    """F_params with the source tables sized by the data's vocabularies."""
-    from claimlens.operators.params import PARAM_ORDER, shapes
-    shp = shapes(3, 64, 8, 1, 1, 4, 4, 3)
-    parts = []
-    for m, name in enumerate(PARAM_ORDER):
-        r, c = shp[name]
-        if name in ("claim_src", "evidence_src"):
-            col = "claim_source" if name == "claim_src" else "evidence_source"
-            rows = (f"(SELECT unnest(range(n)) AS i, n FROM "
-                    f"(SELECT count(DISTINCT {col}) + 1 AS n FROM f_rows))")
-            parts.append(f"SELECT '{name}' AS name, CAST(r.i AS INTEGER) AS i, CAST(c.j AS INTEGER) AS j, "
-                         f"sin(1 + 31 * r.i + 17 * c.j + {101 * m}) / sqrt(r.n) AS v "
-                         f"FROM {rows} r, range(0, {c}) c(j)")
-        else:
-            base = f"sin(1 + 31 * r.i + 17 * c.j + {101 * m}) / sqrt({r})"
-            val = f"1 + {base}" if name == "ln_gain" else base
-            parts.append(f"SELECT '{name}' AS name, CAST(r.i AS INTEGER) AS i, CAST(c.j AS INTEGER) AS j, "
-                         f"{val} AS v FROM range(0, {r}) r(i), range(0, {c}) c(j)")
     return with_views("""
 SELECT name, count(*) AS n_values, CAST(max(i) + 1 AS INTEGER) AS n_rows, CAST(max(j) + 1 AS INTEGER) AS n_cols,
        round(sum(v), 6) AS total
-FROM dparams GROUP BY name""", "f_rows", ctes=[("dparams", "\nUNION ALL\n".join(parts))])
+FROM f_params GROUP BY name""", "f_rows", params=dict(FX.FIXTURE_DIMS, sources=("f_rows", "f_rows")))
 
 
 @register("params_roundtrip", _params_sql())
 def q_params(spark, sf_dir):
     """A parameter table sized by the data (source vocabularies from the
     whole tables), written per (dataset, fold), read back, summarised."""
-    rows = FX.rows(spark, sf_dir)
-    n_c, n_e = rows.agg(F.countDistinct("claim_source"), F.countDistinct("evidence_source")).first()
-    p = fixture_params(model_type=3, emb_dim=64, hidden_dim=8, claim_src_num=n_c + 1,
-                       evidence_src_num=n_e + 1, claim_src_dim=4, evidence_src_dim=4, mlp_hidden=3)
+    p = FX.params_for(spark, sf_dir)
     path = scratch(spark, "params/fixture/fold=0")
-    IO.write_params(spark, p, path)
-    back = IO.read_params(spark, path)
-    out = [(n, int(m.size), int(m.shape[0]), int(m.shape[1]), float(m.sum())) for n, m in back.mats.items()]
-    df = spark.createDataFrame(out, "name string, n_values long, n_rows int, n_cols int, total double")
-    return df.select("name", "n_values", "n_rows", "n_cols", r6("total").alias("total"))
+    IO.write_params(p, formula_tables(VB.vocabularies(claim_examples(spark, sf_dir)), p), path)
+    rows = IO.read_param_rows(spark, path)
+    return rows.groupBy("name").agg(
+        F.sum(F.size("vec")).alias("n_values"), (F.max("i") + 1).cast("int").alias("n_rows"), F.max(F.size("vec")).alias("n_cols"),
+        r6(F.sum(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x))).alias("total"))
 
 
 def request_lines(spark, sf_dir):
@@ -130,16 +112,17 @@ def q_parse(spark, sf_dir):
         .unionByName(rejects.select("req_id", F.lit(False).alias("ok"), F.lit(None).cast("int").alias("n_evidence")))
 
 
-# Fixture serving model: 16-dim encoder; tables sized for the fixture's 7 claim
-# sites and 3 evidence roles (+1 for unseen).
-SERVE_PARAMS = dict(model_type=3, emb_dim=ENC_DIM, hidden_dim=8, claim_src_num=8, evidence_src_num=4,
-                    claim_src_dim=4, evidence_src_dim=4, mlp_hidden=3)
+# Fixture serving model: 16-dim encoder; source tables of the vocabularies' size (+1 for unseen).
+SERVE_PARAMS = dict(model_type=3, emb_dim=ENC_DIM, hidden_dim=8, claim_src_dim=4, evidence_src_dim=4, mlp_hidden=3)
 
 
 def serving_model(spark, sf_dir):
-    ex = claim_examples(spark, sf_dir)
-    vocab = VB.vocabularies(ex)
-    return fixture_params(**SERVE_PARAMS), vocab
+    """(parameters, vocabularies, source tables)"""
+    p, path = fixture_params(**SERVE_PARAMS), scratch(spark, "served")
+    IO.write_vocab(VB.vocabularies(claim_examples(spark, sf_dir)), path + "/vocab")
+    vocab = IO.read_vocab(spark, path + "/vocab")
+    IO.write_params(p, formula_tables(vocab, p), path + "/params")
+    return p, vocab, IO.read_params(spark, path + "/params")[1]
 
 
 TOK_SQL = r"""list_concat(['[cls]'], list_filter(regexp_split_to_array(lower({t}), '[^\p{{L}}\p{{N}}]+'),
@@ -186,13 +169,41 @@ FROM logits"""
         final = """
 SELECT md5(e.claim_text) AS claim_md5, round(g.logit, 6) AS logit, CAST(g.logit > 0 AS INTEGER) AS prediction
 FROM logits g JOIN ex e ON e.id_left = g.claim_id, range(CASE WHEN e.id_left % 7 = 0 THEN 2 ELSE 1 END) again"""
-    return with_views(final, "f_rows", params=SERVE_PARAMS, ctes=SERVE_CTES + chain)
+    return with_views(final, "f_rows", params=dict(SERVE_PARAMS, sources=("f_rows", "f_rows")), ctes=SERVE_CTES + chain)
+
+
+def _explain_sql():
+    side = "(SELECT claim_id, evi_pos, '{0}' AS side, tok_pos, {1} AS w FROM {2} WHERE tok_pos > 0)"
+    real = "(SELECT c.* FROM cwn c JOIN n_ev USING (claim_id) WHERE c.evi_pos < n_ev.n)"
+    level = "CAST(floor(CASE WHEN hi = lo THEN 0.0 ELSE (w - lo) / (hi - lo) * 0.99 END * {0}) AS INTEGER) AS level_{0}"
+    return with_views(f"""
+SELECT m.claim_id, m.evi_pos, side, m.tok_pos, t.token, round(w, 6) AS weight, {level.format(6)}, {level.format(8)}
+FROM (SELECT *, min(w) OVER k AS lo, max(w) OVER k AS hi
+      FROM ({side.format('claim', 'beta', real)} UNION ALL {side.format('evidence', 'alpha', 'ewn')})
+      WINDOW k AS (PARTITION BY claim_id, evi_pos, side)) m
+JOIN toks t ON t.claim_id = m.claim_id AND t.tok_pos = m.tok_pos AND t.evi_pos = CASE side WHEN 'claim' THEN -1 ELSE m.evi_pos END""",
+                      "f_rows", params=dict(SERVE_PARAMS, sources=("f_rows", "f_rows")),
+                      ctes=SERVE_CTES + [c for c in SS.CHAIN if c[0] not in ("vocab_c", "vocab_e")][:SS.ORDER.index("cwn") + 1])
+
+
+@register("explain_attention", _explain_sql())
+def q_explain(spark, sf_dir):
+    """Per real evidence of the requests, both sides' words with their weights and levels."""
+    good, _ = IO.parse_requests(request_lines(spark, sf_dir))
+    texts, _, _ = request_tables(good, dim=ENC_DIM)
+    p = fixture_params(**SERVE_PARAMS)
+    maps = pair_slots(*sides(texts, p), p, keep_maps=True)
+    said = good.select(F.col("req_id").alias("claim_id"), F.lit(-1).alias("evi_pos"), F.col("claim").alias("text")).unionByName(
+        good.select(F.col("req_id").alias("claim_id"), F.posexplode("evidences").alias("evi_pos", "e")).select(
+            "claim_id", "evi_pos", F.col("e.evidence").alias("text")))
+    words = said.select("claim_id", "evi_pos", tokenize(F.coalesce("text", F.lit(""))).alias("words"))
+    got = explain_tokens(maps, words)
+    return got.withColumn("weight", r6("weight"))
 
 
 @register("predict_requests", _predict_sql())
 def q_predict(spark, sf_dir):
-    p, vocab = serving_model(spark, sf_dir)
-    out = predict_requests(request_lines(spark, sf_dir), p, vocab, dim=ENC_DIM)
+    out = predict_requests(request_lines(spark, sf_dir), *serving_model(spark, sf_dir), dim=ENC_DIM)
     return out["predictions"].select("req_id", r6("logit").alias("logit"), "prediction")
 
 
@@ -200,13 +211,12 @@ def q_predict(spark, sf_dir):
 def q_stream(spark, sf_dir):
     """Streaming re-aim: request files scored micro-batch by micro-batch."""
     from claimlens.streaming.predict_stream import start_prediction_stream
-    p, vocab = serving_model(spark, sf_dir)
     src = scratch(spark, "requests")
     lines = request_lines(spark, sf_dir)
     again = lines.where(F.col("req_id") % 7 == 0)  # the same line twice: two equal answers
     lines.unionByName(again).select("value").write.mode("overwrite").text(src)
     out, ck = scratch(spark, "predictions"), scratch(spark, "stream-ckpt")
-    q = start_prediction_stream(spark, src, out, ck, p, vocab, dim=ENC_DIM)
+    q = start_prediction_stream(spark, src, out, ck, *serving_model(spark, sf_dir), dim=ENC_DIM)
     q.awaitTermination()
-    # request ids are line hashes in the stream; the claim digest is the stable key
-    return spark.read.parquet(out).select("claim_md5", r6("logit").alias("logit"), "prediction")
+    # a line has no id; the claim digest is the stable key
+    return spark.read.parquet(out).where("ok").select("claim_md5", r6("logit").alias("logit"), "prediction")

@@ -8,11 +8,12 @@ from claimlens import fixtures as FX
 from claimlens.operators import history as HS
 from claimlens.operators import training as TR
 from claimlens.operators.crossval import cross_validate
-from claimlens.operators.scoring import _lookup, evidence_slots, score_claims
+from claimlens.operators.scoring import evidence_slots, score_claims
+from claimlens.operators.source_tables import source_indices
 from claimlens.plans import scoring_sql as SS
 from claimlens.plans.oracle_views import with_views
 from claimlens.plans.registry import r6, register, scratch
-from claimlens.plans.scoring import LISTNET_CTE, LISTNET_SQL
+from claimlens.plans.scoring import LISTNET_CTE, LISTNET_SQL, model, scored
 from claimlens.session import cut_lineage
 
 
@@ -27,12 +28,13 @@ SPLIT_SQL = ("CASE ('0x' || substr(md5('split:8:' || CAST(claim_id AS VARCHAR)),
 
 
 def features(spark, sf_dir):
-    p = FX.params_for(spark, sf_dir, 3)
-    res = score_claims(FX.tokens(spark, sf_dir), FX.token_sources(spark, sf_dir),
-                       FX.evidence_meta(spark, sf_dir), p)
-    cl = _lookup(FX.token_sources(spark, sf_dir), res["vocab"], "claim", "claim_source", "claim_src_idx")
+    """(features of all claims with their split, parameters, source tables)"""
+    p, vocab, tables = model(spark, sf_dir)
+    claims = FX.token_sources(spark, sf_dir)
+    res = score_claims(FX.tokens(spark, sf_dir), claims, FX.evidence_meta(spark, sf_dir), p, vocab, tables)
+    cl = source_indices(claims, vocab, "claim", "claim_source", "claim_src_idx")
     feats = TR.claim_features(res["slots"], cl.select("claim_id", "label", "claim_src_idx"))
-    return feats.withColumn("split", split_col()).withColumn("fold", (F.col("claim_id") % 5).cast("int")), p
+    return feats.withColumn("split", split_col()), p, tables
 
 
 EPOCH_CTES = [
@@ -67,16 +69,91 @@ LEFT JOIN (SELECT split, round(auc, 6) AS auc FROM aucs) USING (split)""",
                                       ctes=SS.CHAIN + EPOCH_CTES))
 def q_epoch_metrics(spark, sf_dir):
     """T5: the whole metric set of each split; the scores are computed once."""
-    feats, p = features(spark, sf_dir)
-    sc = cut_lineage(TR.head_scores(feats, p, keep=["split"]))
+    feats, p, tables = features(spark, sf_dir)
+    sc = cut_lineage(TR.head_scores(feats, p, tables, keep=["split"]))
     return TR.epoch_metrics(sc, "split").select("split", "n", *[r6(c).alias(c) for c in EPOCH_METRICS])
 
 
-@register("train_head")
+LR, DECAY, ALPHA = 1.5e-2, 1e-3, 0.01
+_H, _CSD, _K = SS.H, SS.CSD, SS.K
+
+
+def _forward(s: str, p: str) -> list[tuple[str, str]]:
+    """The head's forward pass over the train claims' slots under the parameters ``p``."""
+    return [
+        (f"aff{s}", f"""SELECT claim_id, evi_pos, bool_or(pad) AS pad, CASE WHEN bool_or(pad) THEN -1.0
+                          ELSE tanh(sum(c * w1.v + e * w2.v + c * e * w3.v)) END AS a
+                        FROM tr_slots JOIN {p} w1 ON w1.name = 'affinity_w' AND w1.i = tr_slots.j
+                        JOIN {p} w2 ON w2.name = 'affinity_w' AND w2.i = tr_slots.j + {_H}
+                        JOIN {p} w3 ON w3.name = 'affinity_w' AND w3.i = tr_slots.j + {2 * _H} GROUP BY claim_id, evi_pos"""),
+        (f"top{s}", f"""SELECT claim_id, evi_pos, exp(a) / sum(exp(a)) OVER (PARTITION BY claim_id) AS w FROM (
+                          SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY a DESC, evi_pos) AS r FROM aff{s}) WHERE r <= {_K}"""),
+        # every component of a slot's features: what weighs into the document vector
+        (f"feat{s}", f"""SELECT claim_id, evi_pos, w, j AS fi, c AS x FROM top{s} JOIN tr_slots USING (claim_id, evi_pos)
+                         UNION ALL SELECT t.claim_id, t.evi_pos, t.w, {_H} + q.j, q.v FROM top{s} t JOIN tr_claims c USING (claim_id)
+                         JOIN {p} q ON q.name = 'claim_src' AND q.i = c.cidx
+                         UNION ALL SELECT claim_id, evi_pos, w, {_H + _CSD} + j, e FROM top{s} JOIN tr_slots USING (claim_id, evi_pos)
+                         UNION ALL SELECT t.claim_id, t.evi_pos, t.w, {2 * _H + _CSD} + q.j, q.v FROM top{s} t
+                         JOIN tr_meta m USING (claim_id, evi_pos) JOIN {p} q ON q.name = 'evidence_src' AND q.i = m.sidx"""),
+        (f"doc{s}", f"SELECT claim_id, fi, sum(w * x) AS v FROM feat{s} GROUP BY claim_id, fi"),
+        (f"hid{s}", f"""SELECT h.claim_id, h.m, h.s + b.v AS v FROM (
+                          SELECT d.claim_id, w.j AS m, sum(d.v * w.v) AS s FROM doc{s} d JOIN {p} w ON w.name = 'fc1_w' AND w.i = d.fi
+                          GROUP BY d.claim_id, w.j) h JOIN {p} b ON b.name = 'fc1_b' AND b.j = h.m"""),
+        (f"z{s}", f"""SELECT h.claim_id, sum(h.v * w.v) + any_value(b.v) AS z FROM hid{s} h JOIN {p} w ON w.name = 'fc3_w' AND w.i = h.m
+                      JOIN {p} b ON b.name = 'fc3_b' GROUP BY h.claim_id"""),
+        (f"dist{s}", f"""SELECT claim_id, evi_pos, pad, a, exp(a) / sum(exp(a)) OVER (PARTITION BY claim_id) AS sm,
+                                exp(t) / sum(exp(t)) OVER (PARTITION BY claim_id) AS st FROM aff{s} JOIN tr_meta USING (claim_id, evi_pos)"""),
+        (f"loss{s}", f"""SELECT avg(bce) AS bce, avg(rank) AS rank FROM (
+                           SELECT z.claim_id, greatest(z, 0) - z * y + ln(1 + exp(-abs(z))) AS bce, rank FROM z{s} z JOIN tr_claims USING (claim_id)
+                           JOIN (SELECT claim_id, -sum(st * ln(sm)) AS rank FROM dist{s} GROUP BY claim_id) USING (claim_id))"""),
+    ]
+
+
+TRAIN_CTES = [
+    ("tr_slots", f"""SELECT c.claim_id, c.evi_pos, c.j, c.v AS c, e.v AS e, c.evi_pos >= n AS pad
+                     FROM chat c JOIN ehat_all e USING (claim_id, evi_pos, j) JOIN n_ev USING (claim_id) WHERE {SPLIT_SQL} = 'train'"""),
+    ("tr_meta", """SELECT s.claim_id, s.evi_pos, coalesce(m.correlation, -1.0) AS t, coalesce(v.idx, 0) AS sidx
+                   FROM (SELECT DISTINCT claim_id, evi_pos FROM tr_slots) s LEFT JOIN f_evidence_meta m USING (claim_id, evi_pos)
+                   LEFT JOIN vocab_e v ON v.value = m.evidence_source"""),
+    ("tr_claims", """SELECT claim_id, CAST(label AS DOUBLE) AS y, idx AS cidx, count(*) OVER () AS n FROM f_token_sources JOIN cidx USING (claim_id)
+                     WHERE claim_id IN (SELECT claim_id FROM tr_slots)"""),
+    *_forward("0", "f_params"),
+    ("gz", "SELECT claim_id, (1 / (1 + exp(-z)) - y) / n AS g, n FROM z0 JOIN tr_claims USING (claim_id)"),
+    ("dhid", "SELECT claim_id, w.i AS m, g * w.v AS g FROM gz JOIN f_params w ON w.name = 'fc3_w'"),
+    ("ddoc", "SELECT claim_id, w.i AS fi, sum(w.v * d.g) AS g FROM dhid d JOIN f_params w ON w.name = 'fc1_w' AND w.j = d.m GROUP BY claim_id, w.i"),
+    ("dwt", "SELECT claim_id, evi_pos, any_value(w) AS w, sum(x * g) AS g FROM feat0 JOIN ddoc USING (claim_id, fi) GROUP BY claim_id, evi_pos"),
+    ("dtop", "SELECT claim_id, evi_pos, w * (g - sum(w * g) OVER (PARTITION BY claim_id)) AS g FROM dwt"),
+    ("dpre", f"""SELECT d.claim_id, d.evi_pos, (coalesce(t.g, 0) + {ALPHA} / n * (sm - st)) * (1 - a * a) AS g
+                 FROM dist0 d JOIN tr_claims USING (claim_id) LEFT JOIN dtop t USING (claim_id, evi_pos) WHERE NOT pad"""),
+    ("grads", f"""SELECT 'fc3_w' AS name, m AS i, 0 AS j, sum(v * g) AS g FROM hid0 JOIN gz USING (claim_id) GROUP BY m
+                  UNION ALL SELECT 'fc3_b', 0, 0, sum(g) FROM gz
+                  UNION ALL SELECT 'fc1_w', fi, m, sum(v * g) FROM doc0 JOIN dhid USING (claim_id) GROUP BY fi, m
+                  UNION ALL SELECT 'fc1_b', 0, m, sum(g) FROM dhid GROUP BY m
+                  UNION ALL SELECT 'affinity_w', k * {_H} + j, 0, sum(g * CASE k WHEN 0 THEN c WHEN 1 THEN e ELSE c * e END)
+                    FROM dpre JOIN tr_slots USING (claim_id, evi_pos), range(3) r(k) GROUP BY k, j
+                  UNION ALL SELECT 'claim_src', cidx, fi - {_H}, sum(g) FROM ddoc JOIN tr_claims USING (claim_id)
+                    WHERE fi BETWEEN {_H} AND {_H + _CSD - 1} GROUP BY cidx, fi
+                  UNION ALL SELECT 'evidence_src', sidx, fi - {2 * _H + _CSD}, sum(w * g) FROM top0 JOIN tr_meta USING (claim_id, evi_pos)
+                    JOIN ddoc USING (claim_id) WHERE fi >= {2 * _H + _CSD} GROUP BY sidx, fi"""),
+    # Adam's first step: both corrected moments are the gradient's (with the decay)
+    ("params1", f"""SELECT name, i, j, v - {LR} * g / (abs(g) + 1e-8) AS v FROM (
+                      SELECT p.name, p.i, p.j, p.v, coalesce(g.g, 0) + CASE WHEN p.name IN ('fc1_b', 'fc3_b') THEN 0 ELSE {DECAY} * p.v END AS g
+                      FROM f_params p LEFT JOIN grads g ON g.name = p.name AND g.i = p.i AND g.j = p.j
+                      WHERE p.name IN ('affinity_w', 'claim_src', 'evidence_src', 'fc1_w', 'fc1_b', 'fc3_w', 'fc3_b'))"""),
+    *_forward("1", "params1"),
+]
+
+
+@register("train_head", with_views("""
+SELECT CAST(epoch AS INTEGER) AS epoch, 0.01 * rank + bce AS loss, bce AS classify_loss, 0.01 * rank AS rank_loss
+FROM (SELECT 0 AS epoch, * FROM loss0 UNION ALL SELECT 1, * FROM loss1)""",
+                                   "f_tokens", "f_tok_dims", "f_token_sources", "f_evidence_meta", params=SS.PARAMS,
+                                   ctes=SS.CHAIN + TRAIN_CTES))
 def q_train(spark, sf_dir):
-    """Two epochs of Adam on the train split; per-epoch losses."""
-    feats, p = features(spark, sf_dir)
-    trained, hist = TR.train_head(feats.where(F.col("split") == "train"), p, epochs=2, lr=1.5e-2)
+    """Two epochs of Adam on the train split; per-epoch losses. The second is that of the
+    parameters after a step, whose gradients the SQL works out, too."""
+    feats, p, tables = features(spark, sf_dir)
+    _, _, hist = TR.train_head(feats.where(F.col("split") == "train"), p, tables, epochs=2, lr=LR, weight_decay=DECAY, alpha=ALPHA)
     return spark.createDataFrame([(int(h["epoch"]), float(h["loss"]), float(h["classify_loss"]),
                                    float(h["rank_loss"])) for h in hist],
                                  "epoch int, loss double, classify_loss double, rank_loss double")
@@ -87,14 +164,11 @@ def q_train_lr(spark, sf_dir):
     """Logistic-regression baseline on the document vectors, class-weighted."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
-    p = FX.params_for(spark, sf_dir, 3)
-    res = score_claims(FX.tokens(spark, sf_dir), FX.token_sources(spark, sf_dir),
-                       FX.evidence_meta(spark, sf_dir), p)
-    data = res["head"].join(FX.token_sources(spark, sf_dir), "claim_id").select(
-        "claim_id", array_to_vector("doc").alias("features"), F.col("label").cast("double").alias("label"))
+    data = cut_lineage(scored(spark, sf_dir)["head"].join(FX.token_sources(spark, sf_dir), "claim_id").select(
+        "claim_id", array_to_vector("doc").alias("features"), F.col("label").cast("double").alias("label")))  # read by every iteration
     share = data.groupBy("label").agg(F.count(F.lit(1)).alias("c"))
     total = data.count()
-    data = data.join(share, "label").withColumn("w", F.lit(float(total)) / (2.0 * F.col("c")))
+    data = cut_lineage(data.join(share, "label").withColumn("w", F.lit(float(total)) / (2.0 * F.col("c"))))
     model = LogisticRegression(regParam=0.01, weightCol="w").fit(data)
     return model.transform(data).select("claim_id", "label", F.col("prediction").cast("int").alias("prediction"))
 
@@ -109,7 +183,7 @@ def q_cv(spark, sf_dir):
     per-epoch records for train/valid/test, then the fold average (A13)."""
     p = FX.params_for(spark, sf_dir, 3)
     evidence = FX.evidence_meta(spark, sf_dir)
-    slots = evidence_slots(FX.tokens(spark, sf_dir), p)["slots"] \
+    slots = evidence_slots(FX.tokens(spark, sf_dir), p) \
         .join(evidence.select("claim_id", "evi_pos", "correlation"), ["claim_id", "evi_pos"], "left") \
         .withColumn("correlation", F.coalesce("correlation", F.lit(-1.0)))
     hist = cross_validate(slots, fold_claims(spark, sf_dir), evidence, p, folds=5, epochs=2, lr=1.5e-2,

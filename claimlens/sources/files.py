@@ -7,8 +7,11 @@ parquet between stages; JSON lines and TSV only at the edges.
 
 from __future__ import annotations
 
+import csv
 import json
 import re
+from concurrent.futures import ThreadPoolExecutor
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,6 +92,7 @@ def read_evidence_tsv(spark: SparkSession, paths: list[str] | str,
                       with_order: bool = False, multi_line: bool = True) -> DataFrame:
     """Tab-separated evidence rows, bound by the names in each file's header.
 
+    Paths are files or folders; each file's own header counts, in a folder, too.
     Columns may come in any order and among others; one that is missing is an
     error. Cells are read as text, NA tokens become null (S3), then cells are
     cast to ``schema``; what can't be cast becomes null and is listed by
@@ -98,7 +102,7 @@ def read_evidence_tsv(spark: SparkSession, paths: list[str] | str,
     breaks inside quotes.
 
     ``with_order`` adds ``file_order``, a sortable struct that keeps the file
-    order pandas would keep: (picked-path index, split offset, row in split).
+    order pandas would keep: (picked-path index, file in a folder, split offset, row in split).
     Spark packs splits by size, so the plain row id alone is not file order.
     """
     raw = na_normalise(_read_by_name(spark, paths, [f.name for f in schema.fields], with_order, multi_line))
@@ -118,27 +122,90 @@ def bad_cells(spark: SparkSession, paths: list[str] | str, schema: T.StructType
     return raw.select(F.inline(cells)).groupBy("column", "cell").agg(F.count(F.lit(1)).alias("n"))
 
 
+class DataFile(NamedTuple):
+    """A file below the ``place``-th path, the ``part``-th there by name, and its header's cells."""
+    place: int
+    part: int
+    path: str
+    header: tuple[str, ...]
+
+
+def data_files(spark: SparkSession, paths: list[str]) -> list[DataFile]:
+    """The files below ``paths`` that Spark would read, with their headers.
+
+    The listing and a file's first line are all that is read, through the Hadoop file system from the
+    driver, some files at a time; no Spark job."""
+    found = []
+    for place, path in enumerate(paths):
+        fs, p = _fs(spark, path)
+        if not fs.exists(p):
+            raise FileNotFoundError(path)
+        each, names = fs.listFiles(p, True), []
+        root = fs.makeQualified(p).toUri().getPath().rstrip("/")
+        while each.hasNext():
+            st = each.next()
+            uri = st.getPath().toUri()
+            inside = [x for x in uri.getPath()[len(root):].split("/") if x]
+            if st.getLen() and not any(x[0] in "._" and "=" not in x for x in inside):
+                names.append(uri.toString())
+        found += [(place, part, name) for part, name in enumerate(sorted(names))]
+    with ThreadPoolExecutor(16) as pool:
+        headers = list(pool.map(lambda f: _header(spark, f[2]), found))
+    return [DataFile(*f, h) for f, h in zip(found, headers)]
+
+
+def _header(spark: SparkSession, uri: str) -> tuple[str, ...]:
+    """The cells of the first line that isn't empty."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+    raw = path.getFileSystem(conf).open(path)
+    lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(raw if codec is None else codec.createInputStream(raw), "UTF-8"))
+    try:
+        line = lines.readLine()
+        while line is not None and not line.strip():
+            line = lines.readLine()
+    finally:
+        lines.close()
+    return tuple(next(csv.reader([line.lstrip("\ufeff")], delimiter="\t"))) if line is not None else ()
+
+
 def _read_by_name(spark: SparkSession, paths: list[str] | str, names: list[str], with_order: bool,
                   multi_line: bool) -> DataFrame:
     paths = [paths] if isinstance(paths, str) else list(paths)
     options = {**TSV_OPTIONS, "multiLine": str(multi_line).lower()}
-    alike: dict[tuple, list[str]] = {}
-    for p in paths:  # only the header line is read
-        alike.setdefault(tuple(spark.read.options(**options).csv(p).columns), []).append(p)
-    place = F.create_map(*[x for i, p in enumerate(paths) for x in (F.lit(p.rstrip("/").rsplit("/", 1)[-1]), F.lit(i))])
-    parent = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    idx = F.coalesce(place[F.col("_metadata.file_name")], place[parent], F.lit(len(paths)))
-    order = F.struct(idx.alias("file"), F.col("_metadata.file_block_start").alias("block"),
-                     F.monotonically_increasing_id().alias("row")).alias("file_order")
-    out = None
+    files = [f for f in data_files(spark, paths) if f.header]
+    alike: dict[tuple, list[DataFile]] = {}
+    for f in files:
+        alike.setdefault(f.header, []).append(f)
+    meta = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_row")] if with_order else []
+    out = spark.createDataFrame([], ", ".join([*(f"`{c}` string" for c in names), *(["_path string, _block long, _row long"] if with_order else [])]))
     for header, same in alike.items():
-        if missing := [c for c in names if c not in header]:
-            raise ValueError(f"{same[0]}: no column {', '.join(missing)} in {', '.join(header)}")
-        text = T.StructType([T.StructField(c, T.StringType()) for c in header])
-        part = spark.read.schema(text).options(**options).csv(same).select(
-            *[F.col(f"`{c}`").alias(c) for c in names], *([order] if with_order else []))
-        out = part if out is None else out.unionByName(part)
-    return out
+        if missing := [c for c in names if header.count(c) != 1]:
+            raise ValueError(f"{same[0].path}: no column, or several, of the name {', '.join(missing)} in {', '.join(header)}")
+        # Cells are bound by place, so only the names that are asked for need to be the header's.
+        text = T.StructType([T.StructField(c if c in names else f"_c{i}", T.StringType()) for i, c in enumerate(header)])
+        part = spark.read.schema(text).options(**options).csv([_plain(spark, f.path) for f in same])
+        out = out.unionByName(part.select(*[F.col(f"`{c}`").alias(c) for c in names], *meta))
+    if not with_order:
+        return out
+    # A row a file: joined by the whole path, as files of one name may lie in several folders.
+    places = spark.createDataFrame([(_slashes(f.path), f.place, f.part) for f in files], "_at string, _place int, _part int")
+    order = F.struct(F.col("_place").alias("file"), F.col("_part").alias("part"), F.col("_block").alias("block"), F.col("_row").alias("row"))
+    at = F.regexp_replace("_path", "^([A-Za-z0-9+.-]+):/+", "$1:/")
+    return out.join(places, at == F.col("_at")).select(*names, order.alias("file_order"))
+
+
+def _plain(spark: SparkSession, uri: str) -> str:
+    """A file's name as Spark's reader takes it: not percent-encoded, glob characters as they are."""
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jvm.java.net.URI(uri)).toString()
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", name)
+
+
+def _slashes(uri: str) -> str:
+    return re.sub("^([A-Za-z0-9+.-]+):/+", r"\1:/", uri)
 
 
 def scan_files(spark: SparkSession, data_dir: str, pattern: str, **kw) -> DataFrame:
@@ -231,34 +298,53 @@ def read_vocab(spark: SparkSession, path: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- S8
-def write_params(spark: SparkSession, params, path: str) -> None:
-    """Parameter table: one row per matrix (name, shape, values) + model meta."""
-    rows = [(n, list(m.shape), [float(x) for x in m.ravel()]) for n, m in params.mats.items()]
-    schema = "name string, shape array<int>, values array<double>"
-    df = spark.createDataFrame(rows, schema).withColumn("meta", F.lit(json.dumps(params.meta())))
-    df.coalesce(1).write.mode("overwrite").parquet(path)
+def write_params(params, tables: DataFrame, path: str) -> None:
+    """Parameter table (name, i, vec): a row for each row of a matrix or of a source table, by name; the
+    tables' rows come from Spark, the matrices (model-sized) from the driver. Also the model's meta data."""
+    from claimlens.operators.source_tables import KINDS
+    spark = tables.sparkSession
+    dense = spark.createDataFrame([(n, i, [float(x) for x in row]) for n, m in params.mats.items() for i, row in enumerate(m)],
+                                  "name string, i int, vec array<double>")
+    names = F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv))
+    rows = dense.unionByName(tables.select(names[F.col("kind")].alias("name"), F.col("idx").cast("int").alias("i"), "vec"))
+    rows.write.mode("overwrite").partitionBy("name").parquet(f"{path}/rows")
+    spark.createDataFrame([(json.dumps(params.meta()),)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def read_param_rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/rows").select("name", "i", "vec")
 
 
 def read_params(spark: SparkSession, path: str):
+    """The matrices, and the source tables as (kind, idx, vec)."""
     import numpy as np
 
     from claimlens.operators.params import ModelParams
-    rows = spark.read.parquet(path).collect()  # model-sized: a few matrices
-    meta = json.loads(rows[0]["meta"])
-    mats = {r["name"]: np.array(r["values"], dtype=np.float64).reshape(r["shape"]) for r in rows}
-    return ModelParams(mats=mats, **meta).check_size()
+    from claimlens.operators.source_tables import KINDS
+    rows, mats = read_param_rows(spark, path), {}
+    for r in rows.filter(~F.col("name").isin(list(KINDS.values()))).orderBy("name", "i").collect():  # model-sized
+        mats.setdefault(r["name"], []).append(r["vec"])
+    meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
+    kinds = F.create_map(*(F.lit(x) for k, n in KINDS.items() for x in (n, k)))
+    tables = rows.filter(F.col("name").isin(list(KINDS.values()))).select(kinds[F.col("name")].alias("kind"), F.col("i").alias("idx"), "vec")
+    return ModelParams(mats={n: np.array(m, dtype=np.float64) for n, m in mats.items()}, **meta).check_size(), tables
 
 
 # ---------------------------------------------------------------- S9
-def parse_requests(df: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
+def parse_requests(df: DataFrame, col: str = "value", keep_bad: bool = False):
     """JSON request strings -> (good requests, rejects). Bad JSON is reported,
-    never scored; a request needs a claim and an evidence list."""
+    never scored; a request needs a claim and an evidence list.
+
+    With ``keep_bad`` one table, with a column ``ok``."""
     schema = T.StructType(REQUEST_SCHEMA.fields + [T.StructField("_bad", T.StringType())])
     parsed = df.withColumn("_req", F.from_json(col, schema, {
         "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     bad = (F.col("_req").isNull() | F.col("_req._bad").isNotNull()
            | F.col("_req.claim").isNull() | F.col("_req.evidences").isNull())
     keep = [c for c in df.columns if c != col]
+    if keep_bad:
+        ok = F.coalesce(~bad, F.lit(False)).alias("ok")
+        return parsed.select(*keep, ok, "_req.claim", "_req.claim_source", "_req.evidences", "_req.cred_label")
     good = parsed.where(~bad).select(*keep, "_req.claim", "_req.claim_source",
                                      "_req.evidences", "_req.cred_label")
     rejects = parsed.where(bad).select(*keep, F.col(col).alias("raw"))

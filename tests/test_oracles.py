@@ -10,7 +10,6 @@ from conftest import SF_SMALL
 from oracle_harness import compare, duck
 
 KEYS = sorted(E.queries())
-SLOW = {"cross_validate", "train_head", "train_lr_head", "stream_predict", "layer_norm_expr"}
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +17,7 @@ def con():
     return duck(SF_SMALL)
 
 
-@pytest.mark.parametrize("key", [k for k in KEYS if k not in SLOW])
+@pytest.mark.parametrize("key", KEYS)
 def test_query_matches_oracle(spark, con, key):
     res = compare(spark, con, key, E.queries()[key], E.oracle_sql().get(key), SF_SMALL)
     assert res["status"] in ("ok", "rows-only"), res

@@ -192,6 +192,27 @@ def test_tsv_columns_are_bound_by_name(spark, tmp_path):
         IO.read_evidence_tsv(spark, str(tmp_path / "c.tsv"))
 
 
+def test_each_file_of_a_folder_has_its_own_header(spark, tmp_path):
+    names = IO.EVIDENCE_COLUMNS
+    rows = {}
+    for folder in ("one [x]", "two"):
+        for k, lead in enumerate(([], ["line"])):
+            cells = [str(k), f"{folder}{k}", "True", "a\nclaim", "s", "e", "x"]
+            cols = lead + names[::-1 if k else 1]
+            line = ["0"] * len(lead) + ['"a\nclaim"' if c == "a\nclaim" else c for c in (cells[::-1] if k else cells)]
+            path = tmp_path / folder / ("deep" if k else "") / f"part-{k}.tsv"
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_text("\n" * k + "\t".join(cols) + "\n" + "\t".join(line) + "\n")
+            rows[f"{folder}{k}"] = (k, f"{folder}{k}", "True", "a\nclaim", "s", "e", "x")
+        (tmp_path / folder / "_SUCCESS").write_text("no data")
+        (tmp_path / folder / "empty.tsv").write_text("")
+    paths = [str(tmp_path / "two"), str(tmp_path / "one [x]")]
+    got = IO.read_evidence_tsv(spark, paths, with_order=True).orderBy("file_order").collect()
+    assert {r.id_right: tuple(r)[:7] for r in got} == rows
+    assert [r.id_right for r in got] == ["two1", "two0", "one [x]1", "one [x]0"]  # deep/part-1 sorts before part-0
+    assert [r.file_order.file for r in got] == [0, 0, 1, 1]
+
+
 def test_ranked_evidence_is_written_as_it_is_read(spark, tmp_path):
     lists = spark.createDataFrame([("1", [('a "quoted" \\ line\nbreak', 0.5), ("b", 2.0)]), ("x2", [])],
                                   "id string, evidences array<struct<snippet:string, score:double>>")
@@ -207,7 +228,7 @@ def test_repeated_requests(spark):
     from claimlens.operators.predict import predict_requests
     df = spark.createDataFrame([(1, "{}"), (1, "[]")], "req_id long, value string")
     with pytest.raises(ValueError):
-        predict_requests(df, None, None)
+        predict_requests(df, None, None, None)
 
 
 def test_offsets_for_many_partitions_plan_fast(spark):
