@@ -14,7 +14,10 @@ different weights only. All rows stay: when a source has run out, its slots stay
 empty and the others keep their order and ratios.
 
 A row's place inside its source comes from the md5 of its id, counted in small
-hash ranges, so a source with a third of all rows is never sorted in one task.
+hash ranges, so a source with a third of all rows is never sorted in one task. Rows
+without id, which all have the same md5, are dealt to parts of their range by
+their place in the input (any order among them gives the same result). Rows that share an
+id do share a range.
 
 Cases: a null source is a source of its own; null ids are placed like the empty
 string; repeated rows get places of their own; empty input gives an empty
@@ -29,28 +32,26 @@ from pyspark.sql import functions as F
 from claimlens.llm.common import Stages, let
 
 BLOCK_ROWS = 64
-#: Slots that a period has, about (each source gets at least one) ...
-RESOLUTION = 1000
-#: ... or so many a source if there are many.
-SOURCE_UNITS = 50
+#: Slots of a period, about (each source gets at least one): the larger of RESOLUTION and SOURCE_UNITS a source.
+RESOLUTION, SOURCE_UNITS = 1000, 50
+#: Parts that the rows without id of a hash range are dealt to.
+NULL_PARTS = 4096
 #: Rows in a hash range of a source.
 RANGE_ROWS = 1024
 
 
 def weights(counts: DataFrame, resolution: int = RESOLUTION) -> DataFrame:
     """(source, n_rows, units): target weights as the square root of the rows, so that large
-    sources don't drown small ones, in whole units of 1 / ``resolution``, rounded down. With so many
-    sources that ``SOURCE_UNITS`` a source are more than RESOLUTION, there are as many units
-    and they are dealt by largest remainder. Each source gets at least one."""
+    sources don't drown small ones, in ``resolution`` units, or SOURCE_UNITS a source if those are
+    more, dealt by largest remainder (ties: the source that sorts first). Each source gets at least one."""
     root = F.floor(F.sqrt(F.col("n_rows") * 1_000_000)).cast("long")
     # A row a source: windows over all of them are as small as their number.
     total = Window.partitionBy()
-    many = F.count("*").over(total) * SOURCE_UNITS
     shares = counts.withColumn("root", root).withColumn("all_roots", F.sum("root").over(total)).withColumn(
-        "res", F.when(many > RESOLUTION, F.greatest(many, F.lit(resolution))).otherwise(resolution).cast("long"))
+        "res", F.greatest(F.lit(resolution), F.count("*").over(total) * SOURCE_UNITS).cast("long"))
     whole = shares.withColumn("least", F.expr("res * root div all_roots")).withColumn("rest", F.expr("res * root % all_roots"))
-    place = F.row_number().over(total.orderBy(F.desc("rest"), "source"))
-    left = F.when(F.col("res") > resolution, F.col("res") - F.sum("least").over(total)).otherwise(0)
+    place = F.row_number().over(total.orderBy(F.desc("rest"), F.col("source").asc_nulls_first()))
+    left = F.col("res") - F.sum("least").over(total)
     return whole.withColumn("more", F.when(place <= left, 1).otherwise(0)).select(
         "source", "n_rows", F.greatest(F.lit(1).cast("long"), F.col("least") + F.col("more")).cast("long").alias("units"))
 
@@ -120,14 +121,20 @@ def _place(rows: DataFrame, units: DataFrame, stages: Stages, block_rows: int) -
     shares = units.select(F.col("source").alias("_s"), "units", "n_rows")  # a row a source: Spark broadcasts it if it is small
     placed = rows.join(shares, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("key", key).withColumn(
         "range", F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), ranges))
-    sizes = placed.groupBy("source", "range").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = stages.write(sizes.select("source", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")),
+    # Before, among and after the rows without id, whose md5 is that of the empty string.
+    none = F.md5(F.lit(""))
+    part = F.when(F.col("id").isNull(), 1 + F.pmod(F.monotonically_increasing_id(), F.lit(NULL_PARTS))).when(F.col("key") < none, 0) \
+        .otherwise(NULL_PARTS + 1).cast("long")
+    placed = placed.withColumn("part", part)
+    sizes = placed.groupBy("source", "range", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("source").orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stages.write(sizes.select("source", "range", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")),
                           "starts")
-    inside = Window.partitionBy("source", "range").orderBy("key", "id")
+    inside = Window.partitionBy("source", "range", "part").orderBy("key", "id")
     placed = placed.withColumn("place", F.row_number().over(inside) - 1)
-    starts = starts.select(F.col("source").alias("_s"), F.col("range").alias("_r"), "start")
-    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("range") == F.col("_r")))
+    starts = starts.select(F.col("source").alias("_s"), F.col("range").alias("_r"), F.col("part").alias("_p"), "start")
+    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("range") == F.col("_r"))
+                         & (F.col("part") == F.col("_p"))).drop("_s", "_r", "_p")
     placed = placed.withColumn("at", F.col("start") + F.col("place")).withColumn("block", F.expr(f"at div {block_rows}")) \
         .withColumn("within", F.expr(f"at % {block_rows}"))
     plan = stages.write(schedule(units), "plan", 1).withColumnsRenamed({"source": "_s2", "slot": "_slot"})

@@ -52,8 +52,11 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
 MIXING = """
 WITH RECURSIVE counts AS (SELECT source, count(*) AS n_rows FROM documents GROUP BY source),
 roots AS (SELECT source, n_rows, floor(sqrt(n_rows * 1000000))::BIGINT AS root FROM counts),
-units AS (SELECT source, n_rows, greatest(1, 1000 * root // (SELECT sum(root)::BIGINT FROM roots))::BIGINT AS a,
-                 row_number() OVER (ORDER BY source NULLS FIRST) AS i FROM roots),
+shares AS (SELECT *, sum(root) OVER ()::BIGINT AS roots, greatest(1000, 50 * count(*) OVER ())::BIGINT AS res FROM roots),
+dealt AS (SELECT *, row_number() OVER (ORDER BY res * root % roots DESC, source NULLS FIRST) AS nth,
+                 res - sum(res * root // roots) OVER ()::BIGINT AS spare FROM shares),
+units AS (SELECT source, n_rows, greatest(1, res * root // roots + CASE WHEN nth <= spare THEN 1 ELSE 0 END)::BIGINT AS a,
+                 row_number() OVER (ORDER BY source NULLS FIRST) AS i FROM dealt),
 one AS MATERIALIZED (SELECT list(a ORDER BY i) AS a, sum(a)::BIGINT AS period, count(*) AS s FROM units),
 sim AS (
   SELECT 0::BIGINT AS t, list_transform(a, lambda x: 0::BIGINT) AS nxt, NULL::BIGINT AS ran FROM one WHERE s > 0

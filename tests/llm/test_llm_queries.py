@@ -39,3 +39,14 @@ def test_pipeline_against_brute_force(spark):
     want = {(i, sha(" ".join(map(str, m.lib.encode(t) + [2])))) for i, t in rows if i in alone}
     got = corpus_pipeline.run(spark, SF_SMALL).collect()
     assert {(r.doc_id, r.ids_sha256) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("sources", [1, 7, 20, 21, 23, 60])
+def test_mixing_matches_its_sql_with_any_number_of_sources(spark, tmp_path, sources):
+    """One rule for the weights, whatever the number of sources; null and repeated ids and a null source."""
+    rows = [(None if k % 11 == 0 else k // 2, None if k % sources == 5 else f"s{(k * k) % sources}") for k in range(900)]
+    spark.createDataFrame(rows, "doc_id long, source string").coalesce(1).write.parquet(str(tmp_path / "made"))
+    made = next((tmp_path / "made").glob("part-*.parquet"))
+    (tmp_path / "documents.parquet").write_bytes(made.read_bytes())
+    res = compare(spark, duck(str(tmp_path)), "op10", QUERIES["op10_pfair_mixing"], ORACLES["op10_pfair_mixing"], str(tmp_path))
+    assert res["status"] == "ok" and res["rows"] == 900, res
