@@ -2,6 +2,12 @@
 
 quality rules -> exact dedup -> MinHash near-dedup -> mixing to target weights -> SentencePiece.
 The first four return the columns of ``documents``; the last one the encoded documents.
+
+Cases, by stage. Null and empty texts have no words, so the quality rules reject them; no later stage sees one from
+``run``, and called alone each takes null as empty. Very long texts are worked on whole. Repeated rows are judged alike by the
+quality rules, and the exact dedup leaves one of them. Ties: of equal texts the largest doc_id stays, of near copies the smallest,
+and rows of one slot are in the order of their md5. A null doc_id, lang or source is a value like another. An empty table stays empty. More columns
+are carried by the first four stages, whatever their names, and not read; the last one leaves them out.
 """
 
 from __future__ import annotations
