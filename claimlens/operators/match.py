@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.operators.common import broadcast_counted, maybe_broadcast
+from claimlens.operators.common import broadcast_counted, maybe_broadcast, pieces
 from claimlens.session import cut_lineage
 
 
@@ -86,11 +86,11 @@ def shingle_rows(rows: DataFrame, key: str, widths: list[int]) -> DataFrame:
     """(key, width, shingle) of rows (key, hashes), for each width. A hash that two shingles share only makes
     a candidate more, as every candidate is verified."""
     def run(batches):
-        for b in batches:
+        size = lambda b: pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
+        for b in (piece for batch in batches for piece in pieces(batch, size(batch))):
             hashes = b.column(1).flatten().to_numpy(zero_copy_only=False)
-            size = pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
             for w in widths:
-                row, h = shingles(hashes, size, w)
+                row, h = shingles(hashes, size(b), w)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(np.full(len(h), w, np.int32)), pa.array(h)],
                                                  names=["key", "width", "shingle"])
 

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from claimlens.functions import arrays as AR
 from claimlens.functions import dense as D
+from claimlens.operators.common import pieces
+from claimlens.operators.match import shingle_rows
 
 
 def test_array_functions_take_time_in_proportion_to_the_components(spark):
@@ -27,3 +31,42 @@ def test_array_functions_take_time_in_proportion_to_the_components(spark):
     np.testing.assert_allclose([r.s for r in got[:40]], soft, rtol=1e-9)
     np.testing.assert_allclose([r.l for r in got[:40]], np.log(soft), rtol=1e-9)
     assert got[40].s == got[40].l == [] and got[41].z is got[41].s is got[41].l is None
+
+
+def _kernel(monkeypatch, df, make):
+    """The function that ``make`` gives to ``mapInArrow``."""
+    got = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema, real=type(df).mapInArrow: got.append(f) or real(self, f, schema))
+    make()
+    monkeypatch.undo()
+    return got[0]
+
+
+def _peak_mb(run, batch) -> float:
+    """MB that NumPy takes at most while ``run`` works off the batch."""
+    tracemalloc.start()
+    for _ in run(iter([batch])):
+        pass
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return peak
+
+
+def test_pieces_are_the_batch():
+    size = np.array([3, 0, 9, 1, 1, 5, 0, 0, 6])
+    batch = pa.RecordBatch.from_pydict({"k": list(range(len(size))), "v": [list(range(n)) for n in size]})
+    got = list(pieces(batch, size, 6))
+    assert pa.Table.from_batches(got).to_pydict() == batch.to_pydict()
+    assert [p.column("k").to_pylist() for p in got] == [[0, 1], [2], [3, 4], [5, 6, 7], [8]]
+    assert list(pieces(batch.slice(0, 0), size[:0], 6)) == []
+
+
+def test_shingle_kernel_memory_does_not_grow_with_the_batch(spark, monkeypatch):
+    df = spark.createDataFrame([(1, [1])], "doc_id long, hashes array<long>")
+    run = _kernel(monkeypatch, df, lambda: shingle_rows(df, "doc_id", [5]))
+    n, each = 5000, 300
+    values = np.random.default_rng(1).integers(-2**62, 2**62, n * each)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.ListArray.from_arrays(np.arange(0, n * each + 1, each, dtype=np.int32), values)],
+                                       names=["doc_id", "hashes"])
+    assert sum(len(b) for b in run(iter([batch]))) == n * (each - 4)
+    assert _peak_mb(run, batch) < 20
