@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from claimlens.functions import arrays as AR
 from claimlens.functions import dense as D
+from claimlens.operators.attention import attention_levels, softmax_weights
 from claimlens.operators.common import pieces
 from claimlens.operators.match import shingle_rows
 
@@ -70,3 +71,22 @@ def test_shingle_kernel_memory_does_not_grow_with_the_batch(spark, monkeypatch):
                                        names=["doc_id", "hashes"])
     assert sum(len(b) for b in run(iter([batch]))) == n * (each - 4)
     assert _peak_mb(run, batch) < 20
+
+
+def test_windowed_weights_and_levels(spark):
+    """No join and one exchange for W3 and W5; rows with a null key are left out."""
+    rows = [(c, e, t, float((c * 7 + e * 3 + t * t) % 5)) for c in range(4) for e in range(3) for t in range(6)]
+    df = spark.createDataFrame([*rows, (1, 0, 0, rows[0][3]), (None, 0, 0, 9.0), (2, None, 0, 9.0)], "c long, e int, t int, a double").repartition(3)
+    out = attention_levels(softmax_weights(df, ["c", "e"], "a"), ["c", "e"], "weight")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning(c") == 1
+    groups = {}
+    for r in [*rows, (1, 0, 0, rows[0][3])]:
+        groups.setdefault(r[:2], []).append(r)
+    want = []
+    for g in groups.values():
+        w = np.exp([r[3] for r in g])
+        w = w / w.sum()
+        span = w.max() - w.min()
+        want += [(*r, round(x, 9), int((x - w.min()) / span * 0.99 * 6)) for r, x in zip(g, w)]
+    assert sorted((r.c, r.e, r.t, r.a, round(r.weight, 9), r.level) for r in out.collect()) == sorted(want)
