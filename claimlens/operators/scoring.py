@@ -6,7 +6,7 @@ their affinities -> document vector -> two linear layers.
 
 Two joins carry matrices, both hidden-sized: a claim's text to its evidences, and the k
 best evidences to their claim. No token is a row after the texts are formed. The NumPy
-kernels work on whole Arrow batches (bounded in bytes by Spark); a claim with a third of all
+kernels work on pieces of Arrow batches (``common.pieces``); a claim with a third of all
 evidences is split by AQE's skew join, and only its k best slots are gathered.
 
 Batch-independent definitions replace the source's padded-batch maths (Q13,
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from claimlens.functions import dense as D
 from claimlens.operators import attention as AT
 from claimlens.operators import source_tables as ST
+from claimlens.operators.common import pieces
 from claimlens.operators.order import group_position
 from claimlens.operators.params import ModelParams
 from claimlens.session import cut_lineage
@@ -88,9 +89,7 @@ def project_texts(texts: DataFrame, params: ModelParams) -> DataFrame:
     def run(batches):
         p = bc.value
         d, width, v0 = p.emb_dim, p.hidden_dim, p.pad_vector()
-        for b in batches:
-            if not len(b):
-                continue
+        for b in (piece for batch in batches for piece in pieces(batch, sizes(batch.column(2)))):
             claim = b.column(1).to_numpy(zero_copy_only=False) < 0
             n = sizes(b.column(2))
             h = project(flat(b.column(3), d), np.repeat(claim, n), p)
@@ -119,9 +118,7 @@ def pair_slots(claim_texts: DataFrame, evidence_texts: DataFrame, params: ModelP
     def run(batches):
         p = bc.value
         width = p.hidden_dim
-        for b in batches:
-            if not len(b):
-                continue
+        for b in (piece for batch in batches for piece in pieces(batch, sizes(batch.column(2)) + sizes(batch.column(4)))):
             ne, nc = sizes(b.column(2)), sizes(b.column(4))
             e, c = flat(b.column(3), width), flat(b.column(5), width)
             e_hat, alpha = D.segment_attention(e, ne, D.segment_means(c, nc), p["co_w1"], p["co_v1"][:, 0])

@@ -14,6 +14,9 @@ from claimlens.functions import dense as D
 from claimlens.operators.attention import attention_levels, softmax_weights
 from claimlens.operators.common import pieces
 from claimlens.operators.match import shingle_rows
+from claimlens.operators.params import fixture_params
+from claimlens.operators.scoring import pair_slots, project_texts
+from claimlens.plans.serving import SERVE_PARAMS
 
 
 def test_array_functions_take_time_in_proportion_to_the_components(spark):
@@ -90,3 +93,25 @@ def test_windowed_weights_and_levels(spark):
         span = w.max() - w.min()
         want += [(*r, round(x, 9), int((x - w.min()) / span * 0.99 * 6)) for r, x in zip(g, w)]
     assert sorted((r.c, r.e, r.t, r.a, round(r.weight, 9), r.level) for r in out.collect()) == sorted(want)
+
+
+def _lists(lens, values):
+    return pa.ListArray.from_arrays(np.append(0, np.cumsum(lens)).astype(np.int32), values)
+
+
+def test_scoring_kernels_memory_does_not_grow_with_the_batch(spark, monkeypatch):
+    p = fixture_params(**SERVE_PARAMS)
+    n, each, rng = 8000, 60, np.random.default_rng(2)
+    toks = _lists([each] * n, pa.array(np.tile(np.arange(each, dtype=np.int32), n)))
+    texts = spark.createDataFrame([(1, 0, [0], [0.0] * p.emb_dim)], "claim_id long, evi_pos int, toks array<int>, vals array<double>")
+    run = _kernel(monkeypatch, texts, lambda: project_texts(texts, p))
+    vals = rng.normal(size=n * each * p.emb_dim)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.arange(n, dtype=np.int32) % 3 - 1), toks,
+                                        _lists([each * p.emb_dim] * n, vals)], names=["claim_id", "evi_pos", "toks", "vals"])
+    assert sum(len(b) for b in run(iter([batch]))) == n and _peak_mb(run, batch) < 80
+
+    sides = spark.createDataFrame([(1, 0, [0], [0.0] * p.hidden_dim)], "claim_id long, evi_pos int, toks array<int>, h array<double>")
+    run = _kernel(monkeypatch, sides, lambda: pair_slots(sides, sides, p))
+    h = _lists([each * p.hidden_dim] * n, vals[:n * each * p.hidden_dim])
+    batch = pa.RecordBatch.from_arrays([*batch.columns[:3], h, toks, h], names=["claim_id", "evi_pos", "toks", "h", "ctoks", "ch"])
+    assert sum(len(b) for b in run(iter([batch]))) == n and _peak_mb(run, batch) < 60
