@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from claimlens.functions import dense as D
 from claimlens.operators import source_tables as ST
 from claimlens.operators.attention import broadcast_params
+from claimlens.operators.common import pieces
 from claimlens.operators.encode import text_matrix
 from claimlens.operators.normalise import label_int
 from claimlens.operators.params import ModelParams
@@ -107,21 +108,28 @@ def score_requests(claim: np.ndarray, n_claim: np.ndarray, evidence: np.ndarray,
     e_hat, _ = D.segment_attention(g, n_evidence, D.segment_means(h, n_claim)[owner], p["co_w1"], p["co_v1"][:, 0])
     c_hat, _ = D.segment_attention(h[each], n, D.segment_means(g, n_evidence), p["co_w2"], p["co_v2"][:, 0])
     pad, _ = D.segment_attention(h, n_claim, np.tile(v0, (size, 1)), p["co_w2"], p["co_v2"][:, 0])
+    a = D.affinity(c_hat, e_hat, p["affinity_w"])
     count = np.bincount(owner, minlength=size)
-    shape = (size, max(k, int(count.max(initial=0))))
+    order = np.lexsort((-a, owner))  # stable: ties by place
     at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    a = D.padded(D.affinity(c_hat, e_hat, p["affinity_w"]), owner, at, shape, -np.inf)
-    top = np.argsort(-a, axis=1, kind="stable")[:, :k]
-    c, e = np.repeat(pad[:, None], shape[1], axis=1), np.tile(v0, (*shape, 1))
-    c[owner, at], e[owner, at] = c_hat, e_hat
-    best = lambda x: np.take_along_axis(x, top[:, :, None], axis=1)
+    top, row, at, shape = order[at < k], owner[at < k], at[at < k], (size, k)  # only these are padded, whatever the longest request
+    aff = D.padded(a[top], row, at, shape, -1.0)
+    c, e = np.repeat(pad[:, None], k, axis=1), np.tile(v0, (*shape, 1))
+    c[row, at], e[row, at] = c_hat[top], e_hat[top]
     if es is not None:
         full = np.tile(row0, (*shape, 1))
-        full[owner, at] = es
-        es = best(full)
-    w = np.take_along_axis(a, top, axis=1)
-    w = D.masked_softmax(np.where(np.isinf(w), -1.0, w), np.ones(w.shape, bool))
-    return D.head(w, best(c), best(e), cs, es, p)[2]
+        full[row, at] = es[top]
+        es = full
+    return D.head(D.masked_softmax(aff, np.ones(shape, bool)), c, e, cs, es, p)[2]
+
+
+def request_tokens(batch: pa.RecordBatch) -> np.ndarray:
+    """Token rows that each parsed request's scoring takes: its claim's, again for every evidence, and the evidences'."""
+    texts = batch.column("evidences")
+    n, claim = sizes(texts), sizes(batch.column("claim"))
+    values = np.append(0, np.cumsum(sizes(texts.flatten())))
+    upto = np.cumsum(n)
+    return claim * (n + 1) + values[upto] - values[upto - n]
 
 
 def predict_rows(requests: DataFrame, params: ModelParams, sources: LocalSources, value_col: str = "value", dim: int = 16) -> DataFrame:
@@ -141,7 +149,7 @@ def predict_rows(requests: DataFrame, params: ModelParams, sources: LocalSources
     def run(batches):
         p, known = bc.value, local.value
         d = p.emb_dim
-        for b in batches:
+        for b in (piece for batch in batches for piece in pieces(batch, request_tokens(batch) // d + 1)):
             ok = b.column("ok").to_numpy(zero_copy_only=False)
             logit = np.zeros(len(b))
             if ok.any():

@@ -15,6 +15,7 @@ from claimlens.operators.attention import attention_levels, softmax_weights
 from claimlens.operators.common import pieces
 from claimlens.operators.match import shingle_rows
 from claimlens.operators.params import fixture_params
+from claimlens.operators.predict import request_tokens, score_requests
 from claimlens.operators.scoring import pair_slots, project_texts
 from claimlens.plans.serving import SERVE_PARAMS
 
@@ -115,3 +116,28 @@ def test_scoring_kernels_memory_does_not_grow_with_the_batch(spark, monkeypatch)
     h = _lists([each * p.hidden_dim] * n, vals[:n * each * p.hidden_dim])
     batch = pa.RecordBatch.from_arrays([*batch.columns[:3], h, toks, h], names=["claim_id", "evi_pos", "toks", "h", "ctoks", "ch"])
     assert sum(len(b) for b in run(iter([batch]))) == n and _peak_mb(run, batch) < 60
+
+
+def test_one_long_request_does_not_pad_the_others():
+    p = fixture_params(**SERVE_PARAMS)
+    rng, count = np.random.default_rng(3), np.array([1] * 1999 + [4000])
+    owner, one = np.repeat(np.arange(len(count)), count), np.ones(len(count), int)
+    claim, evidence = rng.normal(size=(len(count), p.emb_dim)), rng.normal(size=(count.sum(), p.emb_dim))
+    cs, es = rng.normal(size=(len(count), p.claim_src_dim)), rng.normal(size=(count.sum(), p.evidence_src_dim))
+    row0 = rng.normal(size=p.evidence_src_dim)
+    args = lambda k: (claim[k], one[k], evidence[np.isin(owner, k)], np.ones(count[k].sum(), int),
+                      np.repeat(np.arange(len(k)), count[k]), cs[k], es[np.isin(owner, k)], row0, p)
+    tracemalloc.start()
+    got = score_requests(*args(np.arange(len(count))))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 40
+    for k in (0, 7, 1998, 1999):
+        np.testing.assert_allclose(score_requests(*args(np.array([k]))), got[[k]], rtol=1e-9)
+
+
+def test_tokens_of_requests():
+    claim = pa.array([[0.0] * 2, None, [0.0] * 3])
+    evidences = pa.array([[[0.0], [0.0] * 4], None, []], pa.list_(pa.list_(pa.float64())))
+    batch = pa.RecordBatch.from_arrays([claim, evidences], names=["claim", "evidences"])
+    assert request_tokens(batch).tolist() == [2 * 3 + 5, 0, 3] and request_tokens(batch.slice(1)).tolist() == [0, 3]
