@@ -539,6 +539,45 @@ def test_html_layout_in_main_is_told_by_the_host(spark):
     assert got[60] == f"{own(6)}\n{share}" and got[61] == share
 
 
+def test_html_articles_ask_their_host(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "SHARD_PAGES", 2)
+    own = lambda k: " ".join(f"only{k}say{j}" for j in range(30))
+    menu = "<ul><li>home<li>news<li>sports<li>weather today<li>contact us</ul>"
+    notice, quote = "this site keeps cookies to know you again", "to be or not to be that is"
+    title, teaser, series = "how the town got its new bridge", "a bridge is built where the old one was", "letters to the editor of this week"
+    page = lambda rows, rest, *apart: f"<article>{''.join(f'<p>{x}</p>' for x in rows)}{''.join(apart)}</article>{rest}"
+    box = f"<div class=x2><p>{notice}</div>"
+    pages, want = [], {}
+    for k in range(9):  # a notice and a list of links in articles of nine pages, outside the articles of three
+        outside = f"<nav>{menu}</nav><footer>{notice}</footer>" if k > 5 else "<footer>f</footer>"
+        rows = [f"title of number {k}", own(k), quote, notice]  # what isn't set apart is the article's
+        pages.append((k, f"http://ask.example/{k}", page(rows, outside, f"<div class=x1>{menu}</div>", box, f"<div>{quote}</div>")))
+        want[k] = "\n".join([*rows, quote])
+    # What only copies of one article have stays, also if a sidebar lists it; so do a title and a phrase in a sentence.
+    listed = f"<aside>{title}</aside><aside>{teaser}</aside><aside>{series}</aside><footer>{notice}</footer>"
+    for k in range(10, 14):
+        rows = [own(10), f"{own(k).split(' ')[0]} says {notice} indeed"]
+        pages.append((k, f"http://copy.example/?{k}", f"<article><p>town<div><h1>{title}</h1></div><section>{teaser}</section>{page(rows, listed)[9:]}"))
+        want[k] = "\n".join(["town", title, teaser, *rows])
+    for k in range(20, 23):
+        pages.append((k, f"http://copy.example/{k}", f"<article><div><h1>{series}</h1></div>{page([own(k)], listed)[9:]}"))
+        want[k] = f"{series}\n{own(k)}"
+    # Two articles aren't enough; other hosts and repeated rows don't count; all there is of an article stays.
+    for k in range(30, 34):
+        pages.append((k, f"http://few{k // 32}.example/{k}", page([f"t{k}", own(k)], f"<footer>{notice}</footer>", box)))
+        want[k] = f"t{k}\n{own(k)}\n{notice}"
+    pages += pages[-4:] * 2
+    pages.append((34, "http://ask.example/34", f"<article><div>{menu}</div>{box}</article>"))
+    want[34] = "home\nnews\nsports\nweather today\ncontact us\n" + notice
+    # An article in a page that the host has to tell as well.
+    for k in range(40, 44):
+        pages.append((k, f"http://open.example/{k}", f"<main><p>lead {own(50 + k)}</p>{page([f't{k}', own(k)], '', box)}</main><footer>{notice}</footer>"))
+        want[k] = f"lead {own(50 + k)}\nt{k}\n{own(k)}"
+    got = html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert len(got) == len(pages) and {r.page_id: r.text for r in got} == want
+    assert all(r.n_chars == len(r.text) for r in got)
+
+
 def test_covered_runs_need_distinct_pages():
     import numpy as np
     run = [1, 2, 3, 4, 5, 6]
