@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -56,6 +57,63 @@ def test_pivots_of_alike_vectors_are_few():
     assert len(pi.spread_out(sample[:5], 60)) == 5
 
 
+def test_index_of_a_block_is_made_in_pieces():
+    """What is held besides the index doesn't grow with the block's rows: 20,000 rows by 512 pivots are 82 MB a matrix."""
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(20_000, 16)).astype(np.float32)
+    pivots = pi.spread_out(vectors[:2000].astype(np.float64), 512)
+    tracemalloc.start()
+    try:
+        order = pi.orders(vectors, pivots, 128)
+        lists = pi.inverted(order, 512)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 80e6, peak
+    near = -(vectors.astype(np.float64) @ pivots.T)
+    far = rng.integers(0, 20_000, 200)
+    assert (order[far] == np.argsort(near[far], axis=1, kind="stable")[:, :128]).all()
+    by = np.argsort(order.ravel(), kind="stable")
+    assert (lists[0] == np.searchsorted(order.ravel()[by], np.arange(513))).all()
+    assert (lists[1] == by // 128).all() and (lists[2] == by % 128).all()
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 2.0])
+def test_spread_lists_count_as_the_lists_do(monkeypatch, share):
+    """All lists spread out, some, or none: pivots of the first quarter are in most orders, the others in few."""
+    rng = np.random.default_rng(4)
+    weight = np.r_[np.full(100, 3.0), np.ones(300)]
+    order = np.argsort(-(rng.random((700, 400)) * weight), axis=1)[:, :128].astype(np.uint16)
+    lists = pi.inverted(order, 400)
+    monkeypatch.setattr(pi, "SPREAD_FROM", share)
+    long = pi.spread(*lists, 700, 128)
+    assert len(long.near) == int((np.diff(lists[0]) >= max(1, share * 700)).sum())
+    place = np.full((700, 400), 128)
+    np.put_along_axis(place, order.astype(int), np.arange(128)[None, :], axis=1)
+    for q in range(0, 700, 50):
+        want = (128 - np.maximum(place, place[q])).sum(axis=1)
+        assert (pi.closeness(order[q], *lists, 700, long) == want).all() and (pi.closeness(order[q], *lists, 700) == want).all()
+
+
+@pytest.mark.parametrize("dtype, size", [("f4", 1.0), ("f4", 1e30), ("f4", 1e-40), ("f8", 1.0), ("f8", 1e200), ("f8", 1e-300)])
+def test_reranked_in_own_precision_first(dtype, size):
+    """The same rows and scores as by double precision alone, with ties, overflow and underflow."""
+    rng = np.random.default_rng(6)
+    vectors = (rng.normal(size=(3000, 24)) * size).astype(dtype)
+    vectors[100:160] = vectors[7]
+    vectors[200:260] = np.nextafter(vectors[7], np.array(9 * size, dtype))  # told apart by the last bits only
+    ids, close = rng.permutation(3000), rng.integers(0, 500, 3000)
+    close[90:270] = 499
+    for q in (7, 100, 230, 1000):
+        query = vectors[q].astype(np.float64)
+        some = np.flatnonzero(close >= np.sort(close)[-300])
+        with np.errstate(all="ignore"):
+            score = (vectors[some].astype(np.float64) * query).sum(axis=1)
+            got = pi.reranked(query, close, vectors, ids, 21, float(np.abs(vectors).max()))
+        by = np.lexsort((ids[some], -score))[:21]
+        assert (got[0] == ids[some][by]).all() and np.array_equal(got[1], score[by], equal_nan=True)
+
+
 @pytest.mark.parametrize("kind", ["float", "double"])
 def test_odd_rows_against_brute_force(spark, kind):
     rng = random.Random(5)
@@ -92,6 +150,18 @@ def test_several_blocks_give_the_same_as_one(spark, monkeypatch):
     assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
 
 
+def test_several_rounds_give_the_same_as_one(spark, monkeypatch):
+    rows = {i: list(np.random.default_rng(i).normal(size=6)) for i in range(600)}
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows.items()], "vec_id long, embedding array<double>")
+    for name, value in (("BLOCK_ROWS", 150), ("QUERY_ROWS", 4), ("ROUND", 2), ("SAMPLE", 20)):
+        monkeypatch.setattr(pi, name, value)
+    written, write = [], pi.Stages.write
+    monkeypatch.setattr(pi.Stages, "write", lambda self, df, name, *a: written.append(name) or write(self, df, name, *a))
+    got, want = lists(pi.every_twentieth(df)), brute(rows, list(range(0, 600, 20)), 20)
+    assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
+    assert sum(name.startswith("found") for name in written) == 4  # 30 queries, 8 a round
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_recall(spark, hot):
     """At least 0.9 of the exact neighbours among 6,000 vectors without structure, or with a third of them alike."""
